@@ -188,3 +188,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         label = new.select("node", F.col("new").alias("component"))
         if not changed:
             return label
+
+
+def one_per_id(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` without null keys and with one row per key.
+
+    Keys are usually distinct, which a scan of that column alone shows; only otherwise are rows
+    grouped: of rows that share a key the one with the smallest text stays (null before text)."""
+    rows = df.where(F.col(key).isNotNull())
+    if rows.groupBy(key).count().where("count > 1").limit(1).count() == 0:
+        return rows
+    others = [c for c in rows.columns if c != key]
+    first = F.min(F.struct(*[F.col(c) for c in (["text"] if "text" in others else []) + [c for c in others if c != "text"]])).alias("r")
+    return rows.groupBy(key).agg(first).select(key, *[F.col(f"r.{c}").alias(c) for c in others])

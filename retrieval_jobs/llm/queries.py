@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, secrets
-from .common import table
+from . import decontamination, language_id, mixing, quality, secrets
+from .common import crc_bucket, table
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +18,30 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(crc_bucket(F.col("doc_id"), 4) != 2))
+    out = language_id.identify(docs, model, ["doc_id"])
+    return out.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(crc_bucket(F.col("doc_id"), 5) != 0))
+    out = quality.score(docs, model, ["doc_id"])
+    return out.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_source_mixing": op3_source_mixing,
+    "op4_language_id": op4_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 ORACLES = {

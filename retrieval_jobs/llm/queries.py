@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, quality, secrets
+from . import decontamination, html_extraction, language_id, mixing, neighbours, quality, secrets
 from .common import crc_bucket, table
 
 
@@ -25,6 +25,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(crc_bucket(F.col("doc_id"), 5) != 0))
@@ -36,12 +40,19 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extraction.extract_pages(pages, html_extraction.train(pages))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_source_mixing": op3_source_mixing,
     "op4_language_id": op4_language_id,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {

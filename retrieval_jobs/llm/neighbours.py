@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import one_per_id
 
 PROJECTIONS, COLLISIONS, START, GROWTH, VERIFY = 64, 0.55, 0.65, 1.07, 0.33
+#: A query verifies at least so many vectors of a shard for each neighbour wanted, or all of them.
+LEAST_VERIFIED = 15
 SHARD_ROWS, LEAST_SHARD, MIN_SHARDS = 32768, 512, 64
 
 
@@ -54,7 +56,7 @@ class Shard:
         n = len(self.ids)
         scaled = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         centres = scaled @ self.lines[:-1]
-        enough = min(n, k + 1 + int(np.ceil(VERIFY * n)))
+        enough = min(n, max(LEAST_VERIFIED * k, int(np.ceil(VERIFY * n))))
         out: list = [None] * len(queries)
         left, width = np.arange(len(queries)), START * self.spread
         while len(left):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, language_id, mixing, neighbours, quality, secrets
+from . import decontamination, hmm, html_extraction, language_id, mixing, neighbours, quality, secrets
 from .common import crc_bucket, table
 
 
@@ -40,6 +40,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hmm.score_texts(table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 7) != 2)
+    held = (crc_bucket(F.col("doc_id"), 7) == 2).alias("held_out")
+    return out.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_extraction.extract_pages(pages, html_extraction.train(pages))
@@ -52,6 +58,7 @@ QUERIES = {
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_hmm_scoring": op9_hmm_scoring,
     "op10_html_extraction": op10_html_extraction,
 }
 

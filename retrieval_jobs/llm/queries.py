@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hmm, html_extraction, language_id, mixing, neighbours, quality, secrets
+from . import decontamination, hmm, html_extraction, jaccard_join, language_id, mixing, neighbours, quality, secrets
 from .common import crc_bucket, table
 
 
@@ -36,6 +36,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_hmm_scoring": op9_hmm_scoring,
     "op10_html_extraction": op10_html_extraction,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,9 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as a table in the shared checkpoint folder: later reads survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files of the finished job go once the driver has collected what refers to them
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hmm, html_extraction, jaccard_join, language_id, mixing, neighbours, quality, secrets
+from . import decontamination, hmm, html_extraction, jaccard_join, language_id, mixing, neighbours, quality, secrets, suffix_dedup
 from .common import crc_bucket, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.train(secrets.labelled_findings(spark))
     return secrets.find_secrets(table(spark, sf_dir, "documents"), model)
@@ -56,6 +61,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_source_mixing": op3_source_mixing,
     "op4_language_id": op4_language_id,

@@ -193,9 +193,10 @@ def range_minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     out = np.empty(len(a), values.dtype)
     table, width = values, 1
     for k in range(int(level.max(initial=0)) + 1):
+        if k:
+            table, width = np.minimum(table[: len(table) - width], table[width:]), width * 2
         sel = np.flatnonzero(level == k)
         out[sel] = np.minimum(table[a[sel]], table[b[sel] - width + 1])
-        table, width = np.minimum(table[: len(table) - width], table[width:]), width * 2
     return out
 
 

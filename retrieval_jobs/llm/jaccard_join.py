@@ -38,7 +38,7 @@ def set_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, n, h1, h2) of each document; kind 1: a shingle h1 that n sets of a task hold."""
+    """kind 0: (doc_id, n, h1, h2, bits) of each document, bits being its bitmap; kind 1: a shingle h1 that n sets of a task hold."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -49,14 +49,14 @@ def signatures(docs: DataFrame) -> DataFrame:
             v, c = np.unique(np.concatenate(held), return_counts=True)
             v, c = v[c >= WIDESPREAD_IN_TASK], c[c >= WIDESPREAD_IN_TASK]
             zero = pa.array(np.zeros(len(v), np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(v), np.int32)), zero, pa.array(c.astype(np.int64)), pa.array(v.view(np.int64)), zero], names=["kind", "doc_id", "n", "h1", "h2"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(v), np.int32)), zero, pa.array(c.astype(np.int64)), pa.array(v.view(np.int64)), zero, pa.nulls(len(v), pa.binary())], names=["kind", "doc_id", "n", "h1", "h2", "bits"])
 
         for batch in batches:
             for lo, hi, buf, offsets in text_blocks(batch):
                 values, at = shingle_sets(buf, offsets, WORDS)
                 h1, h2 = set_hashes(values, at)
                 n = np.diff(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["kind", "doc_id", "n", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([bitmap(values[at[i] : at[i + 1]]) for i in range(hi - lo)], pa.binary())], names=["kind", "doc_id", "n", "h1", "h2", "bits"])
                 for i, key in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
                     if key not in seen and n[i]:
                         seen.add(key)
@@ -68,7 +68,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         if held:
             yield widespread()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, h1 long, h2 long")
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, h1 long, h2 long, bits binary")
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -206,27 +206,48 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return tiles.mapInArrow(decide, "a long, b long")
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits), bool)
-    for i, s in enumerate(sets):
-        out[i, (s % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(out, axis=1)
+def bitmap(values: np.ndarray) -> bytes:
+    """Hashed bitmap of a set: the least power of two of bits that is twice its size, alike for sets of a size band."""
+    bits = max(64, 1 << int(2 * len(values) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(values % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_link(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """Whether the bitmaps leave room for 100 * intersection >= 75 * union."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):  # halves laid over each other are the smaller bitmap
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    # each bit of one side only is an element the other lacks
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * most >= 75 * (n + m - most)
+
+
+def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (doc, leader) that their bitmaps (doc_id, n, bits) don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            _, _, n, a, m, b = (batch.column(i).to_pylist() for i in range(6))
+            ok = pa.array([may_link(*row) for row in zip(n, a, m, b, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc", "leader"]).filter(ok)
+
+    side = lambda key, n, name: bits.select(F.col("doc_id").alias(key), F.col("n").alias(n), F.col("bits").alias(name))
+    rows = pairs.join(side("doc", "n", "a"), "doc").join(side("leader", "m", "b"), "leader")
+    return rows.select("doc", "leader", "n", "a", "m", "b").mapInArrow(run, "doc long, leader long")
 
 
 def linked(lead: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Which sets have 100 * intersection >= 75 * union with ``lead``."""
-    n, m = len(lead), np.array([len(o) for o in others])
-    bits = max(64, 1 << int(2 * max(n, m.max(initial=1)) - 1).bit_length())  # about two bits an element, alike for a size band
-    a, b = bitmaps([lead], bits), bitmaps(others, bits)
-    only_a = np.bitwise_count(a & ~b).sum(1, dtype=np.int64)  # each such bit is an element the other lacks
-    only_b = np.bitwise_count(b & ~a).sum(1, dtype=np.int64)
-    most = np.minimum(n - only_a, m - only_b)
-    ok = 100 * most >= 75 * (n + m - most)
-    for i in np.flatnonzero(ok):
-        at = np.searchsorted(lead, others[i])
-        at[at == n] = 0
-        both = int((lead[at] == others[i]).sum())
-        ok[i] = 100 * both >= 75 * (n + m[i] - both)
+    """Which sets have 100 * intersection >= 75 * union with ``lead``; all sets sorted."""
+    ok = np.zeros(len(others), bool)
+    for i, other in enumerate(others):
+        at = np.searchsorted(lead, other)
+        at[at == len(lead)] = 0
+        both = int((lead[at] == other).sum())
+        ok[i] = 100 * both >= 75 * (len(lead) + len(other) - both)
     return ok
 
 
@@ -261,12 +282,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
     order = often.orderBy(F.desc("n"), "h1").limit(KNOWN_WIDESPREAD).collect()  # rarest last in this list
     widespread = np.array([r["h1"] for r in reversed(order)], np.int64).view(np.uint64)
     met = settled(meetings(prefixes(rows, widespread)))
-    pairs = met.where("doc <> leader").select("doc", "leader").distinct()
+    bits = found.where("kind = 0").select("doc_id", "n", "bits")
+    pairs = settled(bounded(met.where("doc <> leader").select("doc", "leader").distinct(), bits))
     links = settled(to_classes(verified(rows, pairs), member))
     component = connected_components(links)
     by_doc = member.join(component.withColumnRenamed("node", "rep"), "rep").select(F.col("doc_id").alias("node"), "component")
     by_doc = by_doc.unionByName(member.where("rep <> doc_id").join(component.select(F.col("node").alias("rep")), "rep", "left_anti").select(F.col("doc_id").alias("node"), F.col("rep").alias("component")))
-    more = settled(open_pairs(met, by_doc))
+    more = settled(bounded(open_pairs(met, by_doc), bits))
     if more.limit(1).count():
         late = settled(to_classes(verified(rows, more), member))
         if late.limit(1).count():

@@ -20,7 +20,7 @@ from .common import connected_components, mix, one_per_id, settled, shingle_sets
 
 WORDS = 5
 #: A shingle that so many sets of one task's share hold is reported as widespread; the order of shingles needs no exact count.
-WIDESPREAD_IN_TASK, WIDESPREAD = 6, 24
+WIDESPREAD_IN_TASK, WIDESPREAD = 2, 16
 #: Widespread shingles that the order knows (8 bytes each, so 1.6 MB are broadcast); others count as rare, which costs time, not links.
 KNOWN_WIDESPREAD = 200_000
 TILE = 256  # partners of one leader in a tile
@@ -251,6 +251,19 @@ def linked(lead: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return ok
 
 
+def places(member: DataFrame, component: DataFrame) -> DataFrame:
+    """(node, component) of the documents whose component is not their own id."""
+    rows = member.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
+    return settled(rows.where("node <> component"))
+
+
+def leaders_apart(shared: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs (doc, leader) that meet and lie in different components."""
+    at = lambda key, name: component.select(F.col("node").alias(key), F.col("component").alias(name))
+    rows = shared.join(at("doc", "c1"), "doc", "left").join(at("leader", "c2"), "leader", "left")
+    return rows.where(F.coalesce("c1", "doc") != F.coalesce("c2", "leader")).select("doc", "leader")
+
+
 def open_pairs(met: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs (doc, leader) under one shingle, in different components, of fitting sizes, not compared yet."""
     rows = met.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -283,16 +296,18 @@ def join_documents(docs: DataFrame) -> DataFrame:
     widespread = np.array([r["h1"] for r in reversed(order)], np.int64).view(np.uint64)
     met = settled(meetings(prefixes(rows, widespread)))
     bits = found.where("kind = 0").select("doc_id", "n", "bits")
-    pairs = settled(bounded(met.where("doc <> leader").select("doc", "leader").distinct(), bits))
-    links = settled(to_classes(verified(rows, pairs), member))
+    shared = settled(met.where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("c")))
+    # first each document with the leader it meets most, then what is still apart: other leaders, then any two
+    favourite = shared.groupBy("doc").agg(F.max(F.struct("c", (-F.col("leader")).alias("neg"))).alias("best")).select("doc", (-F.col("best.neg")).alias("leader"))
+    links = settled(to_classes(verified(rows, settled(bounded(favourite, bits))), member))
     component = connected_components(links)
-    by_doc = member.join(component.withColumnRenamed("node", "rep"), "rep").select(F.col("doc_id").alias("node"), "component")
-    by_doc = by_doc.unionByName(member.where("rep <> doc_id").join(component.select(F.col("node").alias("rep")), "rep", "left_anti").select(F.col("doc_id").alias("node"), F.col("rep").alias("component")))
-    more = settled(bounded(open_pairs(met, by_doc), bits))
-    if more.limit(1).count():
-        late = settled(to_classes(verified(rows, more), member))
-        if late.limit(1).count():
-            component = connected_components(links.unionByName(late))
+    for pairs_apart in (lambda of: leaders_apart(shared, of), lambda of: open_pairs(met, of)):
+        more = settled(bounded(pairs_apart(places(member, component)), bits))
+        if more.limit(1).count():
+            late = settled(to_classes(verified(rows, more), member))
+            if late.limit(1).count():
+                links = links.unionByName(late)
+                component = connected_components(links)
     out = member.join(component.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 

@@ -25,7 +25,7 @@ END = np.uint64(1)  # token hash of the end of a text; its class is 0
 PIECE, TRAIN_PIECE = 1024, 256
 BLOCK_TEXT = 8 << 20  # bytes of text whose word counts come back together
 SAMPLE_ROWS, SAMPLE_ROUNDS, CORPUS_ROUNDS = 400, 8, 2
-FLUSH_TOKENS = 1_500_000
+COUNT_TOKENS, FLUSH_TOKENS = 1_500_000, 300_000  # tokens that a task holds when counting words, and for the recursions
 
 
 @dataclass
@@ -173,7 +173,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     ``lead`` marks one row per token."""
 
     def run(batches):
-        for keys, tokens, begin in gathered(batches, FLUSH_TOKENS):
+        for keys, tokens, begin in gathered(batches, COUNT_TOKENS):
             block = np.concatenate([k.column(0).to_numpy() for k in keys])
             train = np.concatenate([k.column(1).to_numpy(zero_copy_only=False) for k in keys])
             length = np.diff(begin)

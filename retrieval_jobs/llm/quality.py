@@ -80,8 +80,8 @@ def probabilities(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 16, rate: float = 0.02, seed: int = 7) -> Model:
-    """Train by Adam on the mean log loss of small batches of whole texts."""
+def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 16, rate: float = 0.02, seed: int = 7, least_steps: int = 800) -> Model:
+    """Train by Adam on the mean log loss of small batches of whole texts, for ``epochs`` or more: ``least_steps`` batches at least."""
     rng = np.random.default_rng(seed)
     m = Model(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.full(FILTERS, 0.0, np.float32), np.zeros(FILTERS, np.float32), 0.0)
     m.mean_w = rng.normal(0, 0.3, FILTERS).astype(np.float32)
@@ -92,8 +92,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 16, r
     m.bias = float(np.log(share / (1 - share)))
     names = ("table", "shift", "mean_w", "max_w", "bias")
     state = {k: [np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))] for k in names}
-    step = 0
-    for epoch in range(epochs):
+    step, epochs = 0, max(epochs, -(-least_steps // (len(data) // batch + 1)))
+    for _ in range(epochs):
         order = rng.permutation(len(data))
         for a in range(0, len(order), batch):
             rows = order[a : a + batch]

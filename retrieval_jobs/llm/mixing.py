@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settled
+
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
 #: Documents of one leaf are ordered in pieces of about so many, so that no task sorts a whole leaf.
@@ -83,6 +85,7 @@ def mix_sources(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 3,
     (``und`` and ``none``). Repeated rows are rows: each counts. Ties in the seeded order go to the smaller doc_id. An empty
     table, or no tokens at all, gives no rows. ``weights`` maps leaves to w_domain, w_lang, w_source; leaves without a
     positive weight get nothing."""
+    # texts are read once; what follows works on the counted rows, a few words each
     rows = docs.select(
         "doc_id",
         domain_of(F.col("source")).alias("domain"),
@@ -90,11 +93,12 @@ def mix_sources(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 3,
         F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("none")).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
     ).where("n_tokens > 0")
+    rows = settled(rows)
     leaves = rows.groupBy(*LEVELS).agg(F.count("*").alias("leaf_docs"), F.sum("n_tokens").alias("leaf_tokens"))
     plan = leaf_budgets(leaves, weights(leaves), budget_share, max_epochs).where("budget > 0")
     plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("leaf_tokens")).cast("long"))
     plan = plan.withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens"))
-    plan = plan.withColumn("pieces", F.ceil(F.col("leaf_docs") / F.lit(PIECE)).cast("long"))
+    plan = settled(plan.withColumn("pieces", F.ceil(F.col("leaf_docs") / F.lit(PIECE)).cast("long")))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
     # a plan row per leaf: the number of leaves is the number of distinct (domain, lang, source)
     drawn = rows.join(plan.drop("leaf_docs", "leaf_tokens", "budget"), list(LEVELS)).withColumn("key", key)

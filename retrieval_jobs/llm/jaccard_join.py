@@ -25,6 +25,9 @@ WIDESPREAD_IN_TASK, WIDESPREAD = 2, 16
 KNOWN_WIDESPREAD = 200_000
 TILE = 256  # partners of one leader in a tile
 FLUSH = 2_000_000
+CELL = 512  # documents of one shingle in a cell; two cells are compared in a tile
+#: Partners a document tries in a tile, round by round; the last round tries all that are left.
+ROUNDS = (2, 16, None)
 
 
 def set_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,27 +260,76 @@ def places(member: DataFrame, component: DataFrame) -> DataFrame:
     return settled(rows.where("node <> component"))
 
 
-def leaders_apart(shared: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs (doc, leader) that meet and lie in different components."""
-    at = lambda key, name: component.select(F.col("node").alias(key), F.col("component").alias(name))
-    rows = shared.join(at("doc", "c1"), "doc", "left").join(at("leader", "c2"), "leader", "left")
-    return rows.where(F.coalesce("c1", "doc") != F.coalesce("c2", "leader")).select("doc", "leader")
+def open_tiles(met: DataFrame, component: DataFrame, bits: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (doc, leader) under one shingle, in different components, that their bitmaps don't rule out.
 
+    The rows of a shingle are dealt to cells of about CELL rows and each two cells form a tile, in which the bitmaps are compared as
+    matrices; only pairs that remain leave the task. ``most``: at most so many a document and tile, the likeliest first; None: all."""
+    rows = met.select("token", "doc").join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    groups = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    rows = rows.join(settled(groups.where("lo <> hi").select("token", "cells")), "token")
+    rows = rows.join(bits.withColumnRenamed("doc_id", "doc"), "doc").withColumn("cell", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    rows = rows.select("token", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "doc", "component", "n", "bits")
+    tiles = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
-def open_pairs(met: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs (doc, leader) under one shingle, in different components, of fitting sizes, not compared yet."""
-    rows = met.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    # a group is open if its rows that lead nothing here lie in two components or more
-    rest = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-    still = rows.join(rest.where("lo <> hi and size > 2").select("token"), "token")
-    a, b = still.alias("a"), still.alias("b")
-    pair = a.join(b, F.col("a.token") == F.col("b.token")).where(
-        (F.col("a.component") < F.col("b.component"))
-        & (4 * F.least("a.n", "b.n") >= 3 * F.greatest("a.n", "b.n"))
-        & (F.col("a.leader") != F.col("b.doc"))
-        & (F.col("b.leader") != F.col("a.doc"))
-    )
-    return pair.select(F.col("a.doc").alias("doc"), F.col("b.doc").alias("leader")).distinct()
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            edge = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3)):
+                yield apart(pa.Table.from_batches(held), most)
+                held = []
+            cuts = [0, *edge.tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                held.append(batch.slice(a, b - a))
+                if b < batch.num_rows:
+                    yield apart(pa.Table.from_batches(held), most)
+                    held = []
+        if held:
+            yield apart(pa.Table.from_batches(held), most)
+
+    return tiles.mapInArrow(run, "doc long, leader long").distinct()
+
+
+def apart(tile: pa.Table, most: int | None) -> pa.RecordBatch:
+    """The pairs of one tile: other component, other cell if the tile has two, and bitmaps that leave room for a link."""
+    i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+    cell, doc, component, n = (tile.column(c).to_numpy() for c in ("cell", "doc", "component", "n"))
+    maps = [np.frombuffer(x, np.uint64) for x in tile.column("bits").to_pylist()]
+    width = np.array([len(m) for m in maps])
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for w in np.unique(width):
+        # sets that may link differ by a third at most in size, so by one doubling at most in width
+        rows = np.flatnonzero(width == w)
+        wide = np.flatnonzero(width == 2 * w)
+        base = np.stack([maps[r] for r in rows])
+        cols = np.r_[rows, wide].astype(np.int64)
+        against = np.concatenate([base, np.stack([maps[r][:w] | maps[r][w:] for r in wide])]) if len(wide) else base
+        for a in range(0, len(rows), 64):
+            r = rows[a : a + 64]
+            x, size = base[a : a + 64, None, :], n[r][:, None] + n[cols][None, :]
+            only_x = np.bitwise_count(x & ~against[None]).sum(2, dtype=np.int64)
+            only_y = np.bitwise_count(~x & against[None]).sum(2, dtype=np.int64)
+            room = np.minimum(n[r][:, None] - only_x, n[cols][None, :] - only_y)
+            ok = (100 * room >= 75 * (size - room)) & (component[r][:, None] != component[cols][None, :])
+            ok &= (doc[r][:, None] < doc[cols][None, :]) | (width[cols] != w)[None, :]
+            if i != j:
+                ok &= cell[r][:, None] != cell[cols][None, :]
+            if most is not None and ok.any():
+                likely = np.where(ok, room / (size - room), -1.0)
+                keep = min(most, likely.shape[1])
+                floor = -np.partition(-likely, keep - 1, axis=1)[:, keep - 1 : keep]
+                ok &= likely >= floor
+                extra = ok.cumsum(1) > most  # ties beyond the number wait for the next round
+                ok &= ~extra
+            at = np.nonzero(ok)
+            out.append((doc[r][at[0]], doc[cols][at[1]]))
+    x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["doc", "leader"])
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -296,18 +348,25 @@ def join_documents(docs: DataFrame) -> DataFrame:
     widespread = np.array([r["h1"] for r in reversed(order)], np.int64).view(np.uint64)
     met = settled(meetings(prefixes(rows, widespread)))
     bits = found.where("kind = 0").select("doc_id", "n", "bits")
-    shared = settled(met.where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("c")))
-    # first each document with the leader it meets most, then what is still apart: other leaders, then any two
+    shared = met.where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("c"))
+    # first each document with the leader it meets most; then, with what is still apart, a few likely partners each, more, and all
     favourite = shared.groupBy("doc").agg(F.max(F.struct("c", (-F.col("leader")).alias("neg"))).alias("best")).select("doc", (-F.col("best.neg")).alias("leader"))
-    links = settled(to_classes(verified(rows, settled(bounded(favourite, bits))), member))
+    tried = settled(bounded(favourite, bits))
+    links = settled(to_classes(verified(rows, tried), member))
     component = connected_components(links)
-    for pairs_apart in (lambda of: leaders_apart(shared, of), lambda of: open_pairs(met, of)):
-        more = settled(bounded(pairs_apart(places(member, component)), bits))
-        if more.limit(1).count():
-            late = settled(to_classes(verified(rows, more), member))
-            if late.limit(1).count():
-                links = links.unionByName(late)
-                component = connected_components(links)
+    for most in ROUNDS:
+        found_apart = open_tiles(met, places(member, component), bits, most)
+        # a pair is tried once, whichever of the two led
+        known = tried.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
+        pairs = found_apart.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
+        more = settled(pairs.join(known, ["a", "b"], "left_anti").select(F.col("b").alias("doc"), F.col("a").alias("leader")))
+        if not more.limit(1).count():
+            continue
+        tried = tried.unionByName(more)
+        late = settled(to_classes(verified(rows, more), member))
+        if late.limit(1).count():
+            links = links.unionByName(late)
+            component = connected_components(links)
     out = member.join(component.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -35,13 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named or _OWN_DIRS[app]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a table in the shared checkpoint folder: later reads survive lost executors."""
+def settled(df: DataFrame, large: bool = False) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared checkpoint folder: later reads survive lost executors.
+
+    After a job of ``large`` shuffles the driver is given time to let their files go before the next ones are written."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # shuffle files of the finished job go once the driver has collected what refers to them
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(3 if large else 1):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1 if large else 0)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

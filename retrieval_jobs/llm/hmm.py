@@ -247,7 +247,7 @@ def score_texts(docs: DataFrame, train_rows) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text") + 8)).collect()[0][0] or 0
     blocks = max(1, -(-total // BLOCK_TEXT))
     rows = rows.select("doc_id", train_rows.alias("train"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    counts = settled(word_counts(rows.select("block", "train", "text").repartition("block")))
+    counts = settled(word_counts(rows.select("block", "train", "text").repartition("block")), large=True)
     lead = counts.where("lead").select("hash", "c")
     # class of a hash, as class_of: an unsigned shift, then the remainder
     cls = F.when(F.col("hash") == int(END), F.lit(0)).otherwise(1 + F.shiftrightunsigned("hash", 20) % (CLASSES - 1)).cast("int")

@@ -355,7 +355,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     links = settled(to_classes(verified(rows, tried), member))
     component = connected_components(links)
     for most in ROUNDS:
-        found_apart = open_tiles(met, places(member, component), bits, most)
+        found_apart = settled(open_tiles(met, places(member, component), bits, most))
+        if not found_apart.limit(1).count():
+            break  # nothing under any shingle is still apart
         # a pair is tried once, whichever of the two led
         known = tried.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
         pairs = found_apart.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()

@@ -435,7 +435,7 @@ def t14(spark, d):
 def s7(spark, d):
     old = V.history(spark, d)
     edited = old.where("ts = 1").withColumn("text", F.lit("edited"))
-    return hist.save_messages(old, edited.unionByName(edited.limit(1).withColumn("_id", F.lit("unknown")))).select("_id", "text")
+    return hist.save_messages(old, edited.unionByName(edited.withColumn("_id", F.concat(F.lit("unknown "), "_id")))).select("_id", "text")
 
 
 @query("c3_delete_session", f"WITH {V.HISTORY} SELECT _id FROM h WHERE session_id NOT IN (SELECT session_id FROM h WHERE role = 'system')")
@@ -498,14 +498,12 @@ def t16(spark, d):
     return prompts.build_prompt(asked, part("assistant"), part("user"), part("nobody"), 500).select("query_id", digest("prompt"))
 
 
-@query("t17_answer_images", "SELECT page_id, 'See page' AS told, url || '.png' AS images FROM pages")
+@query("t17_answer_images", "SELECT page_id, 'See page' AS told, regexp_replace(url, '[?#].*', '') || '.png' AS images FROM pages")
 def t17(spark, d):
+    # the same image twice, and an address that is no image
     x = T.answer_images(F.concat(F.lit("See page  \n【图片】\n"), F.regexp_replace("url", "[?#].*", ""), F.lit(".png\nhttp://h/x.txt\n"), F.regexp_replace("url", "[?#].*", ""), F.lit(".png")))
     return V.read(spark, d, "pages").select("page_id", x["text"].alias("told"), F.array_join(x["images"], "|").alias("images"))
 
-
-ORACLES["t17_answer_images"] = "SELECT page_id, 'See page' AS told, regexp_replace(url, '[?#].*', '') || '.png' AS images FROM pages"
-
 # sources and images
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, mix, one_per_id, settled, shingle_sets, text_blocks
@@ -27,7 +27,8 @@ TILE = 256  # partners of one leader in a tile
 FLUSH = 2_000_000
 CELL = 512  # documents of one shingle in a cell; two cells are compared in a tile
 #: Partners a document tries in a tile, round by round; the last round tries all that are left.
-ROUNDS = (2, 16, None)
+ROUNDS = (4, None)
+LEADERS = ((1, 1), (2, 5), (6, None))  # first and last of a document's leaders that a round takes
 
 
 def set_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,14 +261,21 @@ def places(member: DataFrame, component: DataFrame) -> DataFrame:
     return settled(rows.where("node <> component"))
 
 
+def leaders_apart(shared: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows of ``shared`` (doc, leader, ...) whose two documents lie in different components."""
+    at = lambda key, name: component.select(F.col("node").alias(key), F.col("component").alias(name))
+    rows = shared.join(at("doc", "c1"), "doc", "left").join(at("leader", "c2"), "leader", "left")
+    return rows.where(F.coalesce("c1", "doc") != F.coalesce("c2", "leader")).drop("c1", "c2")
+
+
 def open_tiles(met: DataFrame, component: DataFrame, bits: DataFrame, most: int | None) -> DataFrame:
     """Pairs (doc, leader) under one shingle, in different components, that their bitmaps don't rule out.
 
-    The rows of a shingle are dealt to cells of about CELL rows and each two cells form a tile, in which the bitmaps are compared as
+    Two documents that alone share a shingle have been compared, as one leads the other. The rows of a shingle are dealt to cells of about CELL rows and each two cells form a tile, in which the bitmaps are compared as
     matrices; only pairs that remain leave the task. ``most``: at most so many a document and tile, the likeliest first; None: all."""
     rows = met.select("token", "doc").join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    groups = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    rows = rows.join(settled(groups.where("lo <> hi").select("token", "cells")), "token")
+    groups = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / CELL).cast("int").alias("cells"), F.count("*").alias("size"))
+    rows = rows.join(settled(groups.where("lo <> hi and size > 2").select("token", "cells")), "token")
     rows = rows.join(bits.withColumnRenamed("doc_id", "doc"), "doc").withColumn("cell", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     rows = rows.select("token", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "doc", "component", "n", "bits")
@@ -348,12 +356,21 @@ def join_documents(docs: DataFrame) -> DataFrame:
     widespread = np.array([r["h1"] for r in reversed(order)], np.int64).view(np.uint64)
     met = settled(meetings(prefixes(rows, widespread)))
     bits = found.where("kind = 0").select("doc_id", "n", "bits")
+    # leaders first, those a document meets most before others; who is joined already needs no more of them
     shared = met.where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("c"))
-    # first each document with the leader it meets most; then, with what is still apart, a few likely partners each, more, and all
-    favourite = shared.groupBy("doc").agg(F.max(F.struct("c", (-F.col("leader")).alias("neg"))).alias("best")).select("doc", (-F.col("best.neg")).alias("leader"))
-    tried = settled(bounded(favourite, bits))
-    links = settled(to_classes(verified(rows, tried), member))
-    component = connected_components(links)
+    order = Window.partitionBy("doc").orderBy(F.desc("c"), "leader")
+    shared = settled(shared.withColumn("no", F.row_number().over(order)))
+    tried = links = component = None
+    for least, last in LEADERS:
+        asked = shared.where(F.col("no") >= least) if last is None else shared.where(F.col("no").between(least, last))
+        if component is not None:
+            asked = leaders_apart(asked, places(member, component))
+        pairs = settled(bounded(asked.select("doc", "leader"), bits))
+        if component is not None and not pairs.limit(1).count():
+            continue
+        found_links = settled(to_classes(verified(rows, pairs), member))
+        tried, links = (pairs, found_links) if links is None else (tried.unionByName(pairs), links.unionByName(found_links))
+        component = connected_components(links)
     for most in ROUNDS:
         found_apart = settled(open_tiles(met, places(member, component), bits, most))
         if not found_apart.limit(1).count():

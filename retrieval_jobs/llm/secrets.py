@@ -1,6 +1,6 @@
 """Secret scan, with DataFrame functions only.
 
-Candidates are runs of 16 or more key characters holding a digit. Each gets features of length,
+Candidates are runs of 16 or more key characters holding a digit, also right after "=". Each gets features of length,
 character transitions, dictionary coverage, path and neighbouring words; a random forest trained
 from labelled findings (Spark's own) decides which are real. The trees are written as nested CASE
 expressions, so candidates are found, scored and redacted inside the row: no shuffle, no Python.
@@ -16,7 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What a candidate looks like, and the words the features look for.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]{0,80}[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+# An "=" before a run assigns it; after one it is padding only where no value follows.
+# An identifier with a credential word that a value is assigned to is a name, not a candidate.
+NAME = r"(?i:(?=[a-z0-9_\-]*(?:token|secret|passw|pwd|key|auth|credential))(?:[a-z0-9]{1,16}[_\-]){1,8}[a-z]{0,16}[0-9]{0,2})(?:[\"'`]?[ \t]*=|[\"'`]?:[ \t]|[\"'`][ \t]*:)[ \t]*[\"'`]?[A-Za-z0-9+/]"
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?!" + NAME + r")(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=\-]))?"
+ASSIGNS = r"^[\"'`]?\s*(:|=|:=|=>)\s*[\"'`]?$"
 CONTEXT = 48  # characters of context on either side
 CREDENTIAL = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key|client[_-]?secret|signature)"
 CHECKSUM = r"(?i)(sha-?[0-9]*|md5|checksum|digest|commit|revision|etag|hash|uuid|guid|build|integrity|order|invoice|phone|card|isbn|serial)"
@@ -66,6 +70,8 @@ def candidates(text: Column) -> Column:
         gone = F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, p: a + F.length(p))
         gone = gone + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0).cast("long"), lambda a, p: a + F.length(p))
         left, right = F.element_at(pieces, i + 1), F.element_at(pieces, i + 2)
+        # a candidate can be the name that the next one is assigned to
+        left = F.when(left.rlike(ASSIGNS), F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), left)).otherwise(left)
         return F.struct(
             value.alias("value"), (gone + 1).alias("start"),
             F.substring(left, F.greatest(F.lit(1), F.length(left) - (CONTEXT - 1)), F.lit(CONTEXT)).alias("before"),

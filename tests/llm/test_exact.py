@@ -168,3 +168,22 @@ def test_secrets(spark):
     assert clean[0].text == 'set token = "[SECRET]" now' and clean[0].n_chars == len(clean[0].text)
     assert clean[5].text.count("[SECRET]") == 2 and clean[1].text == texts[1] and clean[2].text == texts[2] and clean[3].text is None and clean[4].text == ""
     assert secrets.find_secrets(docs.where("false"), model).count() == 0
+
+
+def test_secrets_after_equals_signs(spark):
+    """KEY=VALUE, URL parameters and .env lines; the name of an assignment is no secret, nor is a checksum or a number."""
+    values = ["Xy7kLm9PqRs2TuVw4Zab", "Ab1dEfGh2jKlMn3pQr4tUv5xWz6aBc7d", "9f86d081884c7d659a2feaa0c55ad015", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzAbCdEfGh", "qLr8TfZk2Vw0sXbN5mYcJ1hD4gPaUe7R"]
+    shapes = [
+        "password={}", "see client_secret={}&x=1", "export TOKEN={}\n", "AWS_SECRET_ACCESS_KEY={}\n", "https://a.example.org/cb?access_token={}&page=2",
+        "HOST=local\nAPI_KEY={}\nDEBUG=1\n", "S3_SECRET_ACCESS_KEY={}\n", 'S3_SECRET_ACCESS_KEY="{}"', "api_key={}==\n",
+    ]
+    texts = [(s.format(v), v + "==" * ("==" in s)) for s in shapes for v in values]
+    late = "aB" * 45 + "7" + "cD" * 4  # its first digit is its 91st character
+    texts.append((f"client_secret={late}&", late))
+    clean = ["md5=9f86d081884c7d659a2feaa0c55ad015\n", "integrity=sha512-n4bQgYhMfWWaL+qgxVrQFaO/TxsrC4Is0V1sFbDwCgg=", "order=41111111111111111111.", "MY_SECRET_NUMBER_NAME_2=yes", "a==b and c=d"]
+    docs = documents(spark, [t for t, _ in texts] + clean)
+    model = secrets.train(secrets.labelled_findings(spark))
+    real = sorted((r.doc_id, r.start, r.length) for r in secrets.find_secrets(docs, model).collect() if r.is_secret)
+    assert real == [(i, t.index(v) + 1, len(v)) for i, (t, v) in enumerate(texts)]
+    got = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
+    assert [got[i] for i in range(len(got))] == [t.replace(v, "[SECRET]") for t, v in texts] + clean

@@ -22,10 +22,15 @@ from pyspark.sql import functions as F
 from .common import bounded_sample
 
 # Element kinds and the class or id words that tell boilerplate from content.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|button|head|title)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(title)(?=[\s/>])[^>]*>(?:(?!<(?:title|body|/head)[\s/>]).)*?</title\s*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+HIDDEN = set("noscript template svg iframe select button title".split())  # their text is not shown or no prose
+NESTING = set("template svg".split())  # may hold their own kind
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = set("html body div section article main nav header footer aside form ul ol li dl dt dd table thead tbody tfoot tr td th blockquote figure figcaption details summary fieldset center address dialog menu".split())
+BREAKS = CONTAINERS | set("head p h1 h2 h3 h4 h5 h6 pre hr".split())  # end a hidden element that has no end tag
 BOILER_TAGS = set("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = set("article main".split())
 BOILER_WORDS = set("nav navbar navigation menu header footer sidebar aside ad ads advert advertisement banner cookie cookies consent gdpr notice alert promo promotion sponsor sponsored share sharing social related recommended recommendations comment comments reply replies discussion disqus form search login signin signup subscribe newsletter breadcrumb breadcrumbs pagination pager widget popup modal overlay copyright legal toolbar topbar masthead tags meta skip".split())
@@ -72,6 +77,31 @@ def telling(tag: str, attributes: str) -> int:
     return -1 if bad and tag not in CONTENT_TAGS else 1 if good else 0
 
 
+def hidden_spans(tokens: list[re.Match]) -> dict[int, int]:
+    """Start tag -> end tag (positions in ``tokens``) of the hidden elements that are closed inside their container."""
+    spans: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    for i, m in enumerate(tokens):
+        tag = (m[4] or "").lower()
+        if tag not in HIDDEN and tag not in CONTAINERS:
+            continue
+        if m[3]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    if tag in HIDDEN:
+                        spans[stack[k][1]] = i
+                    del stack[k:]
+                    break
+        elif tag in CONTAINERS or tag in NESTING:
+            if stack and stack[-1][0] == tag and tag in ("li", "tr", "td", "th", "dt", "dd"):
+                stack.pop()
+            if not (tag == "svg" and m[5].endswith("/")):
+                stack.append((tag, i))
+        else:  # a second one ends the first, which has no end tag then
+            stack = [x for x in stack if x[0] != tag] + [(tag, i)]
+    return spans
+
+
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, number, evidence in force
@@ -91,25 +121,39 @@ def blocks_of(page: str) -> list[Block]:
         if link:
             current.linked += len(text.strip())
 
-    for m in TOKEN.finditer(page):
-        put(page[at : m.start()])
+    tokens = list(TOKEN.finditer(page))
+    spans = hidden_spans(tokens) if any((m[4] or "").lower() in HIDDEN for m in tokens) else {}
+    past, hush = -1, False  # last token of a hidden element; whether one without an end tag is open
+    for i, m in enumerate(tokens):
+        if i <= past:
+            continue
+        if not hush:
+            put(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[4] or "").lower()
         if not tag:
-            if m[1] and m[1].lower() not in ("svg", "iframe", "noscript"):
-                current = None if m[1].lower() in ("head", "title") else current
+            current = None if m[2] else current
+            continue
+        if tag in HIDDEN:
+            if i in spans:
+                past, hush = spans[i], False
+                at = tokens[past].end()
+            else:
+                hush = not m[3] and not m[5].endswith("/")
             continue
+        if tag in BREAKS:
+            hush = False
         if tag == "br":
-            put(" ")
+            put("" if hush else " ")
             continue
         if tag in INLINE:
             if tag == "a":
-                link = 0 if m[2] else 1
+                link = 0 if m[3] else 1
             continue
         current, tag_of_block = None, tag
         if tag in CONTAINERS:
             link = 0
-            if m[2]:
+            if m[3]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
@@ -118,14 +162,14 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 if tag in ("li", "tr", "td", "th", "dt", "dd") and stack[-1][0] == tag:
                     stack.pop()
-                says, before = telling(tag, m[4] or ""), stack[-1][2]
+                says, before = telling(tag, m[5] or ""), stack[-1][2]
                 if says == -2:
                     says = 0 if before == 1 else -1
                 number += 1
                 stack.append((tag, number, says or before))
-        elif m[2]:
+        elif m[3]:
             tag_of_block = ""
-    put(page[at:] if not page[at:].startswith("<") else "")
+    put(page[at:] if not hush and not page[at:].startswith("<") else "")
     kept = []
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())

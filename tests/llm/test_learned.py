@@ -154,6 +154,24 @@ def test_html(spark, sf_dir):
     assert texts[1] == texts[2] == texts[3] == "" and len(texts[4]) > 300000
 
 
+def test_html_left_out_and_self_closed_tags():
+    """Optional and missing end tags, self-closed and custom elements lose no text; what is hidden stays hidden."""
+    first, second = "The first paragraph has words, and a few more of them.", "The second paragraph has words, and it goes on for a while."
+    inside = lambda x: f"<html><body><article><p>{first}</p>{x}<p>{second}</p></article></body></html>"
+    odd = [
+        '<svg width="9" viewBox="0 0 1 1"/>', "<iframe src='x'/>", "<iframe src='x'/><iframe src='y'></iframe>", "<button>Share", "<div><button>Share</div>", "<select><option>One<option>Two", "<noscript>Off",
+        "<button>Share<button>Like</button>", "<svg><g><svg/></g><text>drawn</text></svg>", "<svg><svg>in</svg>out</svg>", "<button>Share</button>", "<template><div>later</template>", "<noscript><p>Off</p></noscript>",
+        "<textarea>typed <p></textarea>", "<script>if (a<b) '<p>'</script>", "<style/></style>", "<title-bar></title-bar>", "<select-box></select-box>", "<template/>",
+    ]
+    pages = [inside(x) for x in odd]
+    for top in ("<head><title>T</title>", "<head><title>T", "<head><meta charset=utf-8><title>T</title></head>", "<title>T <p> T</title>"):
+        pages.append(f"<!doctype html><html>{top}<body><article><p>{first}</p><p>{second}</p></article></body></html>")
+    pages.append(f"<head><title>T</title><article><p>{first}</p><p>{second}</p></article>")
+    pages.append(inside("<button>Share") + "<footer><button>Up</button></footer>")
+    for page in pages:
+        assert html_extraction.extract(page, html_extraction.DEFAULT) == f"{first} {second}", page
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(7)
     for _ in range(60):

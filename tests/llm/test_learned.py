@@ -85,6 +85,18 @@ def test_inconsistent_slots_are_no_match(spark):
     assert [r.doc_id for r in decontamination.contaminated(docs, bench).collect()] == [0]
 
 
+def test_names_that_open_sentences(spark):
+    item = "Alice has 5 apples. Bob gives her 3. How many does Alice have now?"
+    copy = item.replace("Alice", "Carol").replace("Bob", "Dave").replace("5", "8").replace("3", "6")
+    mixed = copy.replace("does Carol", "does Erin")  # one name stands for two
+    noise = "some other words come here and there again. "
+    docs = documents(spark, [copy, noise * 9 + copy, item, noise * 9, item.replace("apples. Bob", "apples, Bob").replace("Alice", "Carol"), mixed.replace("How many", "How few")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (2_000_000, 0):
+        got = {r.doc_id: r.reparameterised for r in decontamination.contaminated(docs, bench, broadcast_windows=most).collect()}
+        assert got == {0: True, 1: True, 2: False, 4: True}
+
+
 def test_hmm_counts_and_base(spark):
     texts = ["the cat sat", None, "", "the the dog", "The Dog ran away " * 300, "  "] + [f"word{i % 7} the cat" for i in range(40)]
     docs = documents(spark, texts, [(None, "x", None, None, 0)])

@@ -100,6 +100,24 @@ def templates(buf: np.ndarray, offsets: np.ndarray):
     return token, np.where(number | unit | name, value, np.uint64(0)), doc, value, opening
 
 
+def raw_tokens(buf: np.ndarray, offsets: np.ndarray):
+    """Value hash, document and length in bytes of each token without outer punctuation; ideographs and kana are tokens of their own."""
+    starts, ends, _ = words_of(buf, offsets)
+    wide = np.flatnonzero((buf >= 0xE3) & (buf <= 0xE9))
+    if len(wide):
+        after = wide + 3
+        starts, ends = np.unique(np.concatenate([starts, wide, np.setdiff1d(after, ends)])), np.unique(np.concatenate([ends, after, np.setdiff1d(wide, starts)]))
+    solid = ~_PUNCT[buf]
+    places = np.arange(len(buf))
+    prior = np.maximum.accumulate(np.where(solid, places, -1))
+    following = np.minimum.accumulate(np.where(solid, places, len(buf))[::-1])[::-1]
+    starts, ends = following[starts], prior[ends - 1] + 1
+    keep = starts < ends
+    keep[keep] &= ~((buf[starts[keep]] == 0xE3) & (buf[np.minimum(starts[keep] + 1, len(buf) - 1)] == 0x80))  # ideographic punctuation
+    starts, ends = starts[keep], ends[keep]
+    return span_hashes(buf, starts, ends), np.searchsorted(offsets, starts, "right") - 1, ends - starts
+
+
 def template_windows(df: DataFrame, key: str, wanted=None, exact: list[int] | None = None) -> DataFrame:
     """(key, pos, window, slots, kind, size) of every window with enough literals; ``wanted``: broadcast sorted hashes.
 
@@ -150,6 +168,22 @@ def template_windows(df: DataFrame, key: str, wanted=None, exact: list[int] | No
                     ok &= member(hashes, wanted.value)
                 start = start[ok]
                 add(hashes, start, n, slot, doc, first, np.where(has[ok], kind, PLAIN | OPENED).astype(np.int32))
+        if exact is None and whole.all() or exact is not None and not exact:
+            return found
+        value, doc, length = raw_tokens(buf, offsets)
+        count, first = np.bincount(doc, minlength=rows), np.searchsorted(doc, np.arange(rows))
+        fit = ~whole & (count >= EXACT_TOKENS) & (np.bincount(doc, length, minlength=rows) >= EXACT_BYTES)
+        for n in range(EXACT_TOKENS, WINDOW + 1) if exact is None else exact:
+            start = np.arange(max(0, len(value) - n + 1))
+            ok = doc[start] == doc[start + n - 1]
+            if exact is None:
+                ok &= fit[doc[start]] & (np.minimum(count[doc[start]], WINDOW) == n)
+            if not ok.any():
+                continue
+            hashes = window_hashes(value ^ _RAW, n)
+            if wanted is not None:
+                ok &= member(hashes, wanted.value)
+            add(hashes, start[ok], n, None, doc, first, np.full(int(ok.sum()), EXACT, np.int32))
         return found
 
     def run(batches):

@@ -97,6 +97,16 @@ def test_names_that_open_sentences(spark):
         assert got == {0: True, 1: True, 2: False, 4: True}
 
 
+def test_items_without_a_template_window(spark):
+    items = ["Compute 12 + 35 * 4 - 7", "日本の首都はどこですか", "photosynthesis requires sunlight", "yes", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    around = "before it come words {} and after it come more"
+    texts = [around.format(t) for t in items] + ["これは問題です。日本の首都はどこですか。答えは東京です", "yes", around.format("Compute 12 + 36 * 4 - 7"), around.format("1 2 3 4 5 6 7 8 9 10 12 11"), "日本の首都は東京です"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (2_000_000, 0):
+        got = decontamination.contaminated(documents(spark, texts), bench, broadcast_windows=most).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 1), (2, 2), (4, 4), (5, 1), (6, 3)]
+
+
 def test_hmm_counts_and_base(spark):
     texts = ["the cat sat", None, "", "the the dog", "The Dog ran away " * 300, "  "] + [f"word{i % 7} the cat" for i in range(40)]
     docs = documents(spark, texts, [(None, "x", None, None, 0)])

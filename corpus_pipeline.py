@@ -22,7 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest doc_id; rows without a doc_id stay."""
+    """One document of each group of near duplicates, the one of smallest doc_id; rows without a doc_id stay.
+
+    A doc_id stands for one document: of rows that share one, only that of smallest text is judged and can stay."""
     ship(spark)
     found = jaccard_join.join_documents(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
@@ -43,8 +45,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents chosen for the target mixture, with their texts and how often each is read."""
-    chosen = mixing.mix_sources(docs).select("doc_id", "domain", "n_tokens", "copies")
-    return docs.join(chosen, "doc_id").select(*docs.columns, "domain", "n_tokens", "copies")
+    # doc_id may be null or repeated: rows are joined by a number of their own, kept in a table so that it stays
+    rows = settled(docs.withColumn("row_id", F.monotonically_increasing_id()))
+    chosen = mixing.mix_sources(rows, keep=("row_id",)).select("row_id", "domain", "n_tokens", "copies")
+    return rows.join(chosen, "row_id").select(*docs.columns, "domain", "n_tokens", "copies")
 
 
 STAGES = [

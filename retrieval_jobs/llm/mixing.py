@@ -75,10 +75,10 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, budget_share: float, max
     return sources.select(*LEVELS, "leaf_docs", "leaf_tokens", F.floor(F.col("share") + 1e-6).cast("long").alias("budget"))
 
 
-def mix_sources(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 3, seed: int = 7, weights=target_weights) -> DataFrame:
+def mix_sources(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 3, seed: int = 7, weights=target_weights, keep: tuple[str, ...] = ()) -> DataFrame:
     """Choose documents so that leaf token totals follow the target weights.
 
-    Input: ``doc_id, text, lang, source`` (more columns are ignored). Returns one row per chosen
+    Input: ``doc_id, text, lang, source`` (more columns are ignored, those named in ``keep`` are carried along). Returns one row per chosen
     document: doc_id, domain, lang, source, n_tokens long, copies long (how often it is read, the
     last partial epoch included), partial boolean (it belongs to the partial epoch's prefix).
     Null text or text without words: no tokens, never chosen. Null or blank lang and source form leaves of their own
@@ -87,7 +87,7 @@ def mix_sources(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 3,
     positive weight get nothing."""
     # texts are read once; what follows works on the counted rows, a few words each
     rows = docs.select(
-        "doc_id",
+        "doc_id", *keep,
         domain_of(F.col("source")).alias("domain"),
         F.coalesce(F.nullif(F.trim("lang"), F.lit("")), F.lit("und")).alias("lang"),
         F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("none")).alias("source"),
@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 3,
     plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("leaf_tokens")).cast("long"))
     plan = plan.withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens"))
     plan = settled(plan.withColumn("pieces", F.ceil(F.col("leaf_docs") / F.lit(PIECE)).cast("long")))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(*[F.col(c).cast("string") for c in ("doc_id", *keep)])).cast("binary"))
     # a plan row per leaf: the number of leaves is the number of distinct (domain, lang, source)
     drawn = rows.join(plan.drop("leaf_docs", "leaf_tokens", "budget"), list(LEVELS)).withColumn("key", key)
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
@@ -107,10 +107,10 @@ def mix_sources(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 3,
     pieces = drawn.groupBy(*LEVELS, "piece").agg(F.sum("n_tokens").alias("t"))
     ahead = F.coalesce(F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pieces = pieces.select(*LEVELS, "piece", ahead.alias("ahead"))
-    inner = Window.partitionBy(*LEVELS, "piece").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*LEVELS, "piece").orderBy("key", "doc_id", *keep).rowsBetween(Window.unboundedPreceding, 0)
     run = drawn.join(pieces, [*LEVELS, "piece"]).withColumn("running", F.col("ahead") + F.sum("n_tokens").over(inner))
     partial = F.col("running") <= F.col("rest")
-    out = run.select("doc_id", *LEVELS, "n_tokens", (F.col("whole") + partial.cast("long")).alias("copies"), partial.alias("partial"))
+    out = run.select("doc_id", *keep, *LEVELS, "n_tokens", (F.col("whole") + partial.cast("long")).alias("copies"), partial.alias("partial"))
     return out.where("copies > 0")
 
 

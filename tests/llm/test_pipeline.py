@@ -35,3 +35,21 @@ def test_awkward_rows(spark, sf_dir):
         docs = corpus_pipeline.settled(stage(spark, docs, sf_dir))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents(spark, ["a"]).where("false"), sf_dir).count() == 0
+
+
+def test_mixing_keeps_rows_of_null_and_repeated_ids(spark, sf_dir):
+    """Every row with words comes out at most once, with its own text, words and copies."""
+    def same(rows):
+        docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return docs, corpus_pipeline.mix_to_weights(spark, docs, sf_dir).collect()
+
+    # the tree has one leaf, whose budget is half of all tokens: exactly that many words come out
+    docs, got = same([(None, f"n{k}") for k in range(10)] + [(7, f"r{k}") for k in range(6)] + [(8, "x")] * 4)
+    assert sum(r.n_tokens * r.copies for r in got) == 10 and len(got) == 10
+    texts = [r.text for r in docs.collect()]
+    assert all([r.text for r in got].count(t) <= texts.count(t) for t in {r.text for r in got})
+    # lone ids: all rows are null, or all share one
+    for one in (None, 7):
+        _, got = same([(one, "w " * (k + 1)) for k in range(20)])
+        assert got and all(r.n_tokens == len(r.text.split()) and r.copies == 1 for r in got)
+        assert len({r.text for r in got}) == len(got) and 85 <= sum(r.n_tokens for r in got) <= 105

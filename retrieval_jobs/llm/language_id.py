@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, text_blocks
 
+#: The model learns at most so many languages, the most frequent ones.
+LANGUAGES = 1000
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -122,9 +124,10 @@ def has_letter(data: bytes) -> bool:
 def train(docs: DataFrame, sample_rows: int = 6000, **options) -> Model:
     """Fit on at most ``sample_rows`` rows of (doc_id, text, lang) with a language and a text.
 
-    Rare languages are kept: each language gets its share of the bound, at least as many rows as any other if it has them."""
+    Rare languages are kept: each language gets its share of the bound, at least as many rows as any other if it has them.
+    Only the ``LANGUAGES`` most frequent values of ``lang`` are learned, as the model has a column for each."""
     usable = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy("lang").limit(1000).collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
     each = sample_rows / len(counts)

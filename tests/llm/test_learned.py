@@ -31,6 +31,13 @@ def test_language_id(spark, sf_dir):
     assert language_id.identify(odd.where("false"), model, odd.columns).count() == 0
 
 
+def test_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(i, f"x{i}", f"a{i}", "src1", 0) for i in range(9)] + [(100 + i, "the cat and the dog", "en", "src1", 0) for i in range(9)] + [(200 + i, "der hund und die katze", "de", "src1", 0) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(language_id.train(docs).languages) == ["de", "en"]
+
+
 def test_language_scores_match_plain_sums():
     model = language_id.fit(["the cat and the dog " * 3, "der hund und die katze " * 3] * 10, ["en", "de"] * 10, epochs=2)
     for text in ("the dog", "die katze und"):

@@ -132,6 +132,24 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.where("false")).count() == 0
 
 
+def test_neighbours_of_a_large_table():
+    """Recall where VERIFY decides, not the least number of verified vectors: 60,000 rows in 64 shards."""
+    rng = np.random.default_rng(4)
+    data, shards, asked = rng.normal(size=(60000, 64)), neighbours.MIN_SHARDS, np.arange(0, 1200, 20)
+    assert len(data) > neighbours.LEAST_SHARD * shards and neighbours.SHARD_ROWS * shards > len(data)
+    part, found = rng.permutation(len(data)) % shards, [[] for _ in asked]
+    for p in range(shards):
+        ids = np.flatnonzero(part == p)
+        assert neighbours.LEAST_VERIFIED * 20 < neighbours.VERIFY * len(ids)
+        shard = neighbours.Shard(ids, data[ids], float(np.linalg.norm(data, axis=1).max()))
+        for f, (i, score) in zip(found, shard.search(asked, data[asked], 20), strict=True):
+            f += zip(-score, i.tolist(), strict=True)
+    score = data[asked] @ data.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    hits = sum(len({i for _, i in sorted(f)[:20]} & set(np.argsort(-s)[:20].tolist())) for f, s in zip(found, score, strict=True))
+    assert hits / (20 * len(asked)) >= 0.9
+
+
 def test_mixing_against_sql(spark, duck, sf_dir):
     got = queries.op3_source_mixing(spark, sf_dir).toPandas()
     want = duck.sql(queries.ORACLES["op3_source_mixing"]).df()

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -12,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that one numpy pass holds at a time (a longer document is a pass of its own).
 BLOCK_BYTES = 2 << 20
@@ -26,28 +26,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _OWN_DIRS: dict[str, str] = {}
 
+#: Spark's setting that lets the shuffle files of a query go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; one of our own only where none is named, as in tests."""
+    """The folder the cluster names for checkpoints. Only a local session, as in tests, gets one of its own where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not named and app not in _OWN_DIRS:
+    if named:
+        return named
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    return named or _OWN_DIRS[app]
+    return _OWN_DIRS[app]
 
 
-def settled(df: DataFrame, large: bool = False) -> DataFrame:
+def settled(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` computed once and kept as a table in the shared checkpoint folder: later reads survive lost executors.
 
-    After a job of ``large`` shuffles the driver is given time to let their files go before the next ones are written."""
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # shuffle files of the finished job go once the driver has collected what refers to them
-    for _ in range(3 if large else 1):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(1 if large else 0)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    With ``by`` it is bucketed by that column, so that joins on it need not shuffle it; ``df`` should come as ``dealt`` by it.
+    The shuffle files of the query that writes it go when it ends."""
+    spark = df.sparkSession
+    name = f"settled_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        if by:
+            df.write.bucketBy(_partitions(spark), by).option("path", path).saveAsTable(name)
+        else:
+            df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.table(name) if by else spark.read.schema(df.schema).parquet(path)
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """``df`` partitioned as a table that is bucketed by the column, which a join on it keeps."""
+    return df.repartition(_partitions(df.sparkSession), by)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Empty tables of ``settled`` that nothing reads any more."""
+    for t in tables:
+        for path in {f.rpartition("/")[0] for f in t.inputFiles()} if t is not None else ():
+            spark, name = t.sparkSession, path.rpartition("/")[2]
+            if spark.catalog.tableExists(name):
+                spark.sql(f"drop table {name}")
+            spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def crc_bucket(doc_id, n: int):
@@ -58,9 +90,30 @@ def crc_bucket(doc_id, n: int):
 def bounded_sample(labelled: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, the same ones for the same input, picked by a hash of ``key``.
 
-    Only keys are sorted; the payload is fetched by a join with the bounded list of keys."""
-    keys = labelled.select(key).distinct().orderBy(F.xxhash64(F.lit("sample"), F.col(key)), key).limit(rows)
-    return labelled.join(F.broadcast(keys), key, "left_semi")
+    Only keys are sorted at first; the payload is fetched by a join with the bounded list of keys. Where keys repeat,
+    the bound holds for the rows, smallest first."""
+    place = F.xxhash64(F.lit("sample"), F.col(key))
+    keys = labelled.select(key).distinct().orderBy(place, key).limit(rows)
+    found = labelled.join(F.broadcast(keys), key, "left_semi")
+    return found.orderBy(place, key, *[c for c in labelled.columns if c != key]).limit(rows)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores as needed, so that no column of ``df`` bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def result_schema(kept: DataFrame, added) -> StructType:
+    """Schema of ``kept`` with the columns ``added`` (name, type), which must be new."""
+    schema = StructType(list(kept.schema.fields))
+    for name, kind in added:
+        if unused(kept, name) != name:
+            raise ValueError(f"column {name} is there already: name the results otherwise")
+        schema = schema.add(name, kind)
+    return schema
 
 
 def text_blocks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = BLOCK_BYTES):
@@ -194,13 +247,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         new = (
             label.join(seen, "node", "left")
             .join(hop, "component", "left")
-            .select("node", F.least("component", F.coalesce("near", "component"), F.coalesce("top", "component")).alias("new"), F.col("component").alias("old"))
+            .select("node", F.least("component", F.coalesce("near", "component"), F.coalesce("top", "component")).alias("component"), F.col("component").alias("old"))
         )
         new = settled(new)
-        changed = new.where("new <> old").limit(1).count()
-        label = new.select("node", F.col("new").alias("component"))
-        if not changed:
-            return label
+        discard(label)
+        label = new
+        if label.where("component <> old").isEmpty():
+            discard(edges)
+            return label.select("node", "component")
 
 
 def one_per_id(df: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,22 +1,27 @@
 """Exact n-gram Jaccard join of documents with themselves.
 
-A document is its set of distinct 5-word shingles. Equal sets form one class. Two sets of similarity 0.75
-or more share a shingle among the first n - ceil(0.75 n) + 1 of either under one order of all
-shingles, in which widespread ones come last; so documents meet under the shingles of those prefixes.
-Under each shingle the documents, by size, are compared with the smallest of their size band: such
-a leader and its partners form tiles of bounded size, where hashed bitmaps bound the overlap from
-above and the sorted arrays of the pairs that remain are intersected. Documents under one shingle
-that the links found so far leave in different components are compared pair by pair, so no link is lost.
+A document is its set of distinct 5-word shingles. Equal sets form one class, and only one document of
+a class goes on. Two sets of similarity 0.75 or more share a shingle among the first
+n - ceil(0.75 n) + 1 of either under one order of all shingles, in which widespread ones come last; so
+documents meet under the shingles of those prefixes. Of shingles under which the same documents meet
+one is kept. Each document is first compared with the smallest of its size band that it meets most
+often: such leaders and their partners form tiles of bounded size, where hashed bitmaps bound the
+overlap from above and the sorted arrays of the pairs that remain are intersected. Shingles whose
+documents these links leave in different components are gathered to groups by a min-hash of their
+documents, and the groups are cut to tiles. First only bitmaps are compared, and a document goes on if
+they leave it a partner in another component; then the sorted arrays of those are intersected in
+the tile, the likeliest pairs first, where pairs that earlier links have joined need no answer. Tiles give
+documents and spanning links, so that pairs are never rows, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, mix, one_per_id, settled, shingle_sets, text_blocks
+from .common import connected_components, dealt, discard, mix, one_per_id, settled, shingle_sets, text_blocks
 
 WORDS = 5
 #: A shingle that so many sets of one task's share hold is reported as widespread; the order of shingles needs no exact count.
@@ -25,10 +30,10 @@ WIDESPREAD_IN_TASK, WIDESPREAD = 2, 16
 KNOWN_WIDESPREAD = 200_000
 TILE = 256  # partners of one leader in a tile
 FLUSH = 2_000_000
-CELL = 512  # documents of one shingle in a cell; two cells are compared in a tile
-#: Partners a document tries in a tile, round by round; the last round tries all that are left.
-ROUNDS = (4, None)
-LEADERS = ((1, 1), (2, 5), (6, None))  # first and last of a document's leaders that a round takes
+PART = 4096  # documents of one shingle that go to one task
+CELL = 2048  # documents of a group in a cell; two cells are compared in a tile
+CELL_SHINGLES = 2 << 20  # and of so many shingles, 16 MB
+WORDS_AT_ONCE = 1 << 21  # 64-bit words of bitmaps that one numpy step compares
 
 
 def set_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +84,15 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (3 * n + 3) // 4 + 1
 
 
-def prefixes(docs: DataFrame, widespread: np.ndarray) -> DataFrame:
-    """(token, n, doc) of the prefix shingles of one document of each class of a task."""
+def prefixes(docs: DataFrame, widespread: np.ndarray, sets: np.ndarray) -> DataFrame:
+    """(token, part, n, doc) of the prefix shingles of one document of each class of a task.
+
+    The rows of a known widespread shingle are dealt to parts from 1 on, by the number of ``sets`` known to hold it; other shingles have part 0."""
     rank = np.argsort(widespread)
-    shared = docs.sparkSession.sparkContext.broadcast((widespread[rank], rank + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((widespread[rank], rank + 1, np.maximum(1, sets[rank] // PART)))
 
     def run(batches):
-        hot, place = shared.value
+        hot, place, parts = shared.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -101,93 +108,126 @@ def prefixes(docs: DataFrame, widespread: np.ndarray) -> DataFrame:
                 owner = np.repeat(np.arange(hi - lo), n)
                 keep = fresh[owner]
                 owner, values = owner[keep], values[keep]
-                late = np.zeros(len(values), np.int64)
+                late, part = np.zeros(len(values), np.int64), np.zeros(len(values), np.int32)
                 if len(hot) and len(values):
                     where = np.searchsorted(hot, values)
                     where[where == len(hot)] = 0
-                    late = np.where(hot[where] == values, place[where], 0)
+                    known = hot[where] == values
+                    late = np.where(known, place[where], 0)
+                    dealt = mix(ids[lo + owner].astype(np.uint64)) % parts[where].astype(np.uint64)
+                    part = np.where(known, 1 + dealt.astype(np.int32), 0).astype(np.int32)
                 order = np.lexsort((values, late, owner))
-                owner, values = owner[order], values[order]
+                owner, values, part = owner[order], values[order], part[order]
                 first = np.searchsorted(owner, np.arange(hi - lo))
                 take = np.arange(len(owner)) - first[owner] < prefix_length(n)[owner]
-                owner, values = owner[take], values[take]
+                owner, values, part = owner[take], values[take], part[take]
                 for a in range(0, len(owner), 200_000):
                     b = slice(a, a + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(values[b].view(np.int64)), pa.array(n[owner[b]]), pa.array(ids[lo + owner[b]])], names=["token", "n", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(values[b].view(np.int64)), pa.array(part[b]), pa.array(n[owner[b]]), pa.array(ids[lo + owner[b]])], names=["token", "part", "n", "doc"])
 
-    return docs.mapInArrow(run, "token long, n long, doc long")
+    return docs.mapInArrow(run, "token long, part int, n long, doc long")
 
 
-def meetings(rows: DataFrame) -> DataFrame:
-    """(token, n, doc, leader) of the documents under shingles that two or more share.
+def shared_only(rows: DataFrame) -> DataFrame:
+    """(token, n, doc) of ``prefixes`` whose shingle another row of the table has too, or that is known to be widespread."""
 
-    The rows of a shingle come by size; a leader is the first document of its size band. Groups are streamed: only the last row and leader are kept."""
+    def run(batches):
+        last = None  # the last row: its shingle may go on; whether it has been given out
+        for batch in batches:
+            token, part, n, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(token):
+                continue
+            same = token[1:] == token[:-1]
+            goes_on = last is not None and last[0] == token[0]
+            keep = part > 0
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep[0] |= goes_on
+            out = [token[keep], n[keep], doc[keep]]
+            if goes_on and not last[3]:
+                out = [np.r_[last[k], x] for k, x in enumerate(out)]
+            last = (token[-1], n[-1], doc[-1], bool(keep[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["token", "n", "doc"])
+
+    return rows.repartition("token", "part").sortWithinPartitions("token").mapInArrow(run, "token long, n long, doc long")
+
+
+def meetings(shared: DataFrame, member: DataFrame) -> DataFrame:
+    """(token, n, doc, leader): the classes that meet under a shingle, of shingles with the same classes only one.
+
+    Every row has a leader, the smallest of its size band in its part of at most about PART documents."""
+    moved = member.where("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep")
+    groups = settled(shared.join(moved, "doc", "left").select("token", "n", F.coalesce("rep", "doc").alias("doc")).distinct())
+    of = groups.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit("class"), "doc")).alias("y"))
+    kept = settled(of.where("size > 1").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / PART).alias("parts")))
+    rows = groups.join(kept, "token").select("token", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), "n", "doc")
 
     def run(batches):
-        token0 = leader0 = size0 = None  # shingle, leader and its size at the end of the last batch
-        held = None  # a last row whose shingle may go on
+        key0 = lead0 = size0 = None  # part, leader and its size at the end of the last batch
         for batch in batches:
-            token, n, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            token, part, n, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(token):
                 continue
-            token0_before, leader0_before, size0_before = token0, leader0, size0
             new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            goes_on = token0_before is not None and token[0] == token0_before
+            new[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
             leader, size = doc[lead], n[lead]
-            if goes_on:
+            if key0 == (token[0], part[0]):
                 head = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(token)
-                leader[:head], size[:head] = leader0_before, size0_before
+                leader[:head], size[:head] = lead0, size0
+            group = np.cumsum(new)
             while (far := 3 * n > 4 * size).any():  # too large for the leader: the first such row leads the next band
-                group = np.cumsum(new)
                 at = np.flatnonzero(far)
-                starts = at[np.r_[True, (group[at][1:] != group[at][:-1])]]
-                for s in starts:
+                for s in at[np.r_[True, group[at][1:] != group[at][:-1]]]:
                     e = int(np.searchsorted(group, group[s], "right"))
                     leader[s:e], size[s:e] = doc[s], n[s]
-            shared = np.zeros(len(token), bool)
-            shared[1:] |= ~new[1:]
-            shared[:-1] |= ~new[1:]
-            parts = [(token, n, doc, leader, shared)]
-            if goes_on:
-                shared[0] = True
-            if held is not None and goes_on:
-                parts.insert(0, tuple(np.array([x]) for x in held) + (np.array([True]),))
-            held = None if shared[-1] else (token[-1], n[-1], doc[-1], leader[-1])
-            token0, leader0, size0 = token[-1], leader[-1], size[-1]
-            for t, s, d, ld, ok in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(t[ok]), pa.array(s[ok]), pa.array(d[ok]), pa.array(ld[ok])], names=["token", "n", "doc", "leader"])
-
-    return rows.repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(run, "token long, n long, doc long, leader long")
+            key0, lead0, size0 = (token[-1], part[-1]), leader[-1], size[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, n, doc, leader)], names=["token", "n", "doc", "leader"])
 
+    met = settled(rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "doc").mapInArrow(run, "token long, n long, doc long, leader long"))
+    discard(groups, kept)
+    return met
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (doc, leader) that link, decided in tiles of one leader and at most about TILE partners."""
-    count = pairs.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    placed = pairs.join(count, "leader").select("doc", "leader", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int").alias("tile"))
-    asks = placed.select(F.col("doc").alias("doc_id"), F.struct("leader", "tile", F.lit(1).alias("role")).alias("ask"))
-    leads = placed.select("leader", "tile").distinct().select(F.col("leader").alias("doc_id"), F.struct("leader", "tile", F.lit(0).alias("role")).alias("ask"))
-    wanted = asks.unionByName(leads).groupBy("doc_id").agg(F.collect_list("ask").alias("asks"))
 
-    def sets(batches):
+def with_sets(rows: DataFrame, row_of, schema: pa.Schema) -> DataFrame:
+    """A row ``row_of(doc_id, ask)`` with the document's sorted shingles for each ask of rows (doc_id, text, asks)."""
+
+    def as_batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             asked = batch.column(2)
             for lo, hi, buf, offsets in text_blocks(batch):
                 values, at = shingle_sets(buf, offsets, WORDS)
-                out = []
+                out, held = [], 0
                 for i in range(hi - lo):
                     blob = values[at[i] : at[i + 1]].tobytes()
-                    out += [(a["leader"], a["tile"], a["role"], int(ids[lo + i]), blob) for a in asked[lo + i].as_py()]
-                    if sum(len(o[4]) for o in out[-4096:]) > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=set_schema)
-                        out = []
+                    for a in asked[lo + i].as_py():
+                        out.append((*row_of(int(ids[lo + i]), a), blob))
+                        held += len(blob)
+                        if held > 8 << 20:
+                            yield as_batch(out)
+                            out, held = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), set_schema.types, strict=True)], schema=set_schema)
+                    yield as_batch(out)
 
-    set_schema = pa.schema([("leader", pa.int64()), ("tile", pa.int32()), ("role", pa.int32()), ("doc", pa.int64()), ("shingles", pa.binary())])
-    rows = docs.join(wanted, "doc_id").select("doc_id", "text", "asks").mapInArrow(sets, "leader long, tile int, role int, doc long, shingles binary")
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (doc, leader) that link, decided in tiles of one leader and at most about TILE partners."""
+    count = pairs.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = pairs.join(count, "leader").select("doc", "leader", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int").alias("tile"))
+    asks = placed.select(F.col("doc").alias("doc_id"), F.struct("leader", "tile", F.lit(1).alias("role")).alias("ask"))
+    leads = placed.select("leader", "tile").distinct().select(F.col("leader").alias("doc_id"), F.struct("leader", "tile", F.lit(0).alias("role")).alias("ask"))
+    wanted = asks.unionByName(leads).groupBy("doc_id").agg(F.collect_list("ask").alias("asks"))
+
+    schema = pa.schema([("leader", pa.int64()), ("tile", pa.int32()), ("role", pa.int32()), ("doc", pa.int64()), ("shingles", pa.binary())])
+    rows = docs.join(wanted, "doc_id").select("doc_id", "text", "asks")
+    rows = with_sets(rows, lambda doc, a: (a["leader"], a["tile"], a["role"], doc), schema)
     tiles = rows.repartition("leader", "tile").sortWithinPartitions("leader", "tile", "role")
 
     def decide(batches):
@@ -210,9 +250,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return tiles.mapInArrow(decide, "a long, b long")
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """Hashed bitmap of a set: the least power of two of bits that is twice its size, alike for sets of a size band."""
-    bits = max(64, 1 << int(2 * len(values) - 1).bit_length())
+def bitmap(values: np.ndarray, times: int = 2) -> bytes:
+    """Hashed bitmap of a set: the least power of two of bits that is ``times`` its size, alike for sets of a size band."""
+    bits = max(64, 1 << int(times * len(values) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(values % np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -255,31 +295,36 @@ def linked(lead: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return ok
 
 
-def places(member: DataFrame, component: DataFrame) -> DataFrame:
-    """(node, component) of the documents whose component is not their own id."""
-    rows = member.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
-    return settled(rows.where("node <> component"))
+TILE_KEY = ["grp", "i", "j"]
 
 
-def leaders_apart(shared: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows of ``shared`` (doc, leader, ...) whose two documents lie in different components."""
-    at = lambda key, name: component.select(F.col("node").alias(key), F.col("component").alias(name))
-    rows = shared.join(at("doc", "c1"), "doc", "left").join(at("leader", "c2"), "leader", "left")
-    return rows.where(F.coalesce("c1", "doc") != F.coalesce("c2", "leader")).drop("c1", "c2")
+def open_tiles(met: DataFrame, component: DataFrame) -> DataFrame:
+    """(grp, i, j, cell, doc, component): the documents under shingles with more than one component, dealt to tiles.
 
+    Shingles with the same document of least hash form one group, as most shingles of near copies do. Documents of a
+    group's largest component need not be compared with each other: in a group of more than one cell they meet only
+    the cells of the others, which meet each other as well."""
+    rows = met.select("token", "doc", "n").join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    of = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64(F.lit("grp"), "doc"), "doc"))["doc"].alias("grp"))
+    of = settled(of.where("lo <> hi").select("token", "grp"))
+    rows = settled(rows.join(of, "token").select("grp", "doc", "n", "component").distinct())
+    cells = lambda c, n: F.ceil(F.greatest(c / F.lit(CELL), n / F.lit(CELL_SHINGLES))).cast("int")
+    each = rows.groupBy("grp", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    groups = each.groupBy("grp").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "component", "n")).alias("main"))
+    one = cells(F.col("c"), F.col("n")) == 1
+    rest = F.greatest(cells(F.col("c") - F.col("main.c"), F.col("n") - F.col("main.n")), F.lit(1))
+    groups = settled(groups.select("grp", F.when(~one, F.col("main.component")).alias("main"), F.when(one, 0).otherwise(cells(F.col("main.c"), F.col("main.n"))).alias("k"), F.when(one, 1).otherwise(rest).alias("l")))
+    is_main = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
+    rows = rows.join(groups, "grp").withColumn("cell", F.when(is_main, F.pmod(F.xxhash64("doc"), F.greatest("k", F.lit(1)))).otherwise(F.col("k") + F.pmod(F.xxhash64("doc"), "l")).cast("int"))
+    others = F.sequence("k", F.col("k") + F.col("l") - 1)
+    to_main = F.when(F.col("k") > 0, F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    pair = lambda x: F.struct(F.least("cell", x).alias("i"), F.greatest("cell", x).alias("j"))
+    rows = rows.withColumn("at", F.explode(F.transform(F.when(is_main, others).otherwise(F.concat(to_main, others)), pair)))
+    return rows.select("grp", "at.i", "at.j", "cell", "doc", "component")
 
-def open_tiles(met: DataFrame, component: DataFrame, bits: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (doc, leader) under one shingle, in different components, that their bitmaps don't rule out.
 
-    Two documents that alone share a shingle have been compared, as one leads the other. The rows of a shingle are dealt to cells of about CELL rows and each two cells form a tile, in which the bitmaps are compared as
-    matrices; only pairs that remain leave the task. ``most``: at most so many a document and tile, the likeliest first; None: all."""
-    rows = met.select("token", "doc").join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    groups = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / CELL).cast("int").alias("cells"), F.count("*").alias("size"))
-    rows = rows.join(settled(groups.where("lo <> hi and size > 2").select("token", "cells")), "token")
-    rows = rows.join(bits.withColumnRenamed("doc_id", "doc"), "doc").withColumn("cell", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    rows = rows.select("token", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "doc", "component", "n", "bits")
-    tiles = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+def by_tile(rows: DataFrame, decide, schema: str) -> DataFrame:
+    """``decide`` (one tile's rows as a table -> table) for every tile of rows (grp, i, j, ...)."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -289,55 +334,92 @@ def open_tiles(met: DataFrame, component: DataFrame, bits: DataFrame, most: int
             key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
             edge = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3)):
-                yield apart(pa.Table.from_batches(held), most)
+                yield from decide(pa.Table.from_batches(held)).to_batches()
                 held = []
             cuts = [0, *edge.tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 held.append(batch.slice(a, b - a))
                 if b < batch.num_rows:
-                    yield apart(pa.Table.from_batches(held), most)
+                    yield from decide(pa.Table.from_batches(held)).to_batches()
                     held = []
         if held:
-            yield apart(pa.Table.from_batches(held), most)
+            yield from decide(pa.Table.from_batches(held)).to_batches()
 
-    return tiles.mapInArrow(run, "doc long, leader long").distinct()
+    return rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY).mapInArrow(run, schema)
 
 
-def apart(tile: pa.Table, most: int | None) -> pa.RecordBatch:
-    """The pairs of one tile: other component, other cell if the tile has two, and bitmaps that leave room for a link."""
-    i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
-    cell, doc, component, n = (tile.column(c).to_numpy() for c in ("cell", "doc", "component", "n"))
-    maps = [np.frombuffer(x, np.uint64) for x in tile.column("bits").to_pylist()]
-    width = np.array([len(m) for m in maps])
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def possible(n: np.ndarray, component: np.ndarray, cell: np.ndarray | None, maps: list[np.ndarray]):
+    """Pairs of rows of one tile that may link, as (row, row, largest similarity the bitmaps allow), a bounded number of words at a time.
+
+    The rows lie in other components and, if ``cell`` is given, in other cells; those of the largest component are not compared with each other."""
+    names, inverse, size = np.unique(component, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    few, width = inverse != size.argmax(), np.array([len(m) for m in maps])
     for w in np.unique(width):
         # sets that may link differ by a third at most in size, so by one doubling at most in width
-        rows = np.flatnonzero(width == w)
-        wide = np.flatnonzero(width == 2 * w)
+        rows, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
         base = np.stack([maps[r] for r in rows])
         cols = np.r_[rows, wide].astype(np.int64)
         against = np.concatenate([base, np.stack([maps[r][:w] | maps[r][w:] for r in wide])]) if len(wide) else base
-        for a in range(0, len(rows), 64):
-            r = rows[a : a + 64]
-            x, size = base[a : a + 64, None, :], n[r][:, None] + n[cols][None, :]
-            only_x = np.bitwise_count(x & ~against[None]).sum(2, dtype=np.int64)
-            only_y = np.bitwise_count(~x & against[None]).sum(2, dtype=np.int64)
-            room = np.minimum(n[r][:, None] - only_x, n[cols][None, :] - only_y)
-            ok = (100 * room >= 75 * (size - room)) & (component[r][:, None] != component[cols][None, :])
-            ok &= (doc[r][:, None] < doc[cols][None, :]) | (width[cols] != w)[None, :]
-            if i != j:
-                ok &= cell[r][:, None] != cell[cols][None, :]
-            if most is not None and ok.any():
-                likely = np.where(ok, room / (size - room), -1.0)
-                keep = min(most, likely.shape[1])
-                floor = -np.partition(-likely, keep - 1, axis=1)[:, keep - 1 : keep]
-                ok &= likely >= floor
-                extra = ok.cumsum(1) > most  # ties beyond the number wait for the next round
-                ok &= ~extra
-            at = np.nonzero(ok)
-            out.append((doc[r][at[0]], doc[cols][at[1]]))
-    x, y = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["doc", "leader"])
+        for some_rows, some_cols in ((few[rows], np.ones(len(cols), bool)), (~few[rows], few[cols])):
+            r_at, c_at = np.flatnonzero(some_rows), np.flatnonzero(some_cols)
+            step = max(1, WORDS_AT_ONCE // max(1, len(c_at) * int(w)))
+            for a in range(0, len(r_at) if len(c_at) else 0, step):
+                x, y = base[r_at[a : a + step], None, :], against[c_at][None]
+                r, c = rows[r_at[a : a + step]], cols[c_at]
+                both = n[r][:, None] + n[c][None, :]
+                room = np.minimum(n[r][:, None] - np.bitwise_count(x & ~y).sum(2, dtype=np.int64), n[c][None, :] - np.bitwise_count(~x & y).sum(2, dtype=np.int64))
+                ok = (100 * room >= 75 * (both - room)) & (component[r][:, None] != component[c][None, :])
+                if cell is not None:
+                    ok &= cell[r][:, None] != cell[c][None, :]
+                at = np.nonzero(ok)
+                yield r[at[0]], c[at[1]], room[at] / (both - room)[at]
+
+
+def has_partner(tile: pa.Table) -> pa.Table:
+    """The rows of a tile (grp, i, j, cell, doc, component, n, bits) that may link with another, by bitmaps alone."""
+    maps = [np.frombuffer(x, np.uint64) for x in tile.column("bits").to_pylist()]
+    cell, component, n = (tile.column(c).to_numpy() for c in ("cell", "component", "n"))
+    some = np.zeros(len(n), bool)
+    for r, c, _ in possible(n, component, cell if tile.column("i")[0].as_py() != tile.column("j")[0].as_py() else None, maps):
+        some[r] = some[c] = True
+    return tile.select([*TILE_KEY, "cell", "doc", "component"]).filter(pa.array(some))
+
+
+def spanning_links(tile: pa.Table) -> pa.Table:
+    """Links (a, b) between the components of a tile (grp, i, j, cell, doc, component, shingles), enough to join all that its pairs link."""
+    sets = [np.frombuffer(x, np.uint64) for x in tile.column("shingles").to_pylist()]
+    cell, component, doc = (tile.column(c).to_numpy() for c in ("cell", "component", "doc"))
+    n = np.array([len(x) for x in sets])
+    top = {c: c for c in component.tolist()}
+
+    def root(c):
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    found = []
+    maps = [np.frombuffer(bitmap(x, 16), np.uint64) for x in sets]
+    for r, c, likely in possible(n, component, cell if tile.column("i")[0].as_py() != tile.column("j")[0].as_py() else None, maps):
+        for k in np.argsort(-likely, kind="stable"):
+            x, y = root(int(component[r[k]])), root(int(component[c[k]]))
+            if x != y and linked(sets[r[k]], [sets[c[k]]])[0]:
+                top[x] = y
+                found.append((doc[r[k]], doc[c[k]]))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def apart(met: DataFrame, component: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between documents that meet under a shingle and lie in different components, enough to join all that link."""
+    rows = open_tiles(met, component).join(bits.withColumnRenamed("doc_id", "doc"), "doc").select(*TILE_KEY, "cell", "doc", "component", "n", "bits")
+    left = settled(by_tile(rows, has_partner, "grp long, i int, j int, cell int, doc long, component long"))
+    asks = left.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct(*TILE_KEY, "cell", "component")).alias("asks"))
+    schema = pa.schema([("grp", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("cell", pa.int32()), ("doc", pa.int64()), ("component", pa.int64()), ("shingles", pa.binary())])
+    rows = texts.join(asks, "doc_id").select("doc_id", "text", "asks")
+    rows = with_sets(rows, lambda doc, a: (a["grp"], a["i"], a["j"], a["cell"], doc, a["component"]), schema)
+    return by_tile(rows, spanning_links, "a long, b long")
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -349,49 +431,30 @@ def join_documents(docs: DataFrame) -> DataFrame:
     rows = one_per_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     found = settled(signatures(rows))
     sigs = found.where("kind = 0").select("doc_id", "n", "h1", "h2")
-    classes = sigs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    member = settled(sigs.join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+    # a table of its own, so that the join with it can be split at a class of very many documents; blank texts are no class
+    classes = settled(sigs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    alone = sigs.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))
+    member = settled(sigs.where("n > 0").join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).unionByName(alone))
     often = found.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= WIDESPREAD)
-    order = often.orderBy(F.desc("n"), "h1").limit(KNOWN_WIDESPREAD).collect()  # rarest last in this list
-    widespread = np.array([r["h1"] for r in reversed(order)], np.int64).view(np.uint64)
-    met = settled(meetings(prefixes(rows, widespread)))
-    bits = found.where("kind = 0").select("doc_id", "n", "bits")
-    # leaders first, those a document meets most before others; who is joined already needs no more of them
-    shared = met.where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("doc").orderBy(F.desc("c"), "leader")
-    shared = settled(shared.withColumn("no", F.row_number().over(order)))
-    tried = links = component = None
-    for least, last in LEADERS:
-        asked = shared.where(F.col("no") >= least) if last is None else shared.where(F.col("no").between(least, last))
-        if component is not None:
-            asked = leaders_apart(asked, places(member, component))
-        pairs = settled(bounded(asked.select("doc", "leader"), bits))
-        if component is not None and not pairs.limit(1).count():
-            continue
-        found_links = settled(to_classes(verified(rows, pairs), member))
-        tried, links = (pairs, found_links) if links is None else (tried.unionByName(pairs), links.unionByName(found_links))
-        component = connected_components(links)
-    for most in ROUNDS:
-        found_apart = settled(open_tiles(met, places(member, component), bits, most))
-        if not found_apart.limit(1).count():
-            break  # nothing under any shingle is still apart
-        # a pair is tried once, whichever of the two led
-        known = tried.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
-        pairs = found_apart.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-        more = settled(pairs.join(known, ["a", "b"], "left_anti").select(F.col("b").alias("doc"), F.col("a").alias("leader")))
-        if not more.limit(1).count():
-            continue
-        tried = tried.unionByName(more)
-        late = settled(to_classes(verified(rows, more), member))
-        if late.limit(1).count():
-            links = links.unionByName(late)
-            component = connected_components(links)
+    often = often.orderBy(F.desc("n"), "h1").limit(KNOWN_WIDESPREAD).toArrow()
+    hot, sets = (often.column(c).to_numpy()[::-1] for c in ("h1", "n"))  # rarest first
+    shared = settled(shared_only(prefixes(rows, np.ascontiguousarray(hot).view(np.uint64), sets)))
+    met = meetings(shared, member)
+    discard(shared, classes)
+    meeting = met.select(F.col("doc").alias("doc_id")).distinct()
+    # the pairs to verify are brought to the texts, which stay where they are
+    texts = settled(dealt(rows, "doc_id").join(found.where("kind = 0").select("doc_id", "n", "bits"), "doc_id").join(meeting, "doc_id", "left_semi"), by="doc_id")
+    discard(found)
+    bits, texts = texts.select("doc_id", "n", "bits"), texts.select("doc_id", "text")
+    # each document with the leader it meets most
+    leads = met.where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("c"))
+    leads = leads.groupBy("doc").agg(F.max(F.struct("c", (-F.col("leader")).alias("neg"))).alias("m")).select("doc", (-F.col("m.neg")).alias("leader"))
+    pairs = settled(bounded(leads, bits))
+    links = [settled(verified(texts, pairs))]
+    component = connected_components(links[0])
+    links.append(settled(apart(met, component, bits, texts)))
+    if not links[1].isEmpty():
+        component = connected_components(links[0].unionByName(links[1]))
+    discard(met, texts, pairs, *links)
     out = member.join(component.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-
-
-def to_classes(links: DataFrame, member: DataFrame) -> DataFrame:
-    """Links between documents as links between their classes."""
-    a = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
-    b = member.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    return links.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct()

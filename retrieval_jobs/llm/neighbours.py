@@ -1,102 +1,110 @@
 """Approximate nearest neighbours by collision counting.
 
-Rows are spread over shards. A shard keeps, for each of ``PROJECTIONS`` random lines, its vectors in
-the order of their projection. A query opens on every line a window centred on its own projection;
-a vector collides on the lines whose window holds it. Windows widen by virtual rehashing (half-width
-times ``GROWTH``) until enough vectors exceed the collision threshold, and those are verified by
-their inner product in double precision. To search for the largest inner product, vectors get one
-more component that brings them to the largest norm of the table and queries are scaled to it, so
-that a nearer vector is one of larger inner product.
+Rows are spread over shards. A shard keeps, for each of ``LINES`` random lines, its vectors in the order of their
+projection. A query uses the ``USED`` lines on which its own projection lies farthest out, where few vectors
+but many of its neighbours lie near it, and opens on each a window centred on its projection. Windows
+widen by virtual rehashing (half-width times ``GROWTH``): they walk outwards over the sorted arrays and
+only the vectors that they newly reach are counted. A vector that collides on ``COLLISIONS`` of the lines
+exceeds the threshold; when enough vectors of the shard do, those are verified by their inner product in
+double precision. To search for the largest inner product, vectors get one more component that brings
+them to the largest norm of the table and queries are scaled to it, so that a nearer vector is one of larger
+inner product.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import one_per_id
 
-PROJECTIONS, COLLISIONS, START, GROWTH, VERIFY = 64, 0.55, 0.65, 1.07, 0.33
-#: A query verifies at least so many vectors of a shard for each neighbour wanted, or all of them.
-LEAST_VERIFIED = 15
-SHARD_ROWS, LEAST_SHARD, MIN_SHARDS = 32768, 512, 64
+LINES, USED, COLLISIONS, START, GROWTH = 1024, 32, 0.3, 0.6, 1.2
+#: Vectors of a shard that exceed the threshold, for each neighbour wanted, when its windows stop.
+VERIFIED = 10
+SHARD_ROWS = 8192
+AT_ONCE = 1 << 19  # counters (queries x vectors of the shard) of one numpy pass
 
 
 class Shard:
     """Sorted projections of one shard's vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float, seed: int = 7):
-        self.ids, self.vectors, self.largest = ids, vectors, largest
+        self.ids, self.vectors = ids, vectors
         n, dim = vectors.shape
-        norms = (vectors**2).sum(1)
-        full = np.hstack([vectors / largest, np.sqrt(np.maximum(0, 1 - norms / largest**2))[:, None]])
-        self.lines = np.random.default_rng(seed).normal(size=(dim + 1, PROJECTIONS))
-        projected = full @ self.lines
-        order = np.argsort(projected, axis=0, kind="stable")
-        self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, 0).T)
-        self.rank = np.empty((PROJECTIONS, n), np.int32)
-        for j in range(PROJECTIONS):
-            self.rank[j, order[:, j]] = np.arange(n)
-        # mean squared distance between two vectors, from the mean vector
-        self.spread = float(np.sqrt(max(1e-6, 2 * (1 - (full.mean(0) ** 2).sum()))))
-
-    def candidates(self, centres: np.ndarray, width: float) -> np.ndarray:
-        """queries x vectors: whether the collisions reach the threshold."""
-        count = np.zeros((len(centres), len(self.ids)), np.int8)
-        for j in range(PROJECTIONS):
-            lo = np.searchsorted(self.sorted[j], centres[:, j] - width, "left").astype(np.int32)
-            hi = np.searchsorted(self.sorted[j], centres[:, j] + width, "right").astype(np.int32)
-            count += (self.rank[j] >= lo[:, None]) & (self.rank[j] < hi[:, None])
-        return count >= COLLISIONS * PROJECTIONS
+        full = np.hstack([vectors / largest, np.sqrt(np.maximum(0, 1 - (vectors**2).sum(1) / largest**2))[:, None]])
+        self.lines = np.random.default_rng(seed).normal(size=(dim + 1, LINES))
+        self.mean, self.spread, self.order, projected = np.empty(LINES), np.empty(LINES), np.empty(LINES * n, np.int32), np.empty(LINES * n)
+        for j in range(0, LINES, 64):
+            p = np.ascontiguousarray(self.lines[:, j : j + 64].T) @ full.T
+            at, lines = np.argsort(p, axis=1, kind="stable"), slice(j * n, (j + len(p)) * n)
+            self.mean[j : j + 64], self.spread[j : j + 64] = p.mean(1), np.maximum(p.std(1), 1e-9)
+            self.order[lines], projected[lines] = at.ravel(), np.take_along_axis(p, at, 1).ravel()
+        # all lines are one ascending array: each is moved beyond the one before, and projections can't leave theirs
+        self.apart = 4 * float(np.linalg.norm(self.lines, axis=0).max()) + 4
+        self.sorted = projected + self.apart * np.repeat(np.arange(LINES), n)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """Ids and scores of the verified nearest, best first, of each query."""
+        """Ids and scores of the verified nearest, best first, of each query; also how many were verified and how many collisions counted."""
         n = len(self.ids)
-        scaled = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        centres = scaled @ self.lines[:-1]
-        enough = min(n, max(LEAST_VERIFIED * k, int(np.ceil(VERIFY * n))))
+        own = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ self.lines[:-1]
+        used = np.argsort(-np.abs((own - self.mean) / self.spread), axis=1, kind="stable")[:, :USED]
+        centre, spread = np.take_along_axis(own, used, 1) + used * self.apart, self.spread[used]
+        lo = np.searchsorted(self.sorted, centre)
+        hi = lo.copy()
+        count = np.zeros((len(queries), n), np.int16)
         out: list = [None] * len(queries)
-        left, width = np.arange(len(queries)), START * self.spread
+        left, width, verified, counted = np.arange(len(queries)), START, 0, 0
+        enough = min(n, VERIFIED * k)
         while len(left):
-            last = width > 8 * self.spread * PROJECTIONS
-            found = np.ones((len(left), n), bool) if last else self.candidates(centres[left], width)
-            done = found.sum(1) >= enough
+            first = used[left] * n
+            a = np.clip(np.searchsorted(self.sorted, centre[left] - width * spread[left], "left"), first, lo[left])
+            b = np.clip(np.searchsorted(self.sorted, centre[left] + width * spread[left], "right"), hi[left], first + n)
+            # places of the sorted arrays that the windows newly reach, left and right
+            start, size = np.concatenate([a, hi[left]], axis=1).ravel(), np.concatenate([lo[left] - a, b - hi[left]], axis=1)
+            each, size = size.sum(1), size.ravel()
+            place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            hit = np.bincount(self.order[place] + np.repeat(np.arange(len(left)) * n, each), minlength=len(left) * n)
+            count[left] += hit.reshape(len(left), n).astype(np.int16)
+            lo[left], hi[left] = a, b
+            counted += len(place)
+            over = count[left] >= COLLISIONS * USED
+            done = (over.sum(1) >= enough) | (hi[left] - lo[left] == n).all(1)
             for i in np.flatnonzero(done):
                 q = left[i]
-                at = np.flatnonzero(found[i])
+                at = np.flatnonzero(over[i])
                 at = at[self.ids[at] != query_ids[q]]
+                verified += len(at)
                 score = (self.vectors[at] * queries[q]).sum(1)
                 best = np.lexsort((self.ids[at], -score))[:k]
                 out[q] = (self.ids[at][best], score[best])
-            left = left[~done]
-            width *= GROWTH if width < 4 * self.spread else 4
-        return out
+            left, width = left[~done], width * GROWTH
+        return out, verified, counted
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v): rows with an id and a finite, non-zero vector of the table's most common length, in double."""
+    """(id, v): rows with an id and a finite, non-zero vector, in double. Shorter vectors than the longest count as zero beyond their end."""
     v = F.col(vector).cast("array<double>")
     rows = one_per_id(df.select(F.col(key).cast("long").alias("id"), v.alias("v")), "id")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
-    top = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    return rows.where(F.size("v") == (top[0]["dim"] if top else 0))
+    return rows
 
 
 def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20) -> DataFrame:
     """The ``k`` nearest found rows for each row whose id is divisible by ``every``.
 
-    Returns query_id, rank (from 1), vec_id, score (inner product in double). Every row is indexed and
-    every shard searched. Null, zero and non-finite vectors, other lengths than the common one and null ids take no part; of repeated
-    ids one row stays; ties go to the smaller id; fewer than ``k`` candidates are all returned; an
-    empty table gives no rows; extra columns are ignored."""
+    Returns query_id, rank (from 1), vec_id, score (inner product in double). Every row is indexed, in shards of about ``SHARD_ROWS``
+    rows, and every query is searched in every shard. Null, empty, zero and non-finite vectors and null ids take no part; the inner
+    product of vectors of different length is that of the shared components; of repeated ids one row stays; ties go to the smaller id;
+    fewer than ``k`` candidates are all returned; an empty table gives no rows; extra columns are ignored."""
     rows = usable(df, key, vector)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    stats = rows.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).collect()[0]
-    n, largest = stats["n"], stats["largest"] or 1.0
-    shards = max(1, -(-n // SHARD_ROWS), min(MIN_SHARDS, -(-n // LEAST_SHARD)))
+    stats = rows.agg(F.count("*").alias("n"), F.max(norm).alias("largest"), F.max(F.size("v")).alias("dim")).collect()[0]
+    largest, dim = stats["largest"] or 1.0, stats["dim"] or 1
+    shards = max(1, -(-stats["n"] // SHARD_ROWS))
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v"))))
     data = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
     asked = rows.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
     both = data.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
@@ -123,10 +131,10 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
                     if not ids:
                         continue
                     index = Shard(np.concatenate(ids), np.concatenate(vectors), largest)
-                step = max(1, (4 << 20) // len(index.ids))
+                step = max(1, AT_ONCE // len(index.ids))
                 for s in range(a, b, step):
                     e = min(b, s + step)
-                    found = index.search(qid[s:e], mat[s:e], k)
+                    found, _, _ = index.search(qid[s:e], mat[s:e], k)
                     size = np.cumsum([0] + [len(x[0]) for x in found]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(qid[s:e]), pa.array(np.full(e - s, current, np.int32)),

@@ -1,9 +1,12 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page is cut into text blocks. A logistic model on text features, plus the evidence of the nearest
-telling ancestor (tag, class or id), gives each block a cost of being content and of being
-boilerplate; these are its terminal capacities. Neighbouring blocks, and more so neighbours in one
-container, are tied by smoothness edges. The minimum cut separates content from boilerplate.
+A page is cut into text blocks. A logistic model gives each block a cost of being content and of being
+boilerplate; these are its terminal capacities. Its features are the block's text and links, what the
+nearest telling ancestor (tag, class or id) says, and the hashed tags and class words of its path; all
+weights are learned, from blocks that the sample's semantic elements label. Each sample page is learned
+a second time without its structure, so that the text features stand on their own on pages that
+tell nothing. Neighbouring blocks are tied by smoothness edges, the stronger the nearer they lie in the
+element tree. The minimum cut separates content from boilerplate.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -39,15 +43,18 @@ MODIFIERS = set("has with no is js without".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "dialog": -1, "alert": -1, "main": 1, "article": 1}
 
-EVIDENCE = {-1: -8.0, 0: 0.0, 1: 4.0}  # log-odds of content from the nearest telling ancestor
-NEXT, SIBLING = 0.6, 0.9  # smoothness of neighbours, and in addition of neighbours in one container
+NEXT, NEAR, DECAY = 0.1, 1.5, 0.25  # smoothness of neighbours, and in addition by the steps between their containers
+PATH = 128  # buckets of the path's tags and class words
+TEXT_FEATURES = 11
 
 
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
-    parent: int = 0
-    evidence: int = 0
+    path: tuple[int, ...] = ()  # numbers of the containers, outermost first
+    words: tuple[str, ...] = ()  # their tags and class words
+    evidence: int = 0  # of the nearest telling ancestor
+    semantic: bool = False  # inside an article or main element
     linked: int = 0
     tag: str = ""
     text: str = ""
@@ -77,6 +84,12 @@ def telling(tag: str, attributes: str) -> int:
     return -1 if bad and tag not in CONTENT_TAGS else 1 if good else 0
 
 
+def path_words(tag: str, attributes: str) -> tuple[str, ...]:
+    """The tag, and the words of class and id, of one element."""
+    values = [v.strip("\"'").lower() for name, v in ATTRIBUTE.findall(attributes) if name.lower() != "role"]
+    return (tag, *("." + w for v in values for w in re.split(r"[^a-z0-9]+", v) if w))
+
+
 def hidden_spans(tokens: list[re.Match]) -> dict[int, int]:
     """Start tag -> end tag (positions in ``tokens``) of the hidden elements that are closed inside their container."""
     spans: dict[int, int] = {}
@@ -104,7 +117,7 @@ def hidden_spans(tokens: list[re.Match]) -> dict[int, int]:
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, number, evidence in force
+    stack: list[tuple[str, tuple, tuple, int, bool]] = [("", (), (), 0, False)]  # tag, path, words, evidence in force, in an article
     number, link, current = 0, 0, None
     tag_of_block, at = "", 0
 
@@ -115,7 +128,7 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if not text.strip():
                 return
-            current = Block(parent=stack[-1][1], evidence=stack[-1][2], tag=tag_of_block)
+            current = Block(path=stack[-1][1], words=stack[-1][2], evidence=stack[-1][3], semantic=stack[-1][4], tag=tag_of_block)
             out.append(current)
         current.parts.append(text)
         if link:
@@ -162,14 +175,14 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 if tag in ("li", "tr", "td", "th", "dt", "dd") and stack[-1][0] == tag:
                     stack.pop()
-                says, before = telling(tag, m[5] or ""), stack[-1][2]
+                (_, path, words, before, semantic), says = stack[-1], telling(tag, m[5] or "")
                 if says == -2:
                     says = 0 if before == 1 else -1
                 number += 1
-                stack.append((tag, number, says or before))
+                stack.append((tag, (*path, number), words + path_words(tag, m[5] or ""), says or before, semantic or tag in CONTENT_TAGS))
         elif m[3]:
             tag_of_block = ""
-    put(page[at:] if not hush and not page[at:].startswith("<") else "")
+    put("" if hush else page[at:])
     kept = []
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
@@ -178,43 +191,66 @@ def blocks_of(page: str) -> list[Block]:
     return kept
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    rows = []
+def features(blocks: list[Block], structure: bool = True) -> np.ndarray:
+    """One row a block: text features, evidence and outside-of-content flags, hashed path; without ``structure`` only the text."""
+    out = np.zeros((len(blocks), TEXT_FEATURES + 3 + PATH))
+    told = structure and any(b.evidence > 0 for b in blocks)
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
-        rows.append([
+        out[i, :TEXT_FEATURES] = [
             1.0, math.log1p(words), min(1.0, b.linked / max(1, len(b.text))), sum(map(b.text.count, ".,!?;")) / words, float(b.text[-1] in ".!?\"'"),
             float(b.tag == "p"), float(b.tag == "li"), float(len(b.tag) == 2 and b.tag[0] == "h"), min(12.0, len(b.text) / words), float(i == 0), float(i == len(blocks) - 1),
-        ])
-    return np.array(rows).reshape(len(rows), 11)
+        ]
+        if structure:
+            out[i, TEXT_FEATURES : TEXT_FEATURES + 3] = b.evidence < 0, b.evidence > 0, told and b.evidence == 0
+            for w in set(b.words):
+                out[i, TEXT_FEATURES + 3 + zlib.crc32(w.encode()) % PATH] = 1.0
+    return out
+
 
+#: Where learning starts and what it is drawn to: longer, less linked, punctuated text is content, and elements are what they say.
+DEFAULT = np.concatenate([[-2.5, 1.0, -4.0, 1.5, 0.8, 0.5, -0.8, 0.2, 0.0, -0.2, -0.5], [-6.0, 3.0, -1.5], np.zeros(PATH)])
+DRAW = 3e-3  # how much so
 
-#: Weights used when the sample has no page with telling tags: longer, less linked, punctuated text is content.
-DEFAULT = np.array([-2.5, 1.0, -4.0, 1.5, 0.8, 0.5, -0.8, 0.2, 0.0, -0.2, -0.5])
 
+def labels_of(blocks: list[Block]) -> list[int]:
+    """1 content, 0 boilerplate, -1 unknown, by semantic elements: what an article or main holds, but for telling boilerplate in it."""
+    semantic = any(b.semantic for b in blocks)
+    return [0 if b.evidence < 0 else 1 if b.semantic else 0 if semantic else -1 for b in blocks]
 
-def fit(pages: list[str], steps: int = 300, rate: float = 0.5) -> np.ndarray:
-    """Logistic weights of the text features; blocks under telling tags are the labelled rows."""
+
+def fit(pages: list[str], steps: int = 12) -> np.ndarray:
+    """Logistic weights; the blocks that semantic elements label are the rows, each once with and once without its structure."""
     xs, ys = [], []
     for page in pages:
         blocks = blocks_of(page or "")
-        x = features(blocks)
-        for row, b in zip(x, blocks, strict=True):
-            if b.evidence:
-                xs.append(row)
-                ys.append(b.evidence > 0)
-    y = np.array(ys, float)
+        y = np.array(labels_of(blocks))
+        known = y >= 0
+        if known.any():
+            xs += [features(blocks)[known], features(blocks, structure=False)[known]]
+            ys += [y[known], y[known]]
+    y = np.concatenate(ys).astype(float) if ys else np.zeros(0)
     if len(y) < 20 or y.min() == y.max():
         return DEFAULT
-    x = np.array(xs)
+    x = np.concatenate(xs)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w = DEFAULT.copy()
-    for _ in range(steps):
+    for _ in range(steps):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= rate * ((weight * (p - y)) @ x / len(y) + 0.1 * (w - DEFAULT))
+        slope = (weight * (p - y)) @ x / len(y) + DRAW * (w - DEFAULT)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + DRAW * np.eye(len(w))
+        w -= np.linalg.solve(curve, slope)
     return w
 
 
+def steps_between(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """Steps from one container to another in the element tree."""
+    common = 0
+    while common < min(len(a), len(b)) and a[common] == b[common]:
+        common += 1
+    return len(a) + len(b) - 2 * common
+
+
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes lie on the source side of a minimum cut.
 
@@ -266,34 +302,37 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
             return [c != -2 for c in came]
 
 
+def terms(blocks: list[Block], weights: np.ndarray):
+    """Log-odds of content of each block, and the smoothness edges."""
+    gain = np.clip(features(blocks) @ weights, -12, 12).tolist()
+    edges = [(i, i + 1, NEXT + NEAR * DECAY ** steps_between(blocks[i].path, blocks[i + 1].path)) for i in range(len(blocks) - 1)]
+    last: dict[tuple, int] = {}
+    for i, b in enumerate(blocks):  # nearest earlier block of the container, when others lie between
+        if b.path in last and last[b.path] < i - 1:
+            edges.append((last[b.path], i, NEAR))
+        last[b.path] = i
+    return gain, edges
+
+
 def extract(page: str, weights: np.ndarray) -> str:
     """Main text of one page."""
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    odds = np.clip(features(blocks) @ weights, -3, 3)
-    gain = [float(o) + EVIDENCE[b.evidence] for o, b in zip(odds, blocks, strict=True)]
-    edges = []
-    for i in range(len(blocks) - 1):
-        edges.append((i, i + 1, NEXT + SIBLING * (blocks[i].parent == blocks[i + 1].parent)))
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):  # nearest earlier block of the container, when others lie between
-        if b.parent in last and last[b.parent] < i - 1:
-            edges.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    return " ".join(b.text for b, inside in zip(blocks, min_cut(gain, edges), strict=True) if inside)
+    return " ".join(b.text for b, inside in zip(blocks, min_cut(*terms(blocks, weights)), strict=True) if inside)
 
 
 def train(pages: DataFrame, sample_rows: int = 400) -> np.ndarray:
-    """Fit on at most ``sample_rows`` pages; the labels come from the pages' own telling tags."""
-    rows = bounded_sample(pages.where("page_id is not null and html is not null").select("page_id", "html"), "page_id", sample_rows)
-    return fit([r["html"] for r in rows.orderBy("page_id", "html").collect()])
+    """Fit on at most ``sample_rows`` pages; the labels come from the pages' own semantic elements."""
+    rows = bounded_sample(pages.where("page_id is not null and html is not null").select("page_id", F.col("html").cast("string")), "page_id", sample_rows)
+    return fit(rows.orderBy("page_id", "html").toArrow().column("html").to_pylist())
 
 
 def extract_pages(pages: DataFrame, weights: np.ndarray) -> DataFrame:
     """page_id, url, text, n_chars of every row; null or empty html gives an empty text.
 
-    Whole pages are read; repeated rows get equal results; extra columns are ignored; an empty table gives no rows."""
+    Whole pages are read; every row gives a row, so that null and repeated page_ids stay and equal rows get equal results; of minimum
+    cuts the one with least content is taken; extra columns of any name are ignored; an empty table gives no rows."""
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):

@@ -5,8 +5,9 @@ class emits its words by their corpus counts, one share of each class being kept
     P(word | state) = P(class | state) * (c + 1) / (class count + class words + 1).
 Word counts cover all training texts and are joined back to blocks of texts. Baum-Welch starts from a
 bounded sample and then takes whole-corpus rounds: every task sums expected counts over its texts and
-the sums are added across partitions. Scoring uses the scaled forward recursion; a text longer than
-``PIECE`` tokens is cut into pieces whose transfer matrices are multiplied, which is the same product.
+the sums are added across partitions. All recursions are scaled; a text longer than ``PIECE`` tokens is cut
+into pieces whose transfer matrices carry the forward and the backward vectors from one to the next, in
+training as in scoring, so that results are those of the whole text.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, one_per_id, settled, span_hashes, text_blocks, words_of
+from .common import bounded_sample, discard, one_per_id, settled, span_hashes, text_blocks, words_of
 
 STATES, CLASSES = 8, 4096
 END = np.uint64(1)  # token hash of the end of a text; its class is 0
-PIECE, TRAIN_PIECE = 1024, 256
+PIECE = 1024
 BLOCK_TEXT = 8 << 20  # bytes of text whose word counts come back together
 SAMPLE_ROWS, SAMPLE_ROUNDS, CORPUS_ROUNDS = 400, 8, 2
 COUNT_TOKENS, FLUSH_TOKENS = 1_500_000, 300_000  # tokens that a task holds when counting words, and for the recursions
@@ -80,25 +81,71 @@ def pieces_of(begin: np.ndarray, size: int):
     return start, np.minimum(size, begin[text + 1] - start), text, number == 0
 
 
+def ends_of(model: Model, classes: np.ndarray, at: np.ndarray, size: np.ndarray, rows: np.ndarray):
+    """State distribution at the end of each piece for each row it starts from, and log10 of the row's probability.
+
+    Pieces start at ``at`` and have ``size`` tokens; ``rows`` are the distributions of their first state, before it emits."""
+    order = np.argsort(-size, kind="stable")
+    at, size = at[order], size[order]
+    vec = np.broadcast_to(rows, (len(at), *rows.shape)).copy()
+    logs = np.zeros(vec.shape[:2])
+    steps = int(size[0]) if len(size) else 0
+    active = np.searchsorted(-size, -np.arange(steps), "left")  # pieces longer than t
+    for t in range(steps):
+        n = active[t]
+        a = vec[:n] if t == 0 else vec[:n] @ model.move
+        a = a * model.emit[classes[at[:n] + t]][:, None, :]
+        s = a.sum(2, keepdims=True)
+        vec[:n] = a / s
+        logs[:n] += np.log10(s[:, :, 0])
+    back = np.argsort(order)
+    return vec[back], logs[back]
+
+
+def boundaries(model: Model, classes: np.ndarray, start: np.ndarray, length: np.ndarray, first: np.ndarray):
+    """For each piece: the state distribution at its end, that of the backward values there (any scale), and log10 of its probability after what comes before.
+
+    Pieces are in text order."""
+    end, log, after = np.empty((len(start), STATES)), np.zeros(len(start)), np.ones((len(start), STATES))
+    one = np.flatnonzero(first)
+    vec, logs = ends_of(model, classes, start[one], length[one], model.start[None])
+    end[one], log[one] = vec[:, 0], logs[:, 0]
+    later = np.flatnonzero(~first)
+    vec, logs = ends_of(model, classes, start[later], length[later], model.move)  # row i: from state i of the token before
+    top = logs.max(1) if len(later) else np.zeros(0)
+    matrix = vec * 10.0 ** (logs - top[:, None])[:, :, None]
+    for k, p in enumerate(later):
+        mixed = end[p - 1] @ matrix[k]
+        total = mixed.sum()
+        end[p], log[p] = mixed / total, np.log10(total) + top[k]
+    for k in range(len(later) - 1, -1, -1):
+        back = matrix[k] @ after[later[k]]
+        after[later[k] - 1] = back / back.sum()
+    return end, after, log
+
+
 def expected_counts(model: Model, classes: np.ndarray, begin: np.ndarray):
-    """Baum-Welch sums (start, move, emit) of the texts, cut into pieces; every token counts."""
-    start, length, _, first = pieces_of(begin, TRAIN_PIECE)
+    """Baum-Welch sums (start, move, emit) of the texts; every token and every transition counts."""
+    start, length, _, first = pieces_of(begin, PIECE)
+    end, after, _ = boundaries(model, classes, start, length, first)
+    before = np.zeros_like(end)
+    before[1:] = end[:-1]  # of later pieces: the states at the end of the piece before
+    # backward values at the end are scaled so that those of every token sum to one with the forward ones
+    beta = after / (end * after).sum(1, keepdims=True)
     order = np.argsort(-length, kind="stable")
-    start, length, first = start[order], length[order], first[order]
+    start, length, first, before, beta = start[order], length[order], first[order], before[order], beta[order]
     steps = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(steps), "left")  # pieces longer than t
+    active = np.searchsorted(-length, -np.arange(steps), "left")
     alpha, scale = [], []
-    flat = np.full(STATES, 1.0 / STATES)
     for t in range(steps):
         n = active[t]
-        e = model.emit[classes[start[:n] + t]]
-        a = (np.where(first[:n, None], model.start, flat) if t == 0 else alpha[-1][:n] @ model.move) * e
+        a = np.where(first[:, None], model.start, before @ model.move) if t == 0 else alpha[-1][:n] @ model.move
+        a = a * model.emit[classes[start[:n] + t]]
         s = a.sum(1, keepdims=True)
         alpha.append(a / s)
         scale.append(s)
     move, emit = np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
     gammas, at = [], []
-    beta = np.ones((len(length), STATES))
     begun = np.zeros(STATES)
     for t in range(steps - 1, -1, -1):
         n = active[t]
@@ -112,6 +159,8 @@ def expected_counts(model: Model, classes: np.ndarray, begin: np.ndarray):
         at.append(start[:n] + t)
         if t == 0:
             begun = g[first].sum(0)
+            back = (model.emit[classes[start]] * beta / scale[0])[~first]  # from the last token of the piece before
+            move += model.move * (before[~first].T @ back)
     if steps:
         g, c = np.concatenate(gammas), classes[np.concatenate(at)]
         for k in range(STATES):
@@ -130,47 +179,13 @@ def maximised(begun, move, emit, prior: np.ndarray) -> Model:
 def forward(model: Model, classes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """log10 probability of each text's class sequence."""
     start, length, text, first = pieces_of(begin, PIECE)
-    total = np.zeros(len(begin) - 1)
-    if not len(start):
-        return total
-    # first pieces start from the start vector; later ones carry one row per state they may start from
-    log = {}
-    for kind in (True, False):
-        rows = np.flatnonzero(first == kind)
-        if not len(rows):
-            continue
-        rows = rows[np.argsort(-length[rows], kind="stable")]
-        at, size = start[rows], length[rows]
-        steps = int(size[0])
-        active = np.searchsorted(-size, -np.arange(steps), "left")
-        vec = np.broadcast_to(model.start, (len(rows), 1, STATES)).copy() if kind else np.broadcast_to(model.move, (len(rows), STATES, STATES)).copy()
-        logs = np.zeros((len(rows), vec.shape[1]))
-        for t in range(steps):
-            n = active[t]
-            a = vec[:n] if t == 0 else vec[:n] @ model.move
-            a = a * model.emit[classes[at[:n] + t]][:, None, :]
-            s = a.sum(2, keepdims=True)
-            vec[:n] = a / s
-            logs[:n] += np.log10(s[:, :, 0])
-        log.update({int(r): (vec[i], logs[i]) for i, r in enumerate(rows)} if not kind else {})
-        if kind:
-            state = np.zeros((len(begin) - 1, STATES))
-            state[text[rows]] = vec[:, 0]
-            total[text[rows]] = logs[:, 0]
-    for r in sorted(log):  # pieces of a text in order: row i of its matrix starts from state i
-        vec, logs = log[r]
-        top = logs.max()
-        mixed = (state[text[r]] * 10.0 ** (logs - top)) @ vec
-        s = mixed.sum()
-        total[text[r]] += np.log10(s) + top
-        state[text[r]] = mixed / s
-    return total
+    return np.bincount(text, boundaries(model, classes, start, length, first)[2], len(begin) - 1)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(block, hash, c, lead) of docs (block, train, text): each token a block holds, with its count in all training texts.
+    """(block, hash, n) of docs (block, train, text): each token a block holds, with its count in the block's training texts.
 
-    ``lead`` marks one row per token."""
+    A block may give a token more than once."""
 
     def run(batches):
         for keys, tokens, begin in gathered(batches, COUNT_TOKENS):
@@ -188,10 +203,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 b = slice(a, a + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(owner[first[b]]), pa.array(tokens[first[b]].view(np.int64)), pa.array(n[b])], names=["block", "hash", "n"])
 
-    rows = docs.mapInArrow(run, "block int, hash long, n long")
-    by = Window.partitionBy("hash").orderBy("block")
-    everywhere = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select("block", "hash", F.sum("n").over(everywhere).alias("c"), (F.row_number().over(by) == 1).alias("lead"))
+    return docs.mapInArrow(run, "block int, hash long, n long")
 
 
 def corpus_round(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,8 +259,9 @@ def score_texts(docs: DataFrame, train_rows) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text") + 8)).collect()[0][0] or 0
     blocks = max(1, -(-total // BLOCK_TEXT))
     rows = rows.select("doc_id", train_rows.alias("train"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    counts = settled(word_counts(rows.select("block", "train", "text").repartition("block")), large=True)
-    lead = counts.where("lead").select("hash", "c")
+    held = settled(word_counts(rows.select("block", "train", "text").repartition("block")))
+    # sums are combined before they are shuffled; they are a table of their own, so that Spark can split the join back at common words
+    lead = settled(held.groupBy("hash").agg(F.sum("n").alias("c")))
     # class of a hash, as class_of: an unsigned shift, then the remainder
     cls = F.when(F.col("hash") == int(END), F.lit(0)).otherwise(1 + F.shiftrightunsigned("hash", 20) % (CLASSES - 1)).cast("int")
     per_class = lead.where("c > 0").groupBy(cls.alias("cls")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
@@ -282,6 +295,7 @@ def score_texts(docs: DataFrame, train_rows) -> DataFrame:
         size = len(cols[0])
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_tokens": pa.array(cols[1], pa.int64()), "n_known": pa.array(cols[2], pa.int64()), "train_tokens": pa.array(np.full(size, n), pa.int64()), "base_score": pa.array(cols[3], pa.float64()), "score": pa.array(cols[4], pa.float64())})
 
-    words = counts.select("block", "hash", "c")
+    words = settled(held.join(lead, "hash").select("block", "hash", "c"))
+    discard(held, lead)
     texts = rows.select("doc_id", "text", "block")
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

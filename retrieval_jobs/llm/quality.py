@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, text_blocks
+from .common import bounded_sample, result_schema, text_blocks, unused
 
 FILTERS, WIDTH, CHUNK, STRIDE = 12, 5, 512, 448
 #: The probability from which a text is predicted good; training weighs the classes alike.
@@ -131,23 +131,27 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, **options
     """Fit on at most ``sample_rows`` labelled rows: docs (doc_id, text) with labels (doc_id, quality 0 or 1)."""
     marked = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     chosen = bounded_sample(marked, "doc_id", sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "quality").collect()
-    return fit([r["text"] for r in rows], [r["quality"] for r in rows], **options)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "quality", "text").limit(sample_rows).toArrow()
+    return fit(rows.column("text").to_pylist(), rows.column("quality").to_pylist(), **options)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with score double and predicted int.
+def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with score double and predicted int, or under other ``names``.
 
-    Null and empty texts get the probability of a text without chunks. Texts are read whole, equal rows get equal scores, an empty table gives no rows."""
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
+    Null and empty texts get the probability of a text without chunks. Texts are read whole; every row gives a row, so that null and
+    repeated doc_ids stay and equal rows get equal scores; a score on the threshold is predicted 1; an empty table gives no rows. A kept
+    column that bears one of ``names`` is an error; other extra columns are no matter."""
+    text = unused(docs, "text_read")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text))
+    schema = result_schema(kept.drop(text), zip(names, ("double", "integer"), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            parts = [probabilities(shared.value, buf, offsets) for _, _, buf, offsets in text_blocks(batch, "_text")]
+            parts = [probabilities(shared.value, buf, offsets) for _, _, buf, offsets in text_blocks(batch, text)]
             if parts:
                 p = np.concatenate(parts)
                 columns = [batch.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=schema.names)
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)

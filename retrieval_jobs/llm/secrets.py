@@ -15,6 +15,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 # What a candidate looks like, and the words the features look for.
 # An "=" before a run assigns it; after one it is padding only where no value follows.
 # An identifier with a credential word that a value is assigned to is a name, not a candidate.
@@ -138,33 +140,38 @@ def forest_expression(model, struct: Column) -> Column:
     return votes / len(model.trees)
 
 
-def scan(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``findings``: array of (value, start, score, is_secret), one per candidate.
+def scan(docs: DataFrame, model, threshold: float = 0.5, into: str = "findings") -> DataFrame:
+    """``docs`` with a new column ``into``: array of (value, start, score, is_secret), one per candidate, in text order.
 
-    Needs ``text`` and ``source`` (its path); other columns stay, an old ``findings`` is replaced.
-    Null and empty texts have no candidates; long texts are read whole; equal rows get equal results."""
-    path = F.coalesce(F.col("source"), F.lit(""))
+    Needs ``text`` and ``source`` (its path); other columns stay; a column that is named like the new one is an error. Null and
+    empty texts have no candidates; long texts are read whole; a score on the threshold is a secret; every row gives a row, so that
+    null and repeated doc_ids stay and equal rows get equal results; an empty table gives no rows."""
+    if unused(docs, into) != into:
+        raise ValueError(f"column {into} is there already: name the findings otherwise")
+    path = F.coalesce(F.col("source").cast("string"), F.lit(""))
     with_f = F.transform(candidates(F.col("text")), lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), features(c["value"], c["before"], c["after"], path).alias("f")))
     score = lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), forest_expression(model, c["f"]).alias("score"))
     scored = F.transform(with_f, score)
-    return docs.withColumn("findings", F.transform(scored, lambda c: F.struct(c["value"], c["start"], c["score"], (c["score"] >= threshold).alias("is_secret"))))
+    return docs.withColumn(into, F.transform(scored, lambda c: F.struct(c["value"], c["start"], c["score"], (c["score"] >= threshold).alias("is_secret"))))
 
 
 def find_secrets(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
-    """One row per candidate: doc_id, start (1-based character), length, masked, score, is_secret."""
+    """One row per candidate: doc_id, start (1-based character), length, masked, value_sha256, score, is_secret. Extra columns are ignored; else as ``scan``."""
     found = scan(docs.select("doc_id", "text", "source"), model, threshold).select("doc_id", F.explode("findings").alias("x"))
     masked = F.concat(F.substring("x.value", 1, 4), F.lit("..."))
     return found.select("doc_id", "x.start", F.length("x.value").cast("long").alias("length"), masked.alias("masked"), F.sha2(F.col("x.value").cast("binary"), 256).alias("value_sha256"), "x.score", "x.is_secret")
 
 
 def redact(docs: DataFrame, model, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every real secret in ``text`` replaced by ``mark``; ``n_chars`` follows if present."""
-    cols = docs.columns
-    rows = scan(docs, model, threshold)
+    """``docs`` with every real secret in ``text`` replaced by ``mark``; ``n_chars`` follows if present.
+
+    All rows and columns stay, also columns of any other name; cases as in ``scan``."""
+    cols, into = docs.columns, unused(docs, "findings")
+    rows = scan(docs, model, threshold, into)
     pieces = F.split("text", CANDIDATE)
-    shown = F.concat(F.transform("findings", lambda c: F.when(c["is_secret"], F.lit(mark)).otherwise(c["value"])), F.array(F.lit("")))
+    shown = F.concat(F.transform(into, lambda c: F.when(c["is_secret"], F.lit(mark)).otherwise(c["value"])), F.array(F.lit("")))
     text = F.array_join(F.zip_with(pieces, shown, lambda p, s: F.concat(p, s)), "")
-    rows = rows.withColumn("text", F.when(F.exists("findings", lambda c: c["is_secret"]), text).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.exists(into, lambda c: c["is_secret"]), text).otherwise(F.col("text")))
     if "n_chars" in cols:
         rows = rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*cols)
+    return rows.drop(into)

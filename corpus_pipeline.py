@@ -10,45 +10,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retrieval_jobs.llm import decontamination, jaccard_join, language_id, mixing, secrets
-from retrieval_jobs.llm.common import one_per_id, settled, table
+from retrieval_jobs.llm.common import settled, table, unused
 from retrieval_jobs.shipping import ship
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` in a table with a number for each row, as doc_id may be null or repeated; and that column's name."""
+    name = unused(docs, "row_number")
+    return settled(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def own_columns(rows: DataFrame, docs: DataFrame) -> list:
+    return [rows[f"`{c}`"] for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: texts without a letter and rejected ones go."""
+    """Documents whose language is recognised: null texts, texts without a letter and rejected ones go.
+
+    Every row is judged by its own text, so that null and repeated doc_ids and repeated rows stay; extra columns of any name stay;
+    an empty table gives no rows."""
     ship(spark)
-    model = language_id.train(docs)
-    return language_id.identify(docs, model, docs.columns).where("not rejected").select(*docs.columns)
+    names = tuple(unused(docs, c) for c in ("language_found", "language_score", "language_rejected"))
+    found = language_id.identify(docs, language_id.train(docs), docs.columns, names)
+    return found.where(~F.col(names[2])).select(*own_columns(found, docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest doc_id; rows without a doc_id stay.
+    """One row of each group of near duplicates, that of smallest doc_id (null after all others; ties: the first row).
 
-    A doc_id stands for one document: of rows that share one, only that of smallest text is judged and can stay."""
+    Every row is a document of its own: rows that share a doc_id go only if their texts are near, and rows with a null doc_id are judged
+    like others. Null and blank texts have no duplicates and stay. Extra columns of any name stay; an empty table gives no rows."""
     ship(spark)
-    found = jaccard_join.join_documents(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    kept = one_per_id(docs).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows, number = numbered(docs)
+    found = jaccard_join.join_documents(rows.select(F.col(number).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias(number), F.col("component_id").alias("component"))
+    ids = rows.select(number, F.col("doc_id").alias("id")).join(found, number)
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", number)).alias("first"))
+    kept = rows.join(first.select(f"first.{number}"), number, "left_semi")
+    return kept.select(*own_columns(kept, docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Rows that share a doc_id go together; rows with a null doc_id, null and empty texts stay; extra columns of any name stay; an
+    empty table on either side drops nothing."""
     ship(spark)
-    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced by a mark."""
+    """All rows, with the secrets in their texts replaced by a mark. Other columns stay, but n_chars follows the text."""
     return secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents chosen for the target mixture, with their texts and how often each is read."""
-    # doc_id may be null or repeated: rows are joined by a number of their own, kept in a table so that it stays
-    rows = settled(docs.withColumn("row_id", F.monotonically_increasing_id()))
-    chosen = mixing.mix_sources(rows, keep=("row_id",)).select("row_id", "domain", "n_tokens", "copies")
-    return rows.join(chosen, "row_id").select(*docs.columns, "domain", "n_tokens", "copies")
+    """The rows chosen for the target mixture with their domain, n_tokens and copies (how often each is read).
+
+    Every row counts and is chosen for itself, also with a null or repeated doc_id; where ``docs`` has a column of such a name, the
+    new one gets an underscore; rows without words are never chosen; an empty table gives no rows."""
+    rows, number = numbered(docs)
+    chosen = mixing.mix_sources(rows.select("doc_id", "text", "lang", "source", number), keep=(number,))
+    added = [F.col(c).alias(unused(docs, c)) for c in ("domain", "n_tokens", "copies")]
+    out = rows.join(chosen.select(number, F.struct(*added).alias(unused(rows, "mixed"))), number)
+    return out.select(*own_columns(out, docs), f"{unused(rows, 'mixed')}.*")
 
 
 STAGES = [
@@ -59,7 +84,7 @@ STAGES = [
     ("mixing", mix_to_weights),
 ]
 
-#: The learned stages can't be written in SQL; tests hold each stage against a brute-force version.
+#: The learned stages can't be written in SQL; tests hold each stage against a plain version of it.
 ORACLE_SQL = None
 
 

@@ -89,13 +89,19 @@ def format_doc(number: Column, source: Column, chunk_id: Column, url: Column, ti
 
 
 def history_line(role: Column, text: Column, labels: dict[str, str] | None = None) -> Column:
-    """``role: text``; with labels, other roles and blank texts give null."""
+    """``role: text``. Without labels the text is stripped, blank texts give null and a missing role is empty; with labels, other roles
+    and empty texts give null."""
     if labels is None:
-        return F.concat(role, F.lit(": "), text)
+        return F.concat(F.coalesce(role, F.lit("")), F.lit(": "), filled(text))
     shown = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[role]
     return F.when(F.coalesce(text, F.lit("")) != "", F.concat(shown, F.lit(": "), text))
 
 
+# What may stand right before and after an address in a text and is no part of it.
+BEFORE_URL = "<([{'\"＜（【"
+AFTER_URL = ")]}'\">，。,;；】）＞"
+
+
 def answer_images(answer: Column) -> Column:
     """Struct (text, images): text before the last image marker, and the image addresses after it and in the text."""
     # The marker, address and suffix patterns
@@ -104,7 +110,7 @@ def answer_images(answer: Column) -> Column:
     marked = answer.rlike(marker)
     before = F.when(marked, F.regexp_replace(F.regexp_extract(answer, marker, 1), r"\s+$", "")).otherwise(answer)
     after = F.when(marked, strip(F.regexp_extract(answer, marker, 2))).otherwise("")
-    tidy = lambda u: F.regexp_replace(F.regexp_replace(u, "[)\\]}'\">，。,;；】）＞]+$", ""), "^[<(\\[{'\"＜（【]+", "")
+    tidy = lambda u: F.ltrim(F.rtrim(u, F.lit(AFTER_URL)), F.lit(BEFORE_URL))
     loose = lambda c: F.transform(F.regexp_extract_all(c, F.lit(address), F.lit(0)), tidy)
     lines = F.transform(F.split(after, r"\r?\n"), strip)
     block = F.flatten(F.transform(lines, lambda x: F.when(x.rlike("^https?://"), F.array(x)).otherwise(loose(x))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pandas as pd
@@ -11,8 +13,6 @@ from pyspark.sql import functions as F
 from retrieval_jobs.functions.text import object_url
 
 REFERENCE = r"!\[[^\]\n]*\]\(([^)\n]*)\)"
-_IMAGE_LINE = re.compile(r"^!\[.*?\]\(.*?\)$")
-_HEADING = re.compile(r"^#{1,6}\s+")
 
 
 def image_references(documents: DataFrame) -> DataFrame:
@@ -28,40 +28,34 @@ def split_image_use(images: DataFrame, documents: DataFrame) -> tuple[DataFrame,
     return images.join(used, ["doc_id", "image_name"], "left_semi"), images.join(used, ["doc_id", "image_name"], "left_anti")
 
 
+def is_heading(line: str) -> bool:
+    level = len(line) - len(line.lstrip("#"))
+    return 1 <= level <= 6 and line[level : level + 1].isspace()
+
+
 def paragraphs(lines: list[str]) -> list[str]:
-    """Runs of lines between blank lines and image lines."""
-    out: list[list[str]] = [[]]
-    for line in lines:
-        bare = line.strip()
-        if not bare or _IMAGE_LINE.match(bare):
-            out.append([])
-        else:
-            out[-1].append(line)
-    return ["\n".join(p) for p in out if p]
+    """Runs of lines between blank lines and lines that are images."""
+    parts = lambda line: not (bare := line.strip()) or (bare.startswith("![") and bare.endswith(")") and re.search(REFERENCE, bare) is not None)
+    return ["\n".join(run) for apart, run in itertools.groupby(lines, parts) if not apart]
 
 
 def nearest(parts: list[str], chars: int) -> list[str]:
     """Whole paragraphs while their length stays within ``chars``; the first always."""
-    kept, total = [], 0
-    for p in parts:
-        if kept and total + len(p) > chars:
-            break
-        kept.append(p)
-        total += len(p)
-    return kept
+    within = sum(total <= chars for total in itertools.accumulate(map(len, parts)))
+    return parts[: max(1, within)]
 
 
 def context_of(md: str, image: str, chars: int) -> tuple[str, str, str] | None:
     """Heading above, text before and text after the first reference to an image, within its section."""
     lines = md.split("\n")
-    pattern = re.compile(r"!\[.*?\]\(.*?" + re.escape(image) + r".*?\)")
-    at = next((i for i, line in enumerate(lines) if pattern.search(line)), None)
-    if at is None:
+    shows = [i for i, line in enumerate(lines) if any(image in path for path in re.findall(REFERENCE, line))]
+    if not shows:
         return None
-    top = next((i for i in range(at - 1, -1, -1) if _HEADING.match(lines[i])), -1)
-    end = next((i for i in range(at + 1, len(lines)) if _HEADING.match(lines[i])), len(lines))
-    before = nearest(paragraphs(lines[top + 1 : at])[::-1], chars)[::-1]
-    return lines[top] if top >= 0 else "", "\n\n".join(before), "\n\n".join(nearest(paragraphs(lines[at + 1 : end]), chars))
+    heads = [i for i, line in enumerate(lines) if is_heading(line)]
+    k = bisect.bisect_left(heads, shows[0])
+    top, end = heads[k - 1] if k else -1, next((h for h in heads[k:] if h > shows[0]), len(lines))
+    before = nearest(paragraphs(lines[top + 1 : shows[0]])[::-1], chars)[::-1]
+    return lines[top] if top >= 0 else "", "\n\n".join(before), "\n\n".join(nearest(paragraphs(lines[shows[0] + 1 : end]), chars))
 
 
 def image_context(documents: DataFrame, images: DataFrame, chars: int = 200) -> DataFrame:
@@ -91,8 +85,8 @@ def rewrite_images(documents: DataFrame, refs: DataFrame) -> DataFrame:
         out = []
         for md, items in zip(texts, entries, strict=True):
             for e in items if items is not None and md is not None else []:
-                new = f"![{e['summary']}]({e['url']})"
-                md = re.sub(r"!\[(.*?)\]\((.*?" + re.escape(e["name"]) + r".*?)\)", lambda _, new=new: new, md, flags=re.I) if e["url"] else md
+                new, name = f"![{e['summary']}]({e['url']})", e["name"].lower()
+                md = re.sub(REFERENCE, lambda m, new=new, name=name: new if name in m[1].lower() else m[0], md) if e["url"] else md
             out.append(md)
         return pd.Series(out)
 

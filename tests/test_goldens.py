@@ -39,6 +39,10 @@ def test_tables():
     spans = tables.linearize_tables('<table><tr><th>A</th><th>B</th></tr><tr><td rowspan="2">k</td><td>1</td></tr><tr><td>2</td></tr></table>').strip()
     assert spans == "- 【k】(对应A)：B为1。\n- 【k】(对应A)：B为2。"
     assert tables.linearize_tables("x\n| a | b |\n|---|---|\n| 1 | 2 |\ny").split() == ["x", "-", "【1】(对应a)：b为2。", "y"]
+    assert tables.linearize_tables("| a | b |\n|:-:|---|\n| 1 | |\n|---|---|\n|  | - |\n| 2 | 无 | 3 |").strip() == "- 【1】\n- 【2】(对应a)：属性2为3。"
+    for same in ("a | b\n|---|", "| a |\n| b |", "|a|\n| |-|", "<table>", "</table> <table><p>x</p></table>", "<TABLE></table>"):
+        assert tables.linearize_tables(same) == same
+    assert tables.linearize_tables("p <TABLE border=1><tr><td>k</td><td>v</td></tr></TABLE> q") == "p \n\n- 【k】：v。\n\n q"
 
 
 def test_entities_and_relations(spark):
@@ -48,10 +52,12 @@ def test_entities_and_relations(spark):
     assert {r.chunk_id: (r.status, len(r.entities)) for r in parsed.collect()} == {"1": ("ok", 6), "2": ("error", 0), "3": ("ok", 0), "4": ("error", 0)}
     entities = graph_build.clean_entities(parsed)
     assert sorted((r.name, r.label) for r in entities.collect()) == [("abcdefghijklmno", "Tool"), ("x", "Part"), ("x", "Tool")]
-    relations = graph_build.clean_relations(parsed, entities)
+    relations = graph_build.clean_relations(parsed)
     assert [(r.head, r.type, r.tail) for r in relations.collect()] == [("x", "RELATED_TO", "x")]
     stats = graph_build.extraction_stats(parsed, entities, relations).collect()[0]
     assert tuple(stats) == (4, 1, 3, 3, 1)
+    failed = {r.chunk_id: r.reason for r in graph_build.failed_chunks(parsed, entities).collect()}
+    assert failed == {"2": "bad response", "3": "no valid entity", "4": "bad response"}
 
 
 def test_merge_nodes(spark):
@@ -99,6 +105,8 @@ def test_alignment_and_routes(spark):
 def test_strip_item_names(spark):
     df = spark.createDataFrame([("RS-12数字万用表如何测量直流电压", ["RS PRO RS-12 数字万用表"]), ("abc", ["abc"]), (None, None)], "q string, n array<string>")
     assert [r[0] for r in df.select(items.strip_item_names(F.col("q"), F.col("n"))).collect()] == ["如何测量直流电压", "abc", None]
+    df = spark.createDataFrame([("How does the ab-12  work? rs 9", ["AB-12", "RS-9 (Pro)"]), ("pro (x) at a.b\\E", ["(x)", "a.b\\E"]), ("keep a-b", ["a"]), ("no names", [])], "q string, n array<string>")
+    assert [r[0] for r in df.select(items.strip_item_names(F.col("q"), F.col("n"))).collect()] == ["How does the work? 9", "pro at", "keep b", "no names"]
 
 
 def test_budget(spark):

@@ -6,10 +6,14 @@ says so and becomes an equi-join. Scores are rounded to 6 digits before they ord
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 6
+#: Questions that are sent to the rows at a time (32 MB of 1,024 single-precision dimensions).
+BROADCAST_QUESTIONS = 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,10 +39,16 @@ def dense_topk(queries: DataFrame, table: DataFrame, k: int = 5, item: str | Non
     """Cosine search: queries (query_id, q_dense, item) against table (chunk_id, dense, item).
 
     With ``item`` both sides join on it; a hot item is split by Spark's skew join, as each side is only shuffled by that key. Without an
-    item the questions, whose number is checked by the caller, meet every row."""
-    left, right = queries.select("query_id", "q_dense", *([item] if item else [])), table.select("chunk_id", "dense", *([item] if item else []))
-    pairs = right.join(left, item) if item else right.join(left)
-    pairs = pairs.where((F.size("dense") > 0) & (F.size("q_dense") > 0))
+    item the counted questions are broadcast, ``BROADCAST_QUESTIONS`` at a time, and meet the rows where those lie."""
+    left = queries.select("query_id", "q_dense", *([item] if item else [])).where(F.size("q_dense") > 0)
+    right = table.select("chunk_id", "dense", *([item] if item else [])).where(F.size("dense") > 0)
+    if item:
+        pairs = right.join(left, item)
+    else:
+        blocks = max(1, -(-left.count() // BROADCAST_QUESTIONS))
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        each = [right.join(F.broadcast(left.where(block == b)), F.lit(True)) for b in range(blocks)]
+        pairs = functools.reduce(DataFrame.unionByName, each)
     scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("q_dense"), F.col("dense")), DIGITS).alias("score"))
     return top_per(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
@@ -79,6 +89,9 @@ def backfill_chunks(hits: DataFrame, chunks: DataFrame, columns: list[str]) -> D
     return hits.withColumn("_key", F.col("chunk_id").cast("string")).join(keyed, "_key", "left").drop("_key")
 
 
-def valid_vectors(chunks: DataFrame) -> DataFrame:
-    """Chunks with both vectors non-empty."""
-    return chunks.where((F.size("dense") > 0) & (F.size("sparse") > 0))
+def valid_vectors(chunks: DataFrame, need_some: bool = False) -> DataFrame:
+    """Chunks with both vectors non-empty; with ``need_some``, an import of chunks of which none is valid is an error."""
+    valid = chunks.where((F.size("dense") > 0) & (F.size("sparse") > 0))
+    if need_some and valid.isEmpty():
+        raise ValueError("no chunk has both a dense and a sparse vector")
+    return valid

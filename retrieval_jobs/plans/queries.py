@@ -121,19 +121,67 @@ def j9(spark, d):
     return vectors.hybrid_search(q, t)
 
 
-FUSED = f"""WITH {V.VECTORS}, g0 AS (SELECT q.chunk_id AS query_id, t.chunk_id, row_number() OVER (PARTITION BY q.chunk_id ORDER BY n_chars DESC, t.chunk_id) AS rank FROM cv q JOIN cv t USING (item_name) JOIN documents ON doc_id = t.chunk_id WHERE q.chunk_id % 20 = 0),
-legs AS (SELECT query_id, chunk_id, rank, 0 AS leg_no, 1.0::DOUBLE AS w FROM dense UNION ALL SELECT query_id, chunk_id, rank, 1, 1.0::DOUBLE FROM hybrid UNION ALL SELECT query_id, chunk_id, rank, 2, 0.7::DOUBLE FROM g0 WHERE rank <= 5),
+ALL_PAIRS = V.VECTORS.replace("ON q.item_name = t.item_name", "ON true").replace(" AND t.item_name = q.item_name", "")
+
+
+@query("j9_hybrid_search_unconfined", f"WITH {ALL_PAIRS} SELECT query_id, chunk_id, score, rank FROM hybrid")
+def j9_all(spark, d):
+    """The use that looks names up among all items: no item filter."""
+    q, t = _vectors(spark, d)
+    return vectors.hybrid_search(q, t, item=None)
+
+
+@query("j9_hybrid_search_entities", f"WITH {V.VECTORS.replace('0.5::DOUBLE * (1', '0.4::DOUBLE * (1').replace('0.5::DOUBLE * (0.5', '0.6::DOUBLE * (0.5')} SELECT query_id, chunk_id, score, rank FROM hybrid")
+def j9_entities(spark, d):
+    """The use that aligns entities: weights 0.4 and 0.6."""
+    q, t = _vectors(spark, d)
+    return vectors.hybrid_search(q, t, weights=(0.4, 0.6))
+
+
+@query("p4_filter_items", f"WITH {V.VECTORS}, qi AS (SELECT chunk_id AS query_id, item_name FROM cv WHERE chunk_id % 20 = 0 UNION SELECT chunk_id, 'L' || (chunk_id % 7)::VARCHAR FROM cv WHERE chunk_id % 20 = 0) SELECT query_id, chunk_id, item_name FROM qi JOIN cv USING (item_name)")
+def p4(spark, d):
+    """Two items a question, which may be the same."""
+    q, t = _vectors(spark, d)
+    asked = q.select("query_id", F.array("item_name", F.concat(F.lit("L"), (F.col("query_id") % 7).cast("string"))).alias("item_names"))
+    return vectors.filter_items(asked, t).select("query_id", "chunk_id", "item_name")
+
+
+DOC_GRAPH = """dg AS (SELECT item_name, chunk_id, source, lang FROM cv JOIN documents ON doc_id = chunk_id),
+sd AS (SELECT chunk_id AS query_id, item_name, source FROM dg WHERE chunk_id % 20 = 0 AND trim(source, ' ' || chr(10)) <> ''),
+tr AS (SELECT DISTINCT query_id, sd.item_name, sd.source, lang FROM sd JOIN dg USING (item_name, source) WHERE lang IS NOT NULL AND lang <> source),
+nw AS (SELECT query_id, item_name, source AS name, 2.0::DOUBLE AS weight FROM sd WHERE query_id IN (SELECT query_id FROM tr) UNION SELECT query_id, item_name, lang, 1.0::DOUBLE FROM tr),
+mn AS (SELECT DISTINCT item_name, name, chunk_id::VARCHAR AS chunk_id FROM (SELECT item_name, source AS name, chunk_id FROM dg UNION ALL SELECT item_name, lang, chunk_id FROM dg) WHERE name IS NOT NULL),
+gl AS (SELECT * FROM (SELECT query_id, nw.item_name, chunk_id, sum(weight) AS score, count(*) AS hits, row_number() OVER (PARTITION BY query_id ORDER BY sum(weight) DESC, count(*) DESC, chunk_id DESC)::INTEGER AS rank
+  FROM nw JOIN mn ON mn.item_name = nw.item_name AND mn.name = nw.name GROUP BY query_id, nw.item_name, chunk_id) WHERE rank <= 100)"""
+
+
+def _graph_leg(spark, d):
+    """Sources and languages of a label's documents as its graph; a question asks for its own document's source."""
+    _, t = _vectors(spark, d)
+    rows = t.select("item_name", "chunk_id").join(V.read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "lang"), "chunk_id")
+    names = rows.select("item_name", "chunk_id", F.explode(F.array("source", "lang")).alias("name")).where("name is not null")
+    edges = rows.where("source is not null and lang is not null").select("item_name", F.col("source").alias("head"), F.lit("HAS_PART").alias("type"), F.col("lang").alias("tail")).distinct()
+    asked = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.lit(0).alias("ext_pos"), "item_name", F.col("source").alias("aligned"))
+    return graph_search.graph_leg(graph_search.item_entity_pairs(asked), names.select("item_name", "name").distinct(), edges, names.select("item_name", "name", "chunk_id").distinct())
+
+
+@query("graph_leg", f"WITH {V.VECTORS}, {DOC_GRAPH} SELECT query_id, rank, item_name, chunk_id, score, hits FROM gl")
+def graph_leg(spark, d):
+    return _graph_leg(spark, d)
+
+
+FUSED = f"""WITH {V.VECTORS}, {DOC_GRAPH}, g0 AS (SELECT query_id, chunk_id::BIGINT AS chunk_id, rank FROM gl),
+legs AS (SELECT query_id, chunk_id, rank, 0 AS leg_no, 1.0::DOUBLE AS w FROM dense UNION ALL SELECT query_id, chunk_id, rank, 1, 1.0::DOUBLE FROM hybrid UNION ALL SELECT query_id, chunk_id, rank, 2, 0.7::DOUBLE FROM g0),
 fu0 AS (SELECT query_id, chunk_id, round(sum(w / (60 + rank)), 6) AS score, min((leg_no, rank)) AS f FROM legs GROUP BY ALL),
 fu AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f, chunk_id)::INTEGER AS rank FROM fu0) WHERE rank <= 10)"""
 
 
 def _fused(spark, d):
     q, t = _vectors(spark, d)
-    docs = V.read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "n_chars")
+    docs = V.read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     dense, hyde = vectors.dense_topk(q, t), vectors.hybrid_search(q, t)
-    long = t.select("chunk_id", "item_name").join(docs.select("chunk_id", "n_chars"), "chunk_id").join(q.select("query_id", "item_name"), "item_name")
-    long = vectors.top_per(long, ["query_id"], [F.desc("n_chars"), F.col("chunk_id")], 5)
-    legs = {name: vectors.backfill_chunks(hits.select("query_id", "chunk_id", "rank"), docs, ["content"]) for name, hits in (("vector", dense), ("hyde", hyde), ("graph", long))}
+    graph = _graph_leg(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("long"))
+    legs = {name: vectors.backfill_chunks(hits.select("query_id", "chunk_id", "rank"), docs, ["content"]) for name, hits in (("vector", dense), ("hyde", hyde), ("graph", graph))}
     return fusion.rrf(fusion.union_legs(legs)), docs
 
 
@@ -154,7 +202,7 @@ def w2(spark, d):
 
 @query("answer_context", f"{FUSED}{CUT} SELECT query_id, chunk_id, score, rank, md5(text) AS content_md5 FROM cut JOIN documents ON doc_id = chunk_id")
 def answer_context(spark, d):
-    """Flagship: vector, hybrid and length legs fused, cut and filled with the chunk texts."""
+    """Flagship: vector, hybrid and graph legs fused, cut and filled with the chunk texts."""
     fused, docs = _fused(spark, d)
     return vectors.backfill_chunks(fusion.cliff_cut(fused), docs, ["content"]).select("query_id", "chunk_id", "score", "rank", digest("content"))
 
@@ -222,7 +270,7 @@ def t18(spark, d):
 def _graph(spark, d):
     parsed = graph_build.parse_responses(V.extractions(spark, d))
     entities = graph_build.clean_entities(parsed)
-    return parsed, entities, graph_build.clean_relations(parsed, entities)
+    return parsed, entities, graph_build.clean_relations(parsed)
 
 
 @query("p2_valid_graph_chunks", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'kg_chunk_temp_' || doc_id::VARCHAR ELSE doc_id::VARCHAR END AS chunk_id, CASE WHEN doc_id % 7 = 0 THEN lang ELSE source END AS item_name, md5(trim(text, ' ' || chr(10))) AS content_md5 FROM documents WHERE trim(text, ' ' || chr(10)) <> '' AND CASE WHEN doc_id % 7 = 0 THEN lang ELSE source END IS NOT NULL")
@@ -274,6 +322,12 @@ def a12(spark, d):
     return graph_build.extraction_stats(*_graph(spark, d))
 
 
+@query("a12_failed_chunks", f"WITH {V.ENTITIES}, c AS (SELECT DISTINCT l_orderkey::VARCHAR || '/' || p_brand AS chunk_id, l_orderkey % 11 = 0 AS bad FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT chunk_id, CASE WHEN bad THEN 'bad response' ELSE 'no valid entity' END AS reason FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM ent)")
+def a12_failed(spark, d):
+    parsed, entities, _ = _graph(spark, d)
+    return graph_build.failed_chunks(parsed, entities)
+
+
 @query("s6_replace_by_item", "SELECT p_brand AS item_name, p_name AS name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45) UNION ALL SELECT p_brand, upper(p_name) FROM part WHERE p_size > 45")
 def s6(spark, d):
     part = V.read(spark, d, "part")
@@ -412,9 +466,13 @@ def t11(spark, d):
     return part.select("p_partkey", F.array_join(x["item_names"], "|").alias("items"), x["rewritten_query"].alias("rewritten"))
 
 
-@query("t12_strip_item_names", "SELECT p_partkey, 'how to use it' AS asked FROM part")
+ASKED_OF_PART = """CASE p_partkey % 5 WHEN 0 THEN p_brand || ' how to use it?' WHEN 1 THEN 'is ' || upper(p_brand) || ' - good，' WHEN 2 THEN 'what about ' || replace(p_brand, '#', ' # ') || ' then！'
+  WHEN 3 THEN p_brand || '?' ELSE 'nothing of the kind ' || p_partkey::VARCHAR END"""
+
+
+@query("t12_strip_item_names", f"WITH q AS (SELECT p_partkey, p_brand, {ASKED_OF_PART} AS q FROM part), s AS (SELECT *, trim(regexp_replace(regexp_replace(q, '(?i)' || replace(p_brand, '#', '\\s*#\\s*'), '', 'g'), '[\\s-]+', ' ', 'g'), ' ,，。?？!！') AS s FROM q) SELECT p_partkey, CASE WHEN s = '' THEN q ELSE s END AS asked FROM s")
 def t12(spark, d):
-    part = V.read(spark, d, "part").withColumn("q", F.concat("p_brand", F.lit(" how to use it?")))
+    part = V.read(spark, d, "part").withColumn("q", F.expr(ASKED_OF_PART.replace("p_partkey::VARCHAR", "string(p_partkey)")))
     return part.select("p_partkey", items.strip_item_names(F.col("q"), F.array("p_brand")).alias("asked"))
 
 
@@ -431,6 +489,11 @@ def t14(spark, d):
     return hist.format_history(hist.recent_messages(V.history(spark, d), 1 << 30), {"user": "U", "assistant": "A"})
 
 
+@query("t14_format_history_raw", f"WITH {V.HISTORY} SELECT session_id, string_agg(coalesce(role, '') || ': ' || trim(text, ' ' || chr(10)), chr(10) ORDER BY ts, _id) AS history FROM h WHERE trim(text, ' ' || chr(10)) <> '' GROUP BY ALL")
+def t14_raw(spark, d):
+    return hist.format_history(hist.recent_messages(V.history(spark, d), 1 << 30))
+
+
 @query("s7_save_messages", f"WITH {V.HISTORY} SELECT _id, CASE WHEN ts = 1 THEN 'edited' ELSE text END AS text FROM h")
 def s7(spark, d):
     old = V.history(spark, d)

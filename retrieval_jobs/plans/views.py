@@ -103,8 +103,9 @@ ENTITIES = f"""li AS (SELECT l_orderkey::VARCHAR || '/' || p_brand AS chunk_id,
   'S' || l_suppkey::VARCHAR AS supplier, {LINK_TYPE} AS rel, row_number() OVER (PARTITION BY l_orderkey, p_brand ORDER BY l_linenumber, l_partkey, ' ' || p_name, l_suppkey) AS no FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 11 <> 0),
 e0 AS (SELECT chunk_id, item_name, pos, 2 * no AS seq, substr(trim(p_name), 1, 15) AS name, label, description FROM li UNION ALL SELECT chunk_id, item_name, pos, 2 * no + 1, substr(supplier, 1, 15), 'Device', NULL FROM li),
 ent AS (SELECT * FROM e0 WHERE label <> 'Planet' QUALIFY row_number() OVER (PARTITION BY chunk_id, name, label ORDER BY seq) = 1),
-rel AS (SELECT chunk_id, item_name, pos, substr(trim(p_name), 1, 15) AS head, CASE WHEN rel = 'FOO' THEN 'RELATED_TO' ELSE rel END AS type, supplier AS tail FROM li
-  WHERE (chunk_id, substr(trim(p_name), 1, 15)) IN (SELECT chunk_id, name FROM ent) AND (chunk_id, supplier) IN (SELECT chunk_id, name FROM ent)),
+en AS (SELECT DISTINCT chunk_id, name FROM ent),
+rel AS (SELECT li.chunk_id, item_name, pos, h.name AS head, CASE WHEN rel = 'FOO' THEN 'RELATED_TO' ELSE rel END AS type, t.name AS tail FROM li
+  JOIN en h ON h.chunk_id = li.chunk_id AND h.name = substr(trim(p_name), 1, 15) JOIN en t ON t.chunk_id = li.chunk_id AND t.name = supplier),
 nodes AS (SELECT item_name, name, list_sort(list_distinct(list(label))) AS labels, coalesce(arg_max(description, (pos, seq, chunk_id)) FILTER (description IS NOT NULL), '') AS description,
   arg_min(chunk_id, (pos, seq, chunk_id)) AS source_chunk_id FROM ent GROUP BY ALL)"""
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retrieval_jobs.functions.text import filled
@@ -10,10 +11,15 @@ from retrieval_jobs.functions.text import filled
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "gif", "webp", "bmp")  # fixed values; compared as written
 
 
+def file_title(path: Column) -> Column:
+    """The stem of a file's address, decoded."""
+    return F.url_decode(F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1))
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, file_title, path, md) of the .md files below a folder; the title is the file's stem."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.col("value").alias("md"), F.col("_metadata.file_path").alias("path"))
-    return rows.select(F.xxhash64("path").alias("doc_id"), F.url_decode(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)).alias("file_title"), "path", "md")
+    return rows.select(F.xxhash64("path").alias("doc_id"), file_title(F.col("path")).alias("file_title"), "path", "md")
 
 
 def route_by_type(files: DataFrame, out_dir: str = "converted") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -45,24 +51,29 @@ def list_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAG
 
 
 def write_chunks(df: DataFrame, path: str, mode: str = "item", key: str = "item_name", buckets: int = 64) -> None:
-    """``item``: replace the partitions that the incoming items hash to, keeping their other items; ``full``: rewrite; ``append``: add."""
+    """``item``: replace the partitions that the incoming items hash to, keeping their other items; ``full``: rewrite; ``append``: add.
+
+    ``df`` is computed once: its rows are staged beside the table before anything is asked of them."""
     spark = df.sparkSession
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     rows = df.withColumn("_bucket", bucket)
     if mode == "item" and _exists(spark, path):
-        touched = rows.select("_bucket").distinct()
-        old = spark.read.parquet(path).join(F.broadcast(touched), "_bucket", "left_semi").join(df.select(key).distinct(), key, "left_anti")  # at most ``buckets`` rows
-        staged = f"{path.rstrip('/')}.staged"
-        rows.unionByName(old, allowMissingColumns=True).write.mode("overwrite").parquet(staged)
-        rows = spark.read.parquet(staged)
+        new, kept = (f"{path.rstrip('/')}.staged/{part}" for part in ("new", "kept"))
+        rows.write.mode("overwrite").parquet(new)
+        rows = spark.read.schema(rows.schema).parquet(new)
+        touched = rows.select("_bucket").distinct()  # at most ``buckets`` rows
+        old = spark.read.parquet(path).join(F.broadcast(touched), "_bucket", "left_semi").join(rows.select(key).distinct(), key, "left_anti")
+        old.write.mode("overwrite").parquet(kept)
+        rows = rows.unionByName(spark.read.schema(old.schema).parquet(kept), allowMissingColumns=True)
     how = "append" if mode == "append" else "overwrite"
     rows.write.mode(how).option("partitionOverwriteMode", "dynamic" if mode == "item" else "static").partitionBy("_bucket").parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
 
 
 def append_item_names(df: DataFrame, path: str) -> None:

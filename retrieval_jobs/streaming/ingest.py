@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from retrieval_jobs.operators.chunking import chunk_documents
 from retrieval_jobs.operators.models import embed, hashed_encoder
-from retrieval_jobs.sources.files import write_chunks
+from retrieval_jobs.sources.files import file_title, write_chunks
 
 
 def ingest_batch(documents: DataFrame, path: str, encoder=hashed_encoder) -> None:
@@ -23,5 +23,5 @@ def ingest_stream(spark: SparkSession, in_dir: str, table_path: str, checkpoint:
     The checkpoint makes each file's import happen, and the replacement by item makes a repeated one harmless."""
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(in_dir)
     docs = files.select(F.col("value").alias("md"), F.col("_metadata.file_path").alias("path"))
-    docs = docs.select(F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("file_title"), "md")
+    docs = docs.select(F.xxhash64("path").alias("doc_id"), file_title(F.col("path")).alias("file_title"), "md")
     return docs.writeStream.foreachBatch(lambda df, _: ingest_batch(df, table_path, encoder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

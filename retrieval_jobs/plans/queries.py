@@ -255,13 +255,13 @@ def u3(spark, d):
     return models.complete(V.read(spark, d, "benchmark"), "text", lambda: lambda prompt: prompt[:1].upper()).select("item_id", "response")
 
 
-@query("t18_sparse_from_csr", "SELECT vec_id, e.i - 1 AS token, embedding[e.i]::DOUBLE AS weight FROM embeddings, unnest(range(1, len(embedding) // 2 + 1)) AS e(i)")
+@query("t18_sparse_from_csr", "SELECT vec_id, e.i - 1 AS token, embedding[e.i]::DOUBLE AS weight FROM embeddings, unnest(range(1, len(embedding) + 1)) AS e(i)")
 def t18(spark, d):
     rows = V.read(spark, d, "embeddings").withColumn("half", F.floor(F.size("embedding") / 2).cast("int"))
-    # one matrix a vector: row 1 is its first half, after an empty row 0
+    # one matrix a vector: rows 1 and 2 are its halves, after an empty row 0
     indices = F.sequence(F.lit(0), F.size("embedding") - 1).cast("array<int>")
-    m = T.sparse_row(indices, F.col("embedding").cast("array<double>"), F.array(F.lit(0), F.lit(0), F.col("half"), F.size("embedding")), F.lit(1))
-    return rows.select("vec_id", F.explode(m).alias("token", "weight")).withColumn("token", F.col("token").cast("long"))
+    part = lambda row: T.sparse_row(indices, F.col("embedding").cast("array<double>"), F.array(F.lit(0), F.lit(0), F.col("half"), F.size("embedding")), F.lit(row))
+    return rows.select("vec_id", F.explode(F.map_concat(part(1), part(2))).alias("token", "weight")).withColumn("token", F.col("token").cast("long"))
 
 
 # graph
@@ -387,15 +387,15 @@ BEST = f"WITH {MATCHES}, {ASKED}, b AS (SELECT a.*, m.entity_name, m.score FROM
 def _aligned(spark, d):
     hits = _matches(spark, d)
     asked = V.read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("ext_pos"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("entity"))
-    return graph_search.best_per_item(asked.withColumn("item_name", F.col("entity")), hits, 0.4)
+    return graph_search.best_per_item(asked.withColumn("item_name", F.col("entity")), hits, 0.25)
 
 
-@query("a5_best_per_item", f"{BEST} SELECT query_id, item_name, CASE WHEN score >= 0.4 THEN entity_name END AS aligned, CASE WHEN score >= 0.4 THEN score END AS score, CASE WHEN score IS NULL THEN 'no hit' WHEN score < 0.4 THEN 'below minimum' END AS reason FROM b")
+@query("a5_best_per_item", f"{BEST} SELECT query_id, item_name, CASE WHEN score >= 0.25 THEN entity_name END AS aligned, CASE WHEN score >= 0.25 THEN score END AS score, CASE WHEN score IS NULL THEN 'no hit' WHEN score < 0.25 THEN 'below minimum' END AS reason FROM b")
 def a5(spark, d):
     return _aligned(spark, d).select("query_id", "item_name", "aligned", "score", "reason")
 
 
-@query("a6_item_entity_pairs", f"{BEST} SELECT query_id, 1 AS pos, item_name, entity_name AS entity FROM b WHERE score >= 0.4")
+@query("a6_item_entity_pairs", f"{BEST} SELECT query_id, 1 AS pos, item_name, entity_name AS entity FROM b WHERE score >= 0.25")
 def a6(spark, d):
     return graph_search.item_entity_pairs(_aligned(spark, d))
 
@@ -579,10 +579,10 @@ def s2(spark, d):
     return part(md, "md").unionByName(part(pdf, "pdf")).unionByName(part(rejected, "rejected"))
 
 
-@query("s9_object_url", "SELECT doc_id, 'http://store:9000/kb/' || source || '/' || doc_id::VARCHAR || '.png' AS url FROM documents WHERE source IS NOT NULL")
+@query("s9_object_url", "SELECT doc_id, 'http://store:9000/kb/' || coalesce(source, 'none') || '/' || doc_id::VARCHAR || '.png' AS url FROM documents")
 def s9(spark, d):
-    docs = V.read(spark, d, "documents").where("source is not null")
-    return docs.select("doc_id", T.object_url(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".png")), "store:9000", "kb").alias("url"))
+    docs = V.read(spark, d, "documents")
+    return docs.select("doc_id", T.object_url(F.coalesce("source", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".png")), "store:9000", "kb").alias("url"))
 
 
 @query("s3_flatten_layout_json", "SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS told FROM conversations WHERE trim(text, ' ' || chr(10)) <> ''")
@@ -618,10 +618,10 @@ def t7(spark, d):
     return images.image_context(docs, names)
 
 
-@query("j8_t8_rewrite_images", "SELECT doc_id, md5('# Head' || chr(10) || string_split(coalesce(text, ''), chr(10))[1] || chr(10) || chr(10) || '![pic ' || doc_id::VARCHAR || '](http://s/b/' || source || '/' || doc_id::VARCHAR || '.png)' || chr(10) || chr(10) || coalesce(text, '')) AS md_md5 FROM documents WHERE source IS NOT NULL")
+@query("j8_t8_rewrite_images", "SELECT doc_id, md5('# Head' || chr(10) || string_split(coalesce(text, ''), chr(10))[1] || chr(10) || chr(10) || '![pic ' || doc_id::VARCHAR || '](http://s/b/' || coalesce(source, 'none') || '/' || doc_id::VARCHAR || '.png)' || chr(10) || chr(10) || coalesce(text, '')) AS md_md5 FROM documents")
 def t8(spark, d):
     docs, names = _illustrated(spark, d)
-    docs, names = docs.where("file_title is not null"), names.where("file_title is not null")
+    docs, names = (x.withColumn("file_title", F.coalesce("file_title", F.lit("none"))) for x in (docs, names))
     told = names.where("image_name <> 'spare.png'").select("doc_id", "image_name", F.concat(F.lit("pic "), F.col("doc_id").cast("string")).alias("summary"))
     refs = images.attach_summaries(names, told, "s", "b")
     return images.rewrite_images(docs, refs).select("doc_id", digest("md"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, span_hashes, text_blocks, window_hashes, words_of
+from .common import mix, settled, span_hashes, text_blocks, window_hashes, words_of
 
 WINDOW = 5
 LITERALS = 3  # placeholders alone don't make a window
@@ -212,16 +212,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.
     another value than the item's). A pair counts when its consistent windows cover ``min_coverage``
     of the item, or ``min_run`` of them (13 words) lie on one diagonal; for an item of raw windows all
     must lie on one diagonal. Null ids are ignored; null,
-    empty or unmatched texts give no row; repeated rows of one doc_id count as one; extra columns
-    are ignored; an empty table on either side gives no rows."""
-    bench = template_windows(benchmark.where("item_id is not null"), "item_id").select("item_id", F.col("pos").alias("ipos"), "win", F.col("slots").alias("islots"), F.col("kind").alias("ikind"), "size").distinct()
+    empty or unmatched texts give no row; repeated rows of one doc_id count as one, and of different texts that share one the
+    windows are taken together; of equal coverages that by plain templates counts; extra columns of any name are ignored; an empty
+    table on either side gives no rows."""
+    bench = settled(template_windows(benchmark.where("item_id is not null"), "item_id").select("item_id", F.col("pos").alias("ipos"), "win", F.col("slots").alias("islots"), F.col("kind").alias("ikind"), "size").distinct())
     count = lambda kind: F.countDistinct(F.when(F.col("ikind").bitwiseAND(kind) != 0, F.col("ipos")))
     size = bench.groupBy("item_id").agg(count(PLAIN).alias("plain"), count(OPENED).alias("opened"), count(EXACT).alias("exact"))
-    keys = bench.select("win").distinct().limit(broadcast_windows + 1).collect()
+    keys = bench.select("win").distinct()
     exact = sorted(r["size"] for r in bench.where(F.col("ikind") == EXACT).select("size").distinct().collect())
     rows = docs.where("doc_id is not null")
-    if len(keys) <= broadcast_windows:
-        wanted = np.sort(np.array([k.win for k in keys], np.int64).view(np.uint64))
+    if keys.count() <= broadcast_windows:
+        wanted = np.sort(keys.toArrow().column("win").to_numpy().view(np.uint64))
         windows = template_windows(rows, "doc_id", docs.sparkSession.sparkContext.broadcast(wanted), exact)
     else:
         windows = template_windows(rows, "doc_id", exact=exact)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, one_per_id, settled, span_hashes, text_blocks
+from .common import discard, mix, one_per_id, settled, span_hashes, text_blocks
 
 WINDOW, CORE = 100, 24
 SPAN = WINDOW - CORE + 1  # places of the anchor in a window
@@ -284,10 +284,12 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     firsts2, rest2 = first_and_rest(pieces.where("level = 2"), ["at", "bytes"])
     again = settled(with_group_size(firsts2))
     windows = settled(single_windows(again.where("hot")))
-    _, rest3 = first_and_rest(windows, [])
+    firsts3, rest3 = first_and_rest(windows, [])
     cold = pieces.where("level = 1").select("key", "doc_id", "start", "at", "bytes").unionByName(again.where("not hot").select("key", "doc_id", "start", "at", "bytes"))
     found = sorted_collections(cold)
-    return settled(near.unionByName(rest).unionByName(rest2).unionByName(rest3).unionByName(found))
+    out = settled(near.unionByName(rest).unionByName(rest2).unionByName(rest3).unionByName(found))
+    discard(shared, both, firsts, pieces, firsts2, again, windows, firsts3)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

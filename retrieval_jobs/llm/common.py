@@ -93,8 +93,8 @@ def bounded_sample(labelled: DataFrame, key: str, rows: int) -> DataFrame:
     Only keys are sorted at first; the payload is fetched by a join with the bounded list of keys. Where keys repeat,
     the bound holds for the rows, smallest first."""
     place = F.xxhash64(F.lit("sample"), F.col(key))
-    keys = labelled.select(key).distinct().orderBy(place, key).limit(rows)
-    found = labelled.join(F.broadcast(keys), key, "left_semi")
+    keys = labelled.select(key).distinct().orderBy(place, key).limit(rows).select(F.col(key).alias("_key"))
+    found = labelled.join(F.broadcast(keys), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     return found.orderBy(place, key, *[c for c in labelled.columns if c != key]).limit(rows)
 
 

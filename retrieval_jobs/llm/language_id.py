@@ -157,13 +157,32 @@ def train(docs: DataFrame, sample_rows: int = 6000, **options) -> Model:
     Only the ``LANGUAGES`` most frequent values of ``lang`` are learned, as the model has a column for each."""
     usable = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    nothing = Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
     if not counts:
-        return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
+        return nothing
     each = sample_rows / len(counts)
     odds = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * each / n))) for k, n in counts.items()], F.lit(0.0))
     drawn = usable.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000)) < odds * 1_000_000)
-    rows = bounded_sample(drawn, "doc_id", sample_rows).orderBy("doc_id", "lang", "text").toArrow()
-    return fit(rows.column("text"), rows.column("lang"), **options)
+    sample = bounded_sample(drawn, "doc_id", sample_rows).coalesce(1)
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches).sort_by([(c, "ascending") for c in ("doc_id", "lang", "text")])
+        m = fit(rows.column("text"), rows.column("lang"), **options)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([m.languages]), pa.array([m.scores.tobytes()]), pa.array([m.bias.tobytes()]), pa.array([m.temperature]), pa.array([m.threshold])],
+            names=["languages", "scores", "bias", "temperature", "threshold"],
+        )
+
+    # the sample is learned in a task of its own; only the model comes to the driver
+    found = sample.mapInArrow(run, "languages array<string>, scores binary, bias binary, temperature double, threshold double").collect()
+    if not found:
+        return nothing
+    m = found[0]
+    scores = np.frombuffer(m["scores"], np.float32).reshape(BUCKETS, -1)
+    return Model(list(m["languages"]), scores, np.frombuffer(m["bias"], np.float32), m["temperature"], m["threshold"])
 
 
 def bucket_sums(scores: np.ndarray, buf: np.ndarray, offsets: np.ndarray):

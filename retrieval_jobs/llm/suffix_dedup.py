@@ -2,8 +2,9 @@
 
 Every window of ``WINDOW`` bytes is assigned to its anchor, the ``CORE``-byte string of least hash in it, so
 equal windows have equal anchors at equal places. Neighbouring windows with one anchor form a block
-of at most 176 bytes; blocks with equal bytes are one block, whose first occurrence stands for it. The
-blocks of an anchor are a collection of short documents aligned at the anchor, and its suffixes are
+of at most 176 bytes. The blocks of an anchor are a collection of short documents aligned at the anchor; many
+copies of blocks are dealt to parts, each with the first occurrence of every distinct block, before which
+nothing of the anchor starts. Its suffixes are
 sorted column by column: each round inserts the symbol of every block in front of its suffix,
 distributes the order of the round before by that symbol (the column of the Burrows-Wheeler transform)
 and renews the common prefixes of neighbours from range minima. Runs of common prefix 100 or more are
@@ -24,6 +25,7 @@ SPAN = WINDOW - CORE + 1  # places of the anchor in a window
 #: An anchor with more distinct blocks than this is hot: its blocks are dealt out anew under longer strings.
 HOT = 512
 STEP = 19  # windows of a piece of a hot block; they share a string of WINDOW - STEP + 1 bytes
+COPIES = 4096  # later occurrences of blocks under one anchor that one collection takes, beside the first ones
 COLLECTION = 20_000  # blocks that one sort takes, whole anchors at a time
 
 
@@ -70,8 +72,7 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """kind 0: block occurrences (anchor hash, block hash, doc_id, start, windows, place of the anchor);
-    kind 1: ranges (doc_id, start, end as windows) that repeat an earlier block of the same task's text."""
+    """(anchor hash, block hash, doc_id, start, windows, place of the anchor) of every block."""
 
     def run(batches):
         for batch in batches:
@@ -82,20 +83,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     continue
                 key = span_hashes(buf, anchor, anchor + CORE, lower=False)
                 block = span_hashes(buf, first, first + count + WINDOW - 1, lower=False)
-                owner, start = ids[lo + doc], first - offsets[doc]
-                order = np.lexsort((start, owner, block, key))
-                again = np.zeros(len(order), bool)
-                again[1:] = (key[order][1:] == key[order][:-1]) & (block[order][1:] == block[order][:-1])
-                one, more = np.sort(order[~again]), order[again]
-                d, s, e = merged(owner[more], start[more], start[more] + count[more] + WINDOW - 1)
-                zero = np.zeros(len(d), np.int64)
-                spread = mix((d * 1_000_003 + s).astype(np.uint64)).view(np.int64)  # no key; any value, so that they lie everywhere
-                kind = np.r_[np.zeros(len(one), np.int32), np.ones(len(d), np.int32)]
-                cols = [kind, np.r_[key[one].view(np.int64), spread], np.r_[block[one].view(np.int64), zero], np.r_[owner[one], d], np.r_[start[one], s], np.r_[count[one], e - s], np.r_[(anchor - first)[one], zero]]
-                for a in range(0, len(kind), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000]) for c in cols], names=["kind", "key", "block", "doc_id", "start", "n", "at"])
-
-    return docs.mapInArrow(run, "kind int, key long, block long, doc_id long, start long, n long, at long")
+                cols = [key.view(np.int64), block.view(np.int64), ids[lo + doc], first - offsets[doc], count, anchor - first]
+                for a in range(0, len(doc), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000]) for c in cols], names=["key", "block", "doc_id", "start", "n", "at"])
+
+    return docs.mapInArrow(run, "key long, block long, doc_id long, start long, n long, at long")
 
 
 def first_and_rest(occ: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -115,12 +107,29 @@ def with_group_size(firsts: DataFrame) -> DataFrame:
     return firsts.join(size, "key").withColumn("hot", F.col("g") > HOT).drop("g")
 
 
-PIECES = "level int, key long, block long, doc_id long, start long, n long, at long, bytes binary"
+def dealt_copies(occ: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks to sort (key, part, doc_id, start, n, at, hot), ranges of later occurrences under hot anchors, and the table of first occurrences.
+
+    Under an anchor that is not hot all occurrences are sorted: the first of each distinct block goes to every part, a later one to one part."""
+    first = F.min(F.struct("doc_id", "start", "n", "at")).alias("f")
+    firsts = settled(occ.groupBy("key", "block").agg(first, F.count("*").alias("c")).select("key", "block", "f.*", "c"))
+    size = firsts.groupBy("key").agg(F.count("*").alias("g"), F.sum("c").alias("c")).where("c > 1")
+    size = settled(size.select("key", (F.col("g") > 1).alias("others"), (F.col("g") > HOT).alias("hot"), F.ceil((F.col("c") - F.col("g")) / COPIES).alias("parts")))
+    many = firsts.where("c > 1").select("key", "block", F.col("doc_id").alias("d0"), F.col("start").alias("s0")).join(size, "key")
+    later = occ.join(many, ["key", "block"]).where("doc_id <> d0 or start <> s0")
+    rest = later.where("hot").select("doc_id", "start", (F.col("start") + F.col("n") + (WINDOW - 1)).alias("end"))
+    parts = F.when(F.col("hot"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)) - 1))
+    one = firsts.join(size, "key").where("not hot or others").select("key", F.explode(parts).alias("part"), "doc_id", "start", "n", "at", "hot")
+    copies = later.where("not hot").select("key", F.pmod(F.xxhash64("doc_id", "start"), "parts").alias("part"), "doc_id", "start", "n", "at", "hot")
+    return one.unionByName(copies), rest, firsts
+
+
+PIECES = "level int, key long, part long, block long, doc_id long, start long, n long, at long, bytes binary"
 
 
 def block_bytes(docs: DataFrame, asks: DataFrame) -> DataFrame:
     """Level 1: the asked blocks with their bytes; level 2: pieces of hot blocks, under their common strings."""
-    asked = asks.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", "at", "hot")).alias("asks"))
+    asked = asks.groupBy("doc_id").agg(F.collect_list(F.struct("key", "part", "start", "n", "at", "hot")).alias("asks"))
 
     def run(batches):
         for batch in batches:
@@ -131,9 +140,9 @@ def block_bytes(docs: DataFrame, asks: DataFrame) -> DataFrame:
                 for i in range(lo, hi):
                     base = int(offsets[i - lo])
                     fields = column[i].values
-                    for key, start, n, at, hot in zip(*(fields.field(k).to_pylist() for k in range(5)), strict=True):
+                    for key, part, start, n, at, hot in zip(*(fields.field(k).to_pylist() for k in range(6)), strict=True):
                         if not hot:
-                            out.append((1, key, 0, ids[i], start, n, at, data[base + start : base + start + n + WINDOW - 1]))
+                            out.append((1, key, part, 0, ids[i], start, n, at, data[base + start : base + start + n + WINDOW - 1]))
                             continue
                         # windows whose anchor lies STEP * q to STEP * q + STEP - 1 bytes inside them
                         for q in range(-(-SPAN // STEP)):
@@ -141,7 +150,7 @@ def block_bytes(docs: DataFrame, asks: DataFrame) -> DataFrame:
                             e = min(start + n - 1, start + at - STEP * q)
                             if s <= e:
                                 core = start + at - STEP * q
-                                out.append((2, core, q, ids[i], s, e - s + 1, core - s, data[base + s : base + e + WINDOW]))
+                                out.append((2, core, 0, q, ids[i], s, e - s + 1, core - s, data[base + s : base + e + WINDOW]))
                     if len(out) >= 20_000:
                         yield pieces_batch(out)
                         out = []
@@ -152,7 +161,7 @@ def block_bytes(docs: DataFrame, asks: DataFrame) -> DataFrame:
 
 
 def pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
-    level, key, block, doc, start, n, at, data = zip(*rows, strict=True)
+    level, key, part, block, doc, start, n, at, data = zip(*rows, strict=True)
     level, key, block, at = np.array(level, np.int32), np.array(key, np.int64), np.array(block, np.int64), np.array(at, np.int64)
     size = np.array([len(x) for x in data])
     ends = np.cumsum(size)
@@ -162,7 +171,7 @@ def pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
         b0 = (ends - size)[two] + at[two]
         key[two] = mix(span_hashes(buf, b0, b0 + WINDOW - STEP + 1, lower=False) + block[two].astype(np.uint64)).view(np.int64)
         block[two] = span_hashes(buf, (ends - size)[two], ends[two], lower=False).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(level), pa.array(key), pa.array(block), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(at), pa.array(data, pa.binary())], names=["level", "key", "block", "doc_id", "start", "n", "at", "bytes"])
+    return pa.RecordBatch.from_arrays([pa.array(level), pa.array(key), pa.array(part, pa.int64()), pa.array(block), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(at), pa.array(data, pa.binary())], names=["level", "key", "part", "block", "doc_id", "start", "n", "at", "bytes"])
 
 
 def single_windows(pieces: DataFrame) -> DataFrame:
@@ -214,8 +223,10 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, at: np.ndarray, data: l
     col = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(left - at, size)
     symbols[col, row] = np.frombuffer(b"".join(data), np.uint8)
     place = start + at
+    # a first occurrence may be here once for each part of its anchor: equal places have equal ranks
+    by = np.lexsort((place, doc))
     rank = np.empty(m, np.int64)
-    rank[np.lexsort((place, doc))] = np.arange(m)
+    rank[by] = np.cumsum(np.r_[0, (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1])])
     order, common = np.arange(m), np.zeros(m, np.int16)
     late = np.zeros((m, columns + 1), bool)
     for c in range(columns - 1, -1, -1):
@@ -269,25 +280,24 @@ def sorted_collections(pieces: DataFrame) -> DataFrame:
         if out is not None:
             yield out
 
-    rows = pieces.select("key", "doc_id", "start", "at", "bytes").repartition("key").sortWithinPartitions("key")
+    rows = pieces.select(F.xxhash64("key", "part").alias("key"), "doc_id", "start", "at", "bytes").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "doc_id long, start long, end long")
 
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """(doc_id, start, end) of bytes of docs (doc_id, text) inside a window that also starts earlier; ranges may overlap."""
     occ = occurrences(rows)
-    shared = settled(occ.where("kind = 0").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    both = settled(occ.join(shared.withColumn("met", F.lit(True)), "key", "left").where("kind = 1 or met").drop("met"))
-    near = both.where("kind = 1").select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"))
-    firsts, rest = first_and_rest(both.where("kind = 0"), ["at"])
-    pieces = settled(block_bytes(rows, with_group_size(firsts)))
+    shared = settled(occ.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    both = settled(occ.join(shared, "key"))
+    blocks, rest, firsts = dealt_copies(both)
+    pieces = settled(block_bytes(rows, blocks))
     firsts2, rest2 = first_and_rest(pieces.where("level = 2"), ["at", "bytes"])
     again = settled(with_group_size(firsts2))
     windows = settled(single_windows(again.where("hot")))
     firsts3, rest3 = first_and_rest(windows, [])
-    cold = pieces.where("level = 1").select("key", "doc_id", "start", "at", "bytes").unionByName(again.where("not hot").select("key", "doc_id", "start", "at", "bytes"))
+    cold = pieces.where("level = 1").select("key", "part", "doc_id", "start", "at", "bytes").unionByName(again.where("not hot").select("key", F.lit(0).cast("long").alias("part"), "doc_id", "start", "at", "bytes"))
     found = sorted_collections(cold)
-    out = settled(near.unionByName(rest).unionByName(rest2).unionByName(rest3).unionByName(found))
+    out = settled(rest.unionByName(rest2).unionByName(rest3).unionByName(found))
     discard(shared, both, firsts, pieces, firsts2, again, windows, firsts3)
     return out
 

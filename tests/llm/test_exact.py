@@ -44,9 +44,10 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 2])
-def test_suffix_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "copies"), [(512, 4096), (2, 4096), (512, 3)])
+def test_suffix_dedup(spark, monkeypatch, hot, copies):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "COPIES", copies)
     texts = awkward()
     got = suffix_dedup.remove_repeats(documents(spark, texts, [(None, "null id", None, None, 0)])).collect()
     want = brute_repeats(list(enumerate(texts)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hmm, html_extraction, jaccard_join, language_id, mixing, neighbours, quality, secrets, suffix_dedup
+from . import decontamination, divergence, hmm, html_extraction, jaccard_join, language_id, mixing, neighbours, quality, secrets, suffix_dedup, token_counts
 from .common import crc_bucket, table
 
 
@@ -60,6 +60,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(pages, html_extraction.train(pages))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the installed vocabulary files
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -71,8 +81,11 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_hmm_scoring": op9_hmm_scoring,
     "op10_html_extraction": op10_html_extraction,
+    "op11_token_counts": op11_token_counts,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLES = {
     "op3_source_mixing": mixing.SQL.format(docs="documents"),
+    "op12_source_divergence": divergence.SQL.format(docs="documents"),
 }

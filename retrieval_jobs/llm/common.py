@@ -231,6 +231,27 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, n: int = 5):
     return values, out
 
 
+#: Bits of a row of Spark's bitmap functions (4 KB).
+_ROW_BITS = 32768
+
+
+def bitmap(numbers: DataFrame, bits: int) -> np.ndarray:
+    """The bits of the numbers in the one column, modulo ``bits`` (a power of two), as bytes: of fixed size, whatever the input."""
+    place = F.pmod(F.col(numbers.columns[0]).cast("long"), F.lit(bits))
+    rows = numbers.select(place.alias("p")).groupBy((F.col("p") / _ROW_BITS).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("p") % _ROW_BITS).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in rows.toLocalIterator():  # at most bits / 32,768 rows
+        at = row["row"] * (_ROW_BITS // 8)
+        out[at : at + len(row["bits"])] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out
+
+
+def has_bits(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit number is set."""
+    place = numbers.view(np.int64) & np.int64(len(bitmap) * 8 - 1)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected link table; component is the smallest reachable node.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, settled
+from .common import bitmap, discard, settled
 
 MIN_DOCS = 30
 SMOOTHING = 5
@@ -29,10 +29,9 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Distinct (lang, source, chunk) that a task holds before it hands its counts on.
 HELD = 300_000
 #: Sources of a tile of the pair matrix, and terms of a group that fills tiles.
-TILE, GROUP_TERMS = 256, 8192
+TILE, GROUP_TERMS = 256, 4096
 #: Bits of the filter by which chunks are looked for in documents; chunks it lets through are joined exactly.
 FILTER_BITS = 1 << 26
-_BITS_PER_ROW = 32768  # of Spark's bitmap functions: 4 KB a row
 
 _COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("chunk", T.StringType()), T.StructField("n", T.LongType()), T.StructField("docs", T.LongType())])
 _HOLDS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("chunk", T.StringType())])
@@ -90,20 +89,9 @@ def chunk_terms(counts: DataFrame) -> DataFrame:
     return terms.select("chunk", F.inline(once))
 
 
-def _filter(chunks: DataFrame) -> np.ndarray:
-    """A bitmap of ``FILTER_BITS`` bits with those of the chunks' checksums set."""
-    place = F.crc32(F.col("chunk").cast("binary")) % FILTER_BITS
-    rows = chunks.select(place.alias("p")).groupBy((F.floor(F.col("p") / _BITS_PER_ROW)).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("p") % _BITS_PER_ROW).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in rows.toLocalIterator():  # at most FILTER_BITS / 32,768 rows of 4 KB
-        at = row["row"] * (_BITS_PER_ROW // 8)
-        bits[at : at + len(row["bits"])] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return bits
-
-
 def _holding(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc, lang, chunk): the documents that hold some of the chunks, and others that the filter takes for them."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(chunks))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(chunks.select(F.crc32(F.col("chunk").cast("binary"))), FILTER_BITS))
 
     def find(batches):
         view = memoryview(bits.value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, hmm, html_extraction, jaccard_join, language_id, mixing, neighbours, quality, secrets, suffix_dedup, token_counts
+from . import decontamination, divergence, hmm, html_extraction, jaccard_join, language_id, mixing, neighbours, phrases, quality, secrets, suffix_dedup, token_counts
 from .common import crc_bucket, table
 
 
@@ -70,6 +70,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -83,9 +87,11 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
     "op11_token_counts": op11_token_counts,
     "op12_source_divergence": op12_source_divergence,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLES = {
     "op3_source_mixing": mixing.SQL.format(docs="documents"),
     "op12_source_divergence": divergence.SQL.format(docs="documents"),
+    "op13_phrase_collocations": phrases.SQL.format(docs="documents"),
 }

@@ -1,9 +1,9 @@
 """Divergence of the sources of each language, by chunk factorization.
 
 White-space chunks are counted per document, each globally distinct chunk is cut into its terms once, and the terms are joined back to the counts of their
-chunks. Occurrences are plain sums over (lang, source, chunk). Documents are not: two chunks of one document may hold the same term. But the documents of a
-term lie between the most of any of its chunks and the sum over them, which settles all terms but those whose chunks all stand below the threshold while their
-sum does not; for these alone the documents that hold their chunks are looked up again and counted once each. Nothing is estimated.
+chunks. The documents of a term lie between the most of any of its chunks and the sum over them, as two chunks of one document may hold the same term. That
+settles all terms but those whose chunks all stand below the threshold while their sum does not. A second scan counts the occurrences of the chunks of all
+terms that may be kept, by source, and names the documents of those open chunks, which are counted once each. Nothing is estimated.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, discard, settled
+from .common import bitmap, dealt, discard, settled
 
 MIN_DOCS = 30
 SMOOTHING = 5
@@ -26,15 +26,15 @@ SCALE = 1_000_000_000
 TOP_TERMS = 50
 #: What a term is; only A-Z are lower-cased.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Distinct (lang, source, chunk) that a task holds before it hands its counts on.
-HELD = 300_000
+#: Distinct chunks of a language or group that a task holds before it hands their counts on.
+HELD = 500_000
 #: Sources of a tile of the pair matrix, and terms of a group that fills tiles.
 TILE, GROUP_TERMS = 256, 4096
-#: Bits of the filter by which chunks are looked for in documents; chunks it lets through are joined exactly.
+#: Bits of the filters by which chunks are looked for in documents; chunks they let through are joined exactly.
 FILTER_BITS = 1 << 26
 
-_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("chunk", T.StringType()), T.StructField("n", T.LongType()), T.StructField("docs", T.LongType())])
-_HOLDS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("chunk", T.StringType())])
+_DOCS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("chunk", T.StringType()), T.StructField("docs", T.LongType())])
+_USES = T.StructType([*[T.StructField(c, T.StringType()) for c in ("lang", "source", "chunk")], T.StructField("doc", T.LongType()), T.StructField("n", T.LongType())])
 
 
 def _strings(values) -> pa.Array:
@@ -44,81 +44,108 @@ def _strings(values) -> pa.Array:
 def _chunks(texts: pa.Array):
     """The chunks of each text, as bytes: runs without ASCII white space."""
     for cell in texts.cast(pa.large_binary()):
-        yield (cell.as_py() or b"").split()
+        yield cell.as_py().split()
 
 
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, chunk, n, docs) of documents with nulls as '': occurrences and documents of each chunk."""
+def chunk_documents(docs: DataFrame) -> DataFrame:
+    """(lang, chunk, docs): the documents that hold each chunk, dealt by chunk."""
 
     def count(batches):
-        held: dict = defaultdict(lambda: defaultdict(lambda: [0, 0]))
-        size = 0
-
-        def flush():
-            for (lang, source), chunks in held.items():
-                if chunks:
-                    sums = np.array(list(chunks.values()), np.int64)
-                    of = [pa.array([x] * len(chunks), pa.string()) for x in (lang, source)]
-                    yield pa.RecordBatch.from_arrays([*of, _strings(list(chunks)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], schema=out)
-            held.clear()
-
-        out = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+        held: dict[str, Counter] = defaultdict(Counter)
+
+        def flush(lang):
+            chunks = held.pop(lang)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(chunks), pa.string()), _strings(list(chunks)), pa.array(list(chunks.values()), pa.int64())], names=_DOCS.names)
+
         for batch in batches:
-            for lang, source, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _chunks(batch.column(2)), strict=True):
-                own = held[lang, source]
-                size -= len(own)
-                for chunk, n in Counter(chunks).items():
-                    sums = own[chunk]
-                    sums[0] += n
-                    sums[1] += 1
-                size += len(own)
-                if size >= HELD:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    rows = docs.select("lang", "source", "text").mapInArrow(count, _COUNTS)
-    return rows.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-
-
-def chunk_terms(counts: DataFrame) -> DataFrame:
-    """(chunk, term, times): each distinct chunk cut once."""
+            for lang, chunks in zip(batch.column(0).to_pylist(), _chunks(batch.column(1)), strict=True):
+                held[lang].update(set(chunks))
+                if len(held[lang]) >= HELD:
+                    yield from flush(lang)
+        for lang in list(held):
+            yield from flush(lang)
+
+    return dealt(docs.select("lang", "text").mapInArrow(count, _DOCS), "chunk").groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
+
+
+def term_chunks(counts: DataFrame) -> DataFrame:
+    """(lang, term, chunk, times, docs): each distinct chunk cut once, its terms joined to its counts in every language (times: how often it holds the term)."""
     lower = F.translate("chunk", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    terms = counts.select("chunk").distinct().select("chunk", F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).cast("long").alias("times")))
-    return terms.select("chunk", F.inline(once))
+    once = counts.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
+    once = once.select("chunk", "langs", F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
+    times = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).cast("long").alias("times")))
+    times = F.when(F.size("terms") == 1, F.array(F.struct(F.col("terms")[0].alias("term"), F.lit(1).cast("long").alias("times")))).otherwise(times)
+    return once.select("chunk", "langs", F.inline(times)).select("term", "chunk", "times", F.inline("langs")).select("lang", "term", "chunk", "times", "docs")
+
+
+def chunk_uses(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(lang, source, chunk, doc, n) of the chunks in ``asked`` (chunk, open), and of others that the filters take for them.
+
+    With doc -1: the occurrences of a chunk in a source. With another doc: that document holds an open chunk."""
+    checksum = F.crc32(F.col("chunk").cast("binary"))
+    bits = docs.sparkSession.sparkContext.broadcast((bitmap(asked.select(checksum), FILTER_BITS).tobytes(), bitmap(asked.where("open").select(checksum), FILTER_BITS).tobytes()))
+
+    def count(batches):
+        some, open_ = bits.value
+        held: dict[tuple, Counter] = defaultdict(Counter)
+        of_open: dict[bytes, bool] = {}
+
+        def is_in(view, chunk):
+            place = zlib.crc32(chunk) % FILTER_BITS
+            return view[place >> 3] >> (place & 7) & 1
 
+        def flush(group):
+            chunks = [(c, n) for c, n in held.pop(group).items() if is_in(some, c)]
+            return rows(group, [c for c, _ in chunks], -1, [n for _, n in chunks])
 
-def _holding(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc, lang, chunk): the documents that hold some of the chunks, and others that the filter takes for them."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(chunks.select(F.crc32(F.col("chunk").cast("binary"))), FILTER_BITS))
+        def rows(group, chunks, doc, n):
+            own = [pa.array([x] * len(chunks), pa.string()) for x in group]
+            return pa.RecordBatch.from_arrays([*own, _strings(chunks), pa.array([doc] * len(chunks), pa.int64()), pa.array(n, pa.int64())], names=_USES.names)
 
-    def find(batches):
-        view = memoryview(bits.value)
         for batch in batches:
-            number, lang, found = [], [], []
-            for i, chunks in enumerate(_chunks(batch.column(2))):
-                hits = [c for c in set(chunks) if view[(p := zlib.crc32(c) % FILTER_BITS) >> 3] >> (p & 7) & 1]
-                found += hits
-                number += [i] * len(hits)
-            take = pa.array(number, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), _strings(found)], names=_HOLDS.names)
-
-    return docs.select(F.monotonically_increasing_id().alias("doc"), "lang", "text").mapInArrow(find, _HOLDS)
-
-
-def kept_terms(docs: DataFrame, counts: DataFrame, terms: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term) of the terms that at least ``min_docs`` documents of the language hold."""
-    by_chunk = counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
-    spread = settled(terms.join(by_chunk, "chunk").select("lang", "term", "chunk", "docs"))
-    bounds = settled(spread.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).where(F.col("most") >= min_docs))
-    open_ = bounds.where(F.col("least") < min_docs).select("lang", "term")
-    asked = settled(spread.join(open_, ["lang", "term"], "left_semi").select("lang", "chunk", "term"))
-    held = _holding(docs, asked.select("chunk")).join(asked, ["lang", "chunk"])
-    found = held.groupBy("lang", "term", "doc").agg(F.lit(1).alias("one")).groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    kept = settled(bounds.where(F.col("least") >= min_docs).select("lang", "term").unionByName(found.select("lang", "term")))
-    discard(spread, bounds, asked)
-    return kept
+            *groups, ids = (batch.column(i).to_pylist() for i in range(3))
+            for *group, doc, chunks in zip(*groups, ids, _chunks(batch.column(3)), strict=True):
+                group = tuple(group)
+                held[group].update(chunks)
+                found = []
+                for c in set(chunks):
+                    hit = of_open.get(c)
+                    if hit is None:
+                        hit = of_open[c] = is_in(open_, c)
+                    if hit:
+                        found.append(c)
+                if found:
+                    yield rows(group, found, doc, [0] * len(found))
+                if len(of_open) >= HELD:
+                    of_open.clear()
+                if len(held[group]) >= HELD:
+                    yield flush(group)
+                elif len(held) > 1 and sum(map(len, held.values())) >= 2 * HELD:
+                    for g in list(held):
+                        yield flush(g)
+        for g in list(held):
+            yield flush(g)
+
+    found = docs.select("lang", "source", F.monotonically_increasing_id().alias("doc"), "text").mapInArrow(count, _USES)
+    return found.groupBy("lang", "source", "chunk", "doc").agg(F.sum("n").alias("n"))
+
+
+def term_uses(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(lang, source, term, count) of the terms that at least ``min_docs`` documents of the language hold."""
+    counts = settled(chunk_documents(docs), by="chunk")
+    spread = settled(term_chunks(counts))
+    bounds = spread.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).where(F.col("most") >= min_docs)
+    bounds = settled(bounds.select("lang", "term", (F.col("least") < min_docs).alias("open")))
+    asked = settled(spread.join(bounds, ["lang", "term"]).select("lang", "chunk", "term", "times", "open"))
+    discard(counts, spread)
+    uses = settled(chunk_uses(docs, asked))
+    held = uses.where("doc >= 0").join(asked.where("open"), ["lang", "chunk"]).select("lang", "term", "doc").distinct()
+    found = held.groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
+    kept = bounds.where("not open").select("lang", "term").unionByName(found)
+    sums = uses.where("doc < 0").join(asked, ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count"))
+    out = settled(sums.join(kept, ["lang", "term"], "left_semi"))
+    discard(bounds, asked, uses)
+    return out
 
 
 def _share(count, total, terms):
@@ -133,14 +160,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS)
     Null text, lang and source are ''; every row is a document, with a null or repeated id too; repeated rows count as often as they stand; ties go to the smaller
     item in UTF-8 order. A language without kept terms has pairs of value 0 and no terms; an empty table gives no rows. Columns besides these three aren't read."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = settled(chunk_counts(rows))
-    terms = settled(chunk_terms(counts))
-    kept = kept_terms(rows, counts, terms, min_docs)
-    uses = terms.join(counts, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count"))
-    uses = settled(uses.join(kept, ["lang", "term"], "left_semi"))
-    discard(counts, terms)
-
-    size = kept.groupBy("lang").agg(F.count("*").alias("terms"))
+    uses = term_uses(rows, min_docs)
+    size = uses.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("terms"))
     total = uses.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     groups = rows.select("lang", "source").distinct().join(size, "lang", "left").join(total, ["lang", "source"], "left").na.fill(0, ["terms", "total"])
     place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("place")

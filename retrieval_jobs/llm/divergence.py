@@ -89,42 +89,44 @@ def chunk_uses(docs: DataFrame, asked: DataFrame) -> DataFrame:
         some, open_ = bits.value
         held: dict[tuple, Counter] = defaultdict(Counter)
         of_open: dict[bytes, bool] = {}
+        size = 0
 
         def is_in(view, chunk):
             place = zlib.crc32(chunk) % FILTER_BITS
             return view[place >> 3] >> (place & 7) & 1
 
-        def flush(group):
-            chunks = [(c, n) for c, n in held.pop(group).items() if is_in(some, c)]
-            return rows(group, [c for c, _ in chunks], -1, [n for _, n in chunks])
+        def batch_of(rows):
+            *texts, chunks, doc, n = zip(*rows, strict=True) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.string()) for x in texts], _strings(chunks), pa.array(doc, pa.int64()), pa.array(n, pa.int64())], names=_USES.names)
 
-        def rows(group, chunks, doc, n):
-            own = [pa.array([x] * len(chunks), pa.string()) for x in group]
-            return pa.RecordBatch.from_arrays([*own, _strings(chunks), pa.array([doc] * len(chunks), pa.int64()), pa.array(n, pa.int64())], names=_USES.names)
+        def flush():
+            for group in list(held):
+                yield batch_of([(*group, c, -1, n) for c, n in held.pop(group).items() if is_in(some, c)])
 
         for batch in batches:
             *groups, ids = (batch.column(i).to_pylist() for i in range(3))
+            found = []
             for *group, doc, chunks in zip(*groups, ids, _chunks(batch.column(3)), strict=True):
-                group = tuple(group)
-                held[group].update(chunks)
-                found = []
+                own = held[tuple(group)]
+                size -= len(own)
+                own.update(chunks)
+                size += len(own)
                 for c in set(chunks):
                     hit = of_open.get(c)
                     if hit is None:
                         hit = of_open[c] = is_in(open_, c)
                     if hit:
-                        found.append(c)
-                if found:
-                    yield rows(group, found, doc, [0] * len(found))
+                        found.append((*group, c, doc, 0))
                 if len(of_open) >= HELD:
                     of_open.clear()
-                if len(held[group]) >= HELD:
-                    yield flush(group)
-                elif len(held) > 1 and sum(map(len, held.values())) >= 2 * HELD:
-                    for g in list(held):
-                        yield flush(g)
-        for g in list(held):
-            yield flush(g)
+                if size >= 2 * HELD:
+                    yield from flush()
+                    size = 0
+                if len(found) >= HELD:
+                    yield batch_of(found)
+                    found = []
+            yield batch_of(found)
+        yield from flush()
 
     found = docs.select("lang", "source", F.monotonically_increasing_id().alias("doc"), "text").mapInArrow(count, _USES)
     return found.groupBy("lang", "source", "chunk", "doc").agg(F.sum("n").alias("n"))

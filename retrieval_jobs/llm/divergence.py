@@ -8,7 +8,7 @@ terms that may be kept, by source, and names the documents of those open chunks,
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, dealt, discard, settled
+from .common import bitmap, dealt, discard, has_bits, mix, settled, span_hashes, text_blocks, words_of
 
 MIN_DOCS = 30
 SMOOTHING = 5
@@ -26,126 +26,122 @@ SCALE = 1_000_000_000
 TOP_TERMS = 50
 #: What a term is; only A-Z are lower-cased.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Distinct chunks of a language or group that a task holds before it hands their counts on.
-HELD = 500_000
+#: Distinct chunks of a language, and chunks of all groups, that a task holds before it hands their counts on.
+HELD, WORDS_HELD = 500_000, 8_000_000
 #: Sources of a tile of the pair matrix, and terms of a group that fills tiles.
 TILE, GROUP_TERMS = 256, 4096
 #: Bits of the filters by which chunks are looked for in documents; chunks they let through are joined exactly.
 FILTER_BITS = 1 << 26
 
-_DOCS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("chunk", T.StringType()), T.StructField("docs", T.LongType())])
-_USES = T.StructType([*[T.StructField(c, T.StringType()) for c in ("lang", "source", "chunk")], T.StructField("doc", T.LongType()), T.StructField("n", T.LongType())])
+_DOCS = T.StructType([*[T.StructField(c, T.StringType()) for c in ("lang", "chunk")], *[T.StructField(c, T.LongType()) for c in ("key", "docs")]])
+_USES = T.StructType([T.StructField(c, T.LongType()) for c in ("group", "key", "doc", "n")])
 
 
-def _strings(values) -> pa.Array:
-    return pa.array(values, pa.binary()).cast(pa.string())
+def _seeds(langs: list[str], salt: int) -> np.ndarray:
+    of = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8, salt=bytes([salt])).digest(), "little") for x in set(langs)}
+    return np.array([of[x] for x in langs], np.uint64)
 
 
-def _chunks(texts: pa.Array):
-    """The chunks of each text, as bytes: runs without ASCII white space."""
-    for cell in texts.cast(pa.large_binary()):
-        yield cell.as_py().split()
-
-
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """(lang, chunk, docs): the documents that hold each chunk, dealt by chunk."""
+def chunk_documents(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """(lang, chunk, key, docs): the documents that hold each chunk, dealt by chunk; the key is a hash of both."""
 
     def count(batches):
         held: dict[str, Counter] = defaultdict(Counter)
 
         def flush(lang):
             chunks = held.pop(lang)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(chunks), pa.string()), _strings(list(chunks)), pa.array(list(chunks.values()), pa.int64())], names=_DOCS.names)
+            sizes = np.cumsum([0, *map(len, chunks)])
+            buf = np.frombuffer(b"".join(chunks), np.uint8)
+            keys = mix(span_hashes(buf, sizes[:-1], sizes[1:], lower=False) ^ _seeds([lang], salt))
+            text = pa.array(list(chunks), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(chunks), pa.string()), text, pa.array(keys.view(np.int64)), pa.array(list(chunks.values()), pa.int64())], names=_DOCS.names)
 
         for batch in batches:
-            for lang, chunks in zip(batch.column(0).to_pylist(), _chunks(batch.column(1)), strict=True):
-                held[lang].update(set(chunks))
-                if len(held[lang]) >= HELD:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+                own = held[lang]
+                own.update(set(text.as_py().split()))
+                if len(own) >= HELD:
                     yield from flush(lang)
-        for lang in list(held):
+        for lang in [x for x, own in held.items() if own]:
             yield from flush(lang)
 
-    return dealt(docs.select("lang", "text").mapInArrow(count, _DOCS), "chunk").groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
+    found = docs.select("lang", "text").mapInArrow(count, _DOCS)
+    return dealt(found, "chunk").groupBy("lang", "chunk", "key").agg(F.sum("docs").alias("docs"))
 
 
 def term_chunks(counts: DataFrame) -> DataFrame:
-    """(lang, term, chunk, times, docs): each distinct chunk cut once, its terms joined to its counts in every language (times: how often it holds the term)."""
+    """(lang, term, key, times, docs): each distinct chunk cut once, its terms joined to its counts in every language (times: how often it holds the term)."""
     lower = F.translate("chunk", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    once = counts.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
-    once = once.select("chunk", "langs", F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
+    once = counts.groupBy("chunk").agg(F.collect_list(F.struct("lang", "key", "docs")).alias("langs"))
+    once = once.select("langs", F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
     times = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).cast("long").alias("times")))
-    times = F.when(F.size("terms") == 1, F.array(F.struct(F.col("terms")[0].alias("term"), F.lit(1).cast("long").alias("times")))).otherwise(times)
-    return once.select("chunk", "langs", F.inline(times)).select("term", "chunk", "times", F.inline("langs")).select("lang", "term", "chunk", "times", "docs")
+    single = F.array(F.struct(F.get("terms", F.lit(0)).alias("term"), F.lit(1).cast("long").alias("times")))
+    once = once.select("langs", F.inline(F.when(F.size("terms") == 1, single).otherwise(times)))
+    return once.select("term", "times", F.inline("langs")).select("lang", "term", "key", "times", "docs")
 
 
-def chunk_uses(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(lang, source, chunk, doc, n) of the chunks in ``asked`` (chunk, open), and of others that the filters take for them.
+def chunk_uses(docs: DataFrame, asked: DataFrame, salt: int = 0) -> DataFrame:
+    """(group, key, doc, n) of the chunks in ``asked`` (key, open), and of others that the filters take for them.
 
-    With doc -1: the occurrences of a chunk in a source. With another doc: that document holds an open chunk."""
-    checksum = F.crc32(F.col("chunk").cast("binary"))
-    bits = docs.sparkSession.sparkContext.broadcast((bitmap(asked.select(checksum), FILTER_BITS).tobytes(), bitmap(asked.where("open").select(checksum), FILTER_BITS).tobytes()))
+    With doc -1: the occurrences of a chunk in a group. With another doc: that document holds an open chunk."""
+    bits = docs.sparkSession.sparkContext.broadcast((bitmap(asked.select("key"), FILTER_BITS), bitmap(asked.where("open").select("key"), FILTER_BITS)))
 
     def count(batches):
         some, open_ = bits.value
-        held: dict[tuple, Counter] = defaultdict(Counter)
-        of_open: dict[bytes, bool] = {}
+        held: dict[int, list[np.ndarray]] = defaultdict(list)
         size = 0
 
-        def is_in(view, chunk):
-            place = zlib.crc32(chunk) % FILTER_BITS
-            return view[place >> 3] >> (place & 7) & 1
-
-        def batch_of(rows):
-            *texts, chunks, doc, n = zip(*rows, strict=True) if rows else [()] * 5
-            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.string()) for x in texts], _strings(chunks), pa.array(doc, pa.int64()), pa.array(n, pa.int64())], names=_USES.names)
+        def rows(group, key, doc, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(x, len(key)).astype(np.int64)) for x in (group, key, doc, n)], names=_USES.names)
 
         def flush():
             for group in list(held):
-                yield batch_of([(*group, c, -1, n) for c, n in held.pop(group).items() if is_in(some, c)])
+                key, n = np.unique(np.concatenate(held.pop(group)), return_counts=True)
+                yield rows(group, key, -1, n)
 
         for batch in batches:
-            *groups, ids = (batch.column(i).to_pylist() for i in range(3))
-            found = []
-            for *group, doc, chunks in zip(*groups, ids, _chunks(batch.column(3)), strict=True):
-                own = held[tuple(group)]
-                size -= len(own)
-                own.update(chunks)
-                size += len(own)
-                for c in set(chunks):
-                    hit = of_open.get(c)
-                    if hit is None:
-                        hit = of_open[c] = is_in(open_, c)
-                    if hit:
-                        found.append((*group, c, doc, 0))
-                if len(of_open) >= HELD:
-                    of_open.clear()
-                if size >= 2 * HELD:
+            seeds = _seeds(batch.column(0).to_pylist(), salt)
+            groups, ids = (batch.column(i).to_numpy() for i in (1, 2))
+            for lo, hi, buf, offsets in text_blocks(batch, "text"):
+                starts, ends, doc = words_of(buf, offsets)
+                key = mix(span_hashes(buf, starts, ends, lower=False) ^ seeds[lo:hi][doc]).view(np.int64)
+                asks = has_bits(some, key)
+                key, doc = key[asks], doc[asks]
+                cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
+                for i in np.flatnonzero(np.diff(cuts)):
+                    held[groups[lo + i]].append(key[cuts[i] : cuts[i + 1]])
+                size += len(key)
+                found = np.flatnonzero(has_bits(open_, key))
+                if len(found):
+                    yield rows(groups[lo + doc[found]], key[found], ids[lo + doc[found]], 0)
+                if size >= WORDS_HELD:
                     yield from flush()
                     size = 0
-                if len(found) >= HELD:
-                    yield batch_of(found)
-                    found = []
-            yield batch_of(found)
         yield from flush()
 
-    found = docs.select("lang", "source", F.monotonically_increasing_id().alias("doc"), "text").mapInArrow(count, _USES)
-    return found.groupBy("lang", "source", "chunk", "doc").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "group", F.monotonically_increasing_id().alias("doc"), "text").mapInArrow(count, _USES)
 
 
-def term_uses(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, source, term, count) of the terms that at least ``min_docs`` documents of the language hold."""
-    counts = settled(chunk_documents(docs), by="chunk")
+def term_uses(docs: DataFrame, min_docs: int = MIN_DOCS, salt: int = 0) -> DataFrame:
+    """(lang, group, term, count) of the terms that at least ``min_docs`` documents of the language hold; ``docs`` names the group of each row.
+
+    Chunks are told apart by 64-bit keys, which is exact as no two distinct chunks of a language share one: else other keys are taken."""
+    counts = settled(chunk_documents(docs, salt), by="chunk")
+    if not counts.groupBy("key").count().where("count > 1").isEmpty():
+        discard(counts)
+        return term_uses(docs, min_docs, salt + 1)
     spread = settled(term_chunks(counts))
     bounds = spread.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).where(F.col("most") >= min_docs)
     bounds = settled(bounds.select("lang", "term", (F.col("least") < min_docs).alias("open")))
-    asked = settled(spread.join(bounds, ["lang", "term"]).select("lang", "chunk", "term", "times", "open"))
+    asked = spread.join(bounds, ["lang", "term"]).select("lang", "key", "term", "times", "open")
+    asked = settled(dealt(asked, "key"), by="key")
     discard(counts, spread)
-    uses = settled(chunk_uses(docs, asked))
-    held = uses.where("doc >= 0").join(asked.where("open"), ["lang", "chunk"]).select("lang", "term", "doc").distinct()
-    found = held.groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
+    uses = dealt(chunk_uses(docs, asked, salt), "key").join(asked.hint("shuffle_hash"), "key")
+    uses = uses.where("doc < 0 or open").groupBy("lang", "group", "term", "doc").agg(F.sum(F.col("n") * F.col("times")).alias("count"))
+    uses = settled(uses)
+    found = uses.where("doc >= 0").groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
     kept = bounds.where("not open").select("lang", "term").unionByName(found)
-    sums = uses.where("doc < 0").join(asked, ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("count"))
-    out = settled(sums.join(kept, ["lang", "term"], "left_semi"))
+    out = settled(uses.where("doc < 0").join(kept, ["lang", "term"], "left_semi").select("lang", "group", "term", "count"))
     discard(bounds, asked, uses)
     return out
 
@@ -156,16 +152,26 @@ def _share(count, total, terms):
     return F.call_function("div", part, (total + SMOOTHING * terms).cast("decimal(20,0)")) + 1
 
 
+def _grouped(rows: DataFrame, salt: int) -> DataFrame:
+    return rows.withColumn("group", F.xxhash64(F.lit(salt), "lang", "source"))
+
+
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank): for each source of a language how far each other one is (``pair``), and its most over-used terms (``term``).
 
     Null text, lang and source are ''; every row is a document, with a null or repeated id too; repeated rows count as often as they stand; ties go to the smaller
     item in UTF-8 order. A language without kept terms has pairs of value 0 and no terms; an empty table gives no rows. Columns besides these three aren't read."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    uses = term_uses(rows, min_docs)
+    salt = 0
+    named = settled(_grouped(rows.select("lang", "source").distinct(), salt))
+    while not named.groupBy("group").count().where("count > 1").isEmpty():
+        salt += 1
+        named = settled(_grouped(named.select("lang", "source"), salt))
+    uses = term_uses(_grouped(rows, salt).select("lang", "group", "text"), min_docs)
+    uses = uses.join(named, ["lang", "group"]).select("lang", "source", "term", "count")
     size = uses.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("terms"))
     total = uses.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-    groups = rows.select("lang", "source").distinct().join(size, "lang", "left").join(total, ["lang", "source"], "left").na.fill(0, ["terms", "total"])
+    groups = named.select("lang", "source").join(size, "lang", "left").join(total, ["lang", "source"], "left").na.fill(0, ["terms", "total"])
     place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("place")
     groups = settled(groups.select("lang", "source", "terms", "total", place))
     shares = uses.join(groups, ["lang", "source"]).withColumn("p", _share(F.col("count"), F.col("total"), F.col("terms")))

@@ -159,8 +159,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
         found.append(settled(_reached(counts, found, min_count)))
         for t in told:
             t.unpersist()
-        bits = [bits[0], *bits[1:][-(shards - 1) :], bitmap(found[-1].where(F.col("h").bitwiseAND(F.lit(int(_LENGTHS))) < longest), FILTER_BITS)]
-        bits[0] = bits[0] | bits[-1]
+        new = bitmap(found[-1].where(F.col("h").bitwiseAND(F.lit(int(_LENGTHS))) < longest), FILTER_BITS)
+        bits = [bits[0] | new, *[*bits[1:], new][-shards:]]
         step += 1
     told = spark.sparkContext.broadcast(bitmap(_union(found), FILTER_BITS))
     exact = settled(_by_words(_union(parts), told, longest).where((F.col("n") >= min_count) | (F.col("phrase") == "")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrieval_jobs.functions.text import filled
@@ -32,13 +32,38 @@ def item_entity_pairs(aligned: DataFrame) -> DataFrame:
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "item_name", "entity"))).select("query_id", "pos", "item_name", "entity")
 
 
+def grams(text: Column, n: Column) -> Column:
+    """The distinct runs of ``n`` characters of a text; the empty run for n = 0."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+
+
+def name_index(nodes: DataFrame) -> DataFrame:
+    """(item_name, gram, name): inverted index of lower-cased names by their runs of 0 to 3 characters."""
+    low = F.lower("name")
+    every = F.flatten(F.array(*[F.when(F.length(low) >= n, grams(low, F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(4)]))
+    return nodes.select("item_name", "name").distinct().select("item_name", F.explode(every).alias("gram"), "name")
+
+
+def find_containing(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, pos, item_name, name): the names of the item that contain each pair's entity, in any case.
+
+    A name that contains the entity has all its runs of 3 characters (of fewer, if it is shorter), so that only the names under the rarest of them are compared;
+    an entity with a run that no name has is dropped before."""
+    low = F.lower("entity")
+    asked = pairs.select("query_id", "pos", "item_name", low.alias("low"), F.explode(grams(low, F.least(F.length(low), F.lit(3)))).alias("gram"))
+    sizes = index.groupBy("item_name", "gram").agg(F.count("*").alias("names"))
+    rarest = asked.join(sizes, ["item_name", "gram"], "left").groupBy("query_id", "pos", "item_name", "low").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("r"))
+    rarest = rarest.where("r.names > 0").select("query_id", "pos", "item_name", "low", "r.gram")
+    return rarest.join(index, ["item_name", "gram"]).where(F.contains(F.lower("name"), F.col("low"))).select("query_id", "pos", "item_name", "name")
+
+
 def find_seeds(pairs: DataFrame, nodes: DataFrame, k: int = 3, total: int = 30) -> DataFrame:
     """(query_id, seed_no, item_name, name): the exact node of each pair, else up to ``k`` whose name contains the entity in any case; at most ``total`` per question."""
     keys = nodes.select("item_name", "name").distinct()
     exact = pairs.join(keys.withColumn("entity", F.col("name")), ["item_name", "entity"]).select("query_id", "pos", "item_name", "name")
     rest = pairs.join(keys.select("item_name", F.col("name").alias("entity")), ["item_name", "entity"], "left_anti")
-    like = rest.join(keys, "item_name").where(F.contains(F.lower("name"), F.lower("entity")))
-    like = top_per(like, ["query_id", "pos"], [F.col("name")], k).select("query_id", "pos", "item_name", "name")
+    like = top_per(find_containing(rest, name_index(nodes)), ["query_id", "pos"], [F.col("name")], k).select("query_id", "pos", "item_name", "name")
     both = exact.unionByName(like).groupBy("query_id", "item_name", "name").agg(F.min("pos").alias("pos"))
     return top_per(both, ["query_id"], [F.col("pos"), F.col("name")], total, "seed_no").select("query_id", "seed_no", "item_name", "name")
 

@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIGITS = 6
 #: Questions that are sent to the rows at a time (32 MB of 1,024 single-precision dimensions).
 BROADCAST_QUESTIONS = 8192
+#: Vectors of a block (2 and 8 MB of 1,024 double-precision dimensions).
+QUESTION_BLOCK, CHUNK_BLOCK = 256, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,21 +40,76 @@ def filter_items(queries: DataFrame, table: DataFrame, item: str = "item_name",
     return table.join(asked, item)
 
 
+def packed(df: DataFrame, id_col: str, vector: str, item: str | None, rows: int) -> DataFrame:
+    """(item, dim, ids, flat): up to ``rows`` unit vectors of one item and dimension in a row, packed where they lie, without a shuffle.
+
+    Null, zero and non-finite vectors take no part."""
+    kind = df.schema[id_col].dataType
+    fields = [T.StructField("dim", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("flat", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*([df.schema[item]] if item else []), *fields])
+
+    def pack(batches):
+        waiting: dict = {}
+
+        def block(key):
+            ids, vectors = zip(*waiting.pop(key), strict=True)
+            cells = [pa.array([key[1]], pa.int32()), pa.array([list(ids)], pa.list_(id_type)), pa.array([np.concatenate(vectors)], pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays([*([pa.array([key[0]], item_type)] if item else []), *cells], names=schema.names)
+
+        for batch in batches:
+            id_type, item_type = batch.column(0).type, batch.column(batch.num_columns - 1).type
+            items = batch.column(2).to_pylist() if item else [None] * batch.num_rows
+            for i, own, cell in zip(batch.column(0).to_pylist(), items, batch.column(1), strict=True):
+                v = cell.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                norm = np.sqrt(v @ v)
+                if not norm > 0 or not np.isfinite(norm):
+                    continue
+                waiting.setdefault((own, len(v)), []).append((i, v / norm))
+                if len(waiting[own, len(v)]) >= rows:
+                    yield block((own, len(v)))
+            if sum(map(len, waiting.values())) > 16 * rows:
+                yield from [block(key) for key in list(waiting)]
+        yield from [block(key) for key in list(waiting)]
+
+    return df.where(F.size(vector) > 0).select(id_col, vector, *([item] if item else [])).mapInArrow(pack, schema)
+
+
+def _products(blocks: DataFrame, query_type, chunk_type, k: int) -> DataFrame:
+    """(query_id, chunk_id, score) of the likeliest ``k`` chunks, and their equals after rounding, of each question in each pair of blocks."""
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("chunk_id", chunk_type), T.StructField("score", T.DoubleType())])
+
+    def multiply(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim = batch.column(0)[r].as_py()
+                asks, chunks = (batch.column(c)[r].values.to_numpy(zero_copy_only=False).reshape(-1, dim) for c in (2, 4))
+                scores = asks @ chunks.T
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                q, c = np.nonzero(scores >= (least - 2 * 10.0**-DIGITS)[:, None])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[r].values.take(pa.array(q)), batch.column(3)[r].values.take(pa.array(c)), pa.array(scores[q, c])], names=schema.names)
+
+    return blocks.mapInArrow(multiply, schema)
+
+
 def dense_topk(queries: DataFrame, table: DataFrame, k: int = 5, item: str | None = "item_name") -> DataFrame:
     """Cosine search: queries (query_id, q_dense, item) against table (chunk_id, dense, item).
 
-    With ``item`` both sides join on it; a hot item is split by Spark's skew join, as each side is only shuffled by that key. Without an
-    item the counted questions are broadcast, ``BROADCAST_QUESTIONS`` at a time, and meet the rows where those lie."""
-    left = queries.select("query_id", "q_dense", *([item] if item else [])).where(F.size("q_dense") > 0)
-    right = table.select("chunk_id", "dense", *([item] if item else [])).where(F.size("dense") > 0)
+    Questions and chunks meet as blocks, by one matrix product for each pair of blocks of an item, whose best k a question are merged: no row is made for a pair of
+    vectors. A hot item has many blocks, which Spark's skew join splits. Without an item the counted questions are broadcast, ``BROADCAST_QUESTIONS`` at a time.
+    Null, zero and non-finite vectors, and vectors of another dimension, are no hits."""
+    right = packed(table, "chunk_id", "dense", item, CHUNK_BLOCK)
+    right = right.withColumnsRenamed({"ids": "c_ids", "flat": "c_flat"})
+    keys = ["dim", *([item] if item else [])]
+    columns = ["dim", "ids", "flat", "c_ids", "c_flat"]
     if item:
-        pairs = right.join(left, item)
+        pairs = packed(queries, "query_id", "q_dense", item, QUESTION_BLOCK).join(right, keys).select(*columns)
     else:
-        blocks = max(1, -(-left.count() // BROADCAST_QUESTIONS))
+        blocks = max(1, -(-queries.count() // BROADCAST_QUESTIONS))
         block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        each = [right.join(F.broadcast(left.where(block == b)), F.lit(True)) for b in range(blocks)]
-        pairs = functools.reduce(DataFrame.unionByName, each)
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("q_dense"), F.col("dense")), DIGITS).alias("score"))
+        each = [packed(queries.where(block == b), "query_id", "q_dense", None, QUESTION_BLOCK) for b in range(blocks)]
+        pairs = functools.reduce(DataFrame.unionByName, [right.join(F.broadcast(q), keys).select(*columns) for q in each])
+    found = _products(pairs, queries.schema["query_id"].dataType, table.schema["chunk_id"].dataType, k)
+    scored = found.withColumn("score", F.round("score", DIGITS))
     return top_per(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 

@@ -179,7 +179,8 @@ fu AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTI
 def _fused(spark, d):
     q, t = _vectors(spark, d)
     docs = V.read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    dense, hyde = vectors.dense_topk(q, t), vectors.hybrid_search(q, t)
+    dense = vectors.dense_topk(q, t)
+    hyde = vectors.hybrid_fuse(dense, vectors.sparse_topk(q, t, item="item_name"))
     graph = _graph_leg(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("long"))
     legs = {name: vectors.backfill_chunks(hits.select("query_id", "chunk_id", "rank"), docs, ["content"]) for name, hits in (("vector", dense), ("hyde", hyde), ("graph", graph))}
     return fusion.rrf(fusion.union_legs(legs)), docs
@@ -311,6 +312,35 @@ def a3(spark, d):
     return graph_build.merge_edges(relations, graph_build.merge_nodes(entities))
 
 
+def _in_batches(spark, d):
+    """Three imports: the first two hold every third order, the last one the rest and the second again."""
+    parsed = graph_build.parse_responses(V.extractions(spark, d))
+    batch = lambda *rest: parsed.where((F.col("pos") % 3).isin(*rest))
+    nodes = edges = mentions = None
+    for part in (batch(1), batch(0), batch(2, 0)):
+        entities, relations = graph_build.clean_entities(part), graph_build.clean_relations(part)
+        states, met = graph_build.node_states(entities), graph_build.merge_mentions(entities)
+        nodes = graph_build.fold_nodes(nodes, states) if nodes else states
+        mentions = graph_build.fold_mentions(mentions, met) if mentions else met
+        edges = graph_build.fold_edges(edges, relations, nodes) if edges else graph_build.merge_edges(relations, nodes)
+    return nodes, edges, mentions
+
+
+@query("a1_fold_nodes", f"WITH {V.ENTITIES} SELECT item_name, name, array_to_string(labels, ',') AS labels, description, source_chunk_id FROM nodes")
+def a1_fold(spark, d):
+    return graph_build.nodes_of(_in_batches(spark, d)[0]).withColumn("labels", F.array_join("labels", ","))
+
+
+@query("a2_fold_mentions", f"WITH {V.ENTITIES} SELECT DISTINCT item_name, name, chunk_id FROM ent")
+def a2_fold(spark, d):
+    return _in_batches(spark, d)[2]
+
+
+@query("a3_fold_edges", f"WITH {V.ENTITIES} SELECT DISTINCT item_name, head, type, tail FROM rel")
+def a3_fold(spark, d):
+    return _in_batches(spark, d)[1]
+
+
 @query("a4_entity_rows", f"WITH {V.ENTITIES} SELECT DISTINCT item_name, name AS entity_name, chunk_id AS source_chunk_id, substr('chunk ' || chunk_id || ' ' || repeat('x', 300), 1, 200) AS context FROM ent")
 def a4(spark, d):
     chunks = V.extractions(spark, d).select("chunk_id", F.concat(F.lit("chunk "), "chunk_id", F.lit(" "), F.repeat(F.lit("x"), 300)).alias("content"))

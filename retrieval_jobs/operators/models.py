@@ -8,7 +8,9 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIM = 64
@@ -63,3 +65,21 @@ def complete(df: DataFrame, prompt: str, client, tries: int = 3, wait: float = 0
             yield pdf.assign(response=pd.Series([one(t) for t in pdf[prompt]], index=pdf.index, dtype=object))
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("response", T.StringType())]))
+
+
+def complete_once(df: DataFrame, prompt: str, client, answers: str, tries: int = 3, wait: float = 0.5) -> DataFrame:
+    """As ``complete``, but answers are kept in the table ``answers`` by a digest of their prompt: each distinct prompt is asked once, also over several runs.
+
+    The calls are made now, and their answers written, before the result is returned. Blank answers, of tries that failed, aren't kept and are asked for again
+    by the next run. A null prompt is the blank one."""
+    spark = df.sparkSession
+    keyed = df.withColumn("_prompt", F.coalesce(F.col(prompt), F.lit(""))).withColumn("_key", F.sha2("_prompt", 256))
+    asked = keyed.select("_key", "_prompt").dropDuplicates(["_key"])
+    try:
+        asked = asked.join(spark.read.parquet(answers).select("_key"), "_key", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    complete(asked, "_prompt", client, tries, wait).where("response <> ''").select("_key", "response").write.mode("append").parquet(answers)
+    known = spark.read.schema("_key string, response string").parquet(answers).groupBy("_key").agg(F.min("response").alias("response"))
+    return keyed.join(known, "_key", "left").drop("_key", "_prompt").withColumn("response", F.coalesce("response", F.lit("")))

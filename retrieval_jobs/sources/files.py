@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retrieval_jobs.functions.text import filled
 
+from . import versions
+
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "gif", "webp", "bmp")  # fixed values; compared as written
 
 
@@ -50,30 +51,15 @@ def list_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAG
     return files.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*suffixes)).withColumn("image_name", F.regexp_extract("path", r"([^/]+)$", 1))
 
 
-def write_chunks(df: DataFrame, path: str, mode: str = "item", key: str = "item_name", buckets: int = 64) -> None:
-    """``item``: replace the partitions that the incoming items hash to, keeping their other items; ``full``: rewrite; ``append``: add.
-
-    ``df`` is computed once: its rows are staged beside the table before anything is asked of them."""
-    spark = df.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    rows = df.withColumn("_bucket", bucket)
-    if mode == "item" and _exists(spark, path):
-        new, kept = (f"{path.rstrip('/')}.staged/{part}" for part in ("new", "kept"))
-        rows.write.mode("overwrite").parquet(new)
-        rows = spark.read.schema(rows.schema).parquet(new)
-        touched = rows.select("_bucket").distinct()  # at most ``buckets`` rows
-        old = spark.read.parquet(path).join(F.broadcast(touched), "_bucket", "left_semi").join(rows.select(key).distinct(), key, "left_anti")
-        old.write.mode("overwrite").parquet(kept)
-        rows = rows.unionByName(spark.read.schema(old.schema).parquet(kept), allowMissingColumns=True)
-    how = "append" if mode == "append" else "overwrite"
-    rows.write.mode(how).option("partitionOverwriteMode", "dynamic" if mode == "item" else "static").partitionBy("_bucket").parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+def write_chunks(df: DataFrame, path: str, mode: str = "item", key: str = "item_name") -> None:
+    """Chunks into the table "chunks" of the versioned tables at ``path``, in one step.
+
+    ``item``: rows of the incoming items are replaced, the others of their buckets kept; ``full``: the table is replaced; ``append``: rows are added."""
+    versions.commit(df.sparkSession, path, {"chunks": df}, mode, key)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame | None:
+    return versions.read_table(spark, path, "chunks")
 
 
 def append_item_names(df: DataFrame, path: str) -> None:

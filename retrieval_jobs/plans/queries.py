@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from retrieval_jobs.functions import text as T
 from retrieval_jobs.operators import chunking, fusion, graph_build, graph_search, images, items, models, prompts, tables, vectors
 from retrieval_jobs.operators import history as hist
-from retrieval_jobs.sources import files
+from retrieval_jobs.sources import files, versions
 
 from . import views as V
 
@@ -251,9 +252,12 @@ def u1(spark, d):
     return models.embed(V.read(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "dense", F.size("sparse").alias("tokens"))
 
 
-@query("u3_complete")
+@query("u3_complete", "SELECT conv_id, turn, length(coalesce(text, '')) || ' characters, first ' || substr(coalesce(text, ''), 1, 1) AS response FROM conversations")
 def u3(spark, d):
-    return models.complete(V.read(spark, d, "benchmark"), "text", lambda: lambda prompt: prompt[:1].upper()).select("item_id", "response")
+    """Every turn of every conversation is a prompt, many of them the same; the model stands in for one that tells what it got."""
+    turns = V.read(spark, d, "conversations").select("conv_id", "turn", "text")
+    answers = f"{V.work_dir(spark)}/answers_{uuid.uuid4().hex}"
+    return models.complete_once(turns, "text", lambda: lambda prompt: f"{len(prompt)} characters, first {prompt[:1]}", answers).select("conv_id", "turn", "response")
 
 
 @query("t18_sparse_from_csr", "SELECT vec_id, e.i - 1 AS token, embedding[e.i]::DOUBLE AS weight FROM embeddings, unnest(range(1, len(embedding) + 1)) AS e(i)")
@@ -358,6 +362,22 @@ def a12_failed(spark, d):
     return graph_build.failed_chunks(parsed, entities)
 
 
+@query("g1_import_in_batches", f"""WITH {V.ENTITIES}, late AS (SELECT DISTINCT item_name FROM li WHERE right(item_name, 1) = '1')
+SELECT item_name, name, array_to_string(labels, ',') AS labels, description, source_chunk_id FROM nodes SEMI JOIN late USING (item_name)
+UNION ALL SELECT item_name, name, array_to_string(list_sort(list_distinct(list(label))), ','), coalesce(arg_max(description, (pos, seq, chunk_id)) FILTER (description IS NOT NULL), ''), arg_min(chunk_id, (pos, seq, chunk_id)) FROM ent WHERE pos % 2 = 1 AND item_name NOT IN (FROM late) GROUP BY item_name, name""")
+def g1(spark, d):
+    """All tables of a graph committed in two batches, of which the second replaces some items and is repeated; the nodes as they are then."""
+    path, responses = f"{V.work_dir(spark)}/tables_{uuid.uuid4().hex}", V.extractions(spark, d)
+    late = F.right(F.col("item_name"), F.lit(1)) == "1"
+    for number, part in enumerate((responses.where("pos % 2 = 1"), responses.where(late), responses.where(late))):
+        parsed = graph_build.parse_responses(part)
+        entities, relations = graph_build.clean_entities(parsed), graph_build.clean_relations(parsed)
+        states = graph_build.node_states(entities)
+        tables = {"nodes": states, "edges": graph_build.merge_edges(relations, states), "mentions": graph_build.merge_mentions(entities)}
+        versions.commit(spark, path, tables, items=part, batch=("import", min(number, 1)))
+    return graph_build.nodes_of(versions.read_table(spark, path, "nodes")).withColumn("labels", F.array_join("labels", ","))
+
+
 @query("s6_replace_by_item", "SELECT p_brand AS item_name, p_name AS name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45) UNION ALL SELECT p_brand, upper(p_name) FROM part WHERE p_size > 45")
 def s6(spark, d):
     part = V.read(spark, d, "part")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares for intermediate tables; only a local session, as in tests, gets one of its own where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN_DIRS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-work-"))
+
+
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with heading and fence marks put on their lines by line number; line ends are CRLF in every third."""
     def mark(x, i):

@@ -136,7 +136,7 @@ def test_block_search_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUESTION_BLOCK", 7)
     monkeypatch.setattr(vectors, "CHUNK_BLOCK", 16)
     data = [(i, f"i{i % 3}", rng.normal(size=6).round(1).tolist()) for i in range(200)]
-    data += [(200 + i, "i0", [1.0, 0, 0, 0, 0, 0]) for i in range(60)]  # equals
+    data += [(200 + i, "i0", [1.0] + [0.0] * 5) for i in range(60)]  # equals
     data += [(300, "i0", [0.0] * 6), (301, "i1", None), (302, "i1", [1.0, 2.0]), (303, "i2", [float("nan")] * 6), (304, None, [1.0] * 6)]
     t = spark.createDataFrame(data, "chunk_id long, item_name string, dense array<double>")
     q = t.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "item_name", F.col("dense").alias("q_dense"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -246,6 +247,15 @@ def bitmap(numbers: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def packed_bits(*bitmaps: np.ndarray) -> list[bytes]:
+    """Bitmaps as they are sent to tasks: few of their bits are set."""
+    return [zlib.compress(b, 1) for b in bitmaps]
+
+
+def unpacked_bits(packed: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(b), np.uint8) for b in packed]
+
+
 def has_bits(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """Whether the bit of each 64-bit number is set."""
     place = numbers.view(np.int64) & np.int64(len(bitmap) * 8 - 1)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, dealt, discard, has_bits, mix, settled, span_hashes, text_blocks, words_of
+from .common import bitmap, dealt, discard, has_bits, mix, packed_bits, settled, span_hashes, text_blocks, unpacked_bits, words_of
 
 MIN_DOCS = 30
 SMOOTHING = 5
@@ -84,10 +84,10 @@ def chunk_uses(docs: DataFrame, asked: DataFrame, salt: int = 0) -> DataFrame:
     """(group, key, doc, n) of the chunks in ``asked`` (key, open), and of others that the filters take for them.
 
     With doc -1: the occurrences of a chunk in a group. With another doc: that document holds an open chunk."""
-    bits = docs.sparkSession.sparkContext.broadcast((bitmap(asked.select("key"), FILTER_BITS), bitmap(asked.where("open").select("key"), FILTER_BITS)))
+    bits = docs.sparkSession.sparkContext.broadcast(packed_bits(bitmap(asked.select("key"), FILTER_BITS), bitmap(asked.where("open").select("key"), FILTER_BITS)))
 
     def count(batches):
-        some, open_ = bits.value
+        some, open_ = unpacked_bits(bits.value)
         held: dict[int, list[np.ndarray]] = defaultdict(list)
         size = 0
 

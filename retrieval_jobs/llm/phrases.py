@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, discard, has_bits, mix, settled, span_hashes, text_blocks, words_of
+from .common import bitmap, discard, has_bits, mix, packed_bits, settled, span_hashes, text_blocks, unpacked_bits, words_of
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 SHARDS = 3
@@ -58,10 +58,11 @@ def _hash(rolled: np.ndarray, length: int) -> np.ndarray:
     return (mix(rolled).view(np.int64) & ~_LENGTHS) | np.int64(length)
 
 
-def _scan(docs: DataFrame, reached, recent, words: bool, longest: int) -> DataFrame:
+def _scan(docs: DataFrame, told, words: bool, longest: int) -> DataFrame:
     """(h, n): the phrases that are active in this step, counted; all words too in the first circle."""
 
     def count(batches):
+        reached, recent = unpacked_bits(told.value)
         held, size = [], 0
 
         def flush():
@@ -74,7 +75,7 @@ def _scan(docs: DataFrame, reached, recent, words: bool, longest: int) -> DataFr
                 if words:
                     held.append(h)
                     size += len(h)
-                ok, new = has_bits(reached.value, h), has_bits(recent.value, h)
+                ok, new = has_bits(reached, h), has_bits(recent, h)
                 for length in range(2, longest + 1):
                     rolled = rolled[:-1] * _STEP + word[length - 1 :]
                     both = ok[:-1] & ok[1:] & (piece[: len(rolled)] == piece[length - 1 :])
@@ -86,7 +87,7 @@ def _scan(docs: DataFrame, reached, recent, words: bool, longest: int) -> DataFr
                     held.append(active)
                     size += len(active)
                     ok, new = both, np.zeros(len(both), bool)
-                    ok[at], new[at] = has_bits(reached.value, h), has_bits(recent.value, h)
+                    ok[at], new[at] = has_bits(reached, h), has_bits(recent, h)
                 if size >= HELD:
                     yield flush()
                     held, size = [], 0
@@ -96,10 +97,11 @@ def _scan(docs: DataFrame, reached, recent, words: bool, longest: int) -> DataFr
     return docs.mapInArrow(count, _HASHED).groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _by_words(docs: DataFrame, reached, longest: int) -> DataFrame:
+def _by_words(docs: DataFrame, told, longest: int) -> DataFrame:
     """(lang, phrase, n) of the phrases that may have reached the threshold, by their words; the phrase '' counts all words."""
 
     def count(batches):
+        (reached,) = unpacked_bits(told.value)
         for batch in batches:
             for langs, doc, buf, starts, ends, word, piece in _blocks(batch):
                 sizes = ends - starts
@@ -131,7 +133,7 @@ def _by_words(docs: DataFrame, reached, longest: int) -> DataFrame:
                     if len(at) == 0:
                         break
                     h = _hash(rolled[at], length)
-                    found = has_bits(reached.value, h)
+                    found = has_bits(reached, h)
                     ok[at] = found
                     if found.any():
                         _, first, n = np.unique(h[found], return_index=True, return_counts=True)
@@ -152,17 +154,16 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     bits = [np.zeros(FILTER_BITS // 8, np.uint8)]  # of what may be part of a longer phrase: all of it, then by step of the last circle
     step = 0
     while step < shards or any(b.any() for b in bits[1:]):
-        told = [spark.sparkContext.broadcast(b) for b in (bits[0], np.bitwise_or.reduce(bits[1:]) if step else bits[0])]
-        counts.append(settled(_scan(parts[step % shards], *told, step < shards, longest), by="h"))
+        told = spark.sparkContext.broadcast(packed_bits(bits[0], np.bitwise_or.reduce(bits[1:]) if step else bits[0]))
+        counts.append(settled(_scan(parts[step % shards], told, step < shards, longest), by="h"))
+        told.destroy()
         discard(*counts[:-shards])
         counts = counts[-shards:]
         found.append(settled(_reached(counts, found, min_count)))
-        for t in told:
-            t.unpersist()
         new = bitmap(found[-1].where(F.col("h").bitwiseAND(F.lit(int(_LENGTHS))) < longest), FILTER_BITS)
         bits = [bits[0] | new, *[*bits[1:], new][-shards:]]
         step += 1
-    told = spark.sparkContext.broadcast(bitmap(_union(found), FILTER_BITS))
+    told = spark.sparkContext.broadcast(packed_bits(bitmap(_union(found), FILTER_BITS)))
     exact = settled(_by_words(_union(parts), told, longest).where((F.col("n") >= min_count) | (F.col("phrase") == "")))
     discard(*counts, *found, *parts)
     return exact

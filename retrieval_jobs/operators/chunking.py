@@ -1,7 +1,7 @@
 """Heading-aware chunking of Markdown.
 
-Headings, parents and part numbers are windows over lines and sections of a document; the long split
-and the short merge fold a document's sections in one row, so no document is grouped in Python.
+Headings, parents and part numbers are scans over blocks of a document's lines and sections; long sections are cut each for
+itself, and the short merge folds a document's sections in one row of the JVM.
 """
 
 from __future__ import annotations
@@ -11,40 +11,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrieval_jobs.functions.text import normalize_newlines
+from retrieval_jobs.operators.segments import blocked, carried, earlier, totals, within
 
 MAX_CHARS, MIN_CHARS, TITLE_CHARS = 2000, 500, 50
+# Where long bodies are cut.
 SEPARATORS = ("\n\n", "\n", " ", ",", "")
-SECTIONS = "array<struct<pos:int,title:string,body:string,parent_title:string,part:int>>"
+#: Finished sections that the merge keeps in one run.
+RUN = 256
 
 
 def split_headings(documents: DataFrame) -> DataFrame:
     """(doc_id, file_title, pos, level, title, body) of documents (doc_id, file_title, md).
 
-    Headings have level 1 to 6 outside fences; fence lines vanish; the preamble stays unless empty; an empty document has no section."""
+    Headings have level 1 to 6 outside fences; fence lines vanish; the preamble stays unless empty; an empty document has no section.
+    A document's lines are scanned in blocks: each block counts its headings for a start outside and inside a fence, and the scan
+    over block totals says which holds. Body lines are joined in their block before they move to their section."""
     md = normalize_newlines(F.coalesce("md", F.lit("")))
-    lines = documents.select("doc_id", "file_title", F.posexplode(F.split(md, "\n")).alias("line_no", "line")).repartition("doc_id")
-    upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").rlike(r"^\s*(```|~~~)")
-    lines = lines.withColumn("fence", fence).withColumn("inside", F.sum(F.col("fence").cast("int")).over(upto) % 2 == 1).where("not fence")
-    heading = ~F.col("inside") & F.col("line").rlike(r"^\s*#{1,6}\s+.+")
-    lines = lines.withColumn("level", F.when(heading, F.length(F.regexp_extract("line", r"^\s*(#{1,6})\s", 1))))
-    lines = lines.withColumn("section", F.sum(F.when(heading, 1).otherwise(0)).over(upto))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    sections = lines.groupBy("doc_id", "file_title", "section").agg(F.coalesce(F.max("level"), F.lit(0)).alias("level"), F.coalesce(F.max(F.when(F.col("level").isNotNull(), F.col("line"))), F.lit("")).alias("title"), body.alias("body"))
-    sections = sections.where("title <> '' or body <> ''")
-    return sections.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1).select("doc_id", "file_title", "pos", "level", "title", "body")
+    lines = blocked(documents.select("doc_id", "file_title", F.posexplode(F.split(md, "\n")).alias("line_no", "line")), "line_no").repartition("doc_id", "_block")
+    upto = within(["doc_id"], "line_no")
+    lines = lines.withColumn("fence", F.col("line").rlike(r"^\s*(```|~~~)"))
+    lines = lines.withColumn("fences", F.sum(F.col("fence").cast("int")).over(upto)).withColumn("mark", ~F.col("fence") & F.col("line").rlike(r"^\s*#{1,6}\s+.+"))
+    for start in (0, 1):
+        lines = lines.withColumn(f"heads{start}", F.sum((F.col("mark") & (F.col("fences") % 2 == start)).cast("int")).over(upto))
+    of = {"all_fences": F.max("fences")}
+    for start in (0, 1):
+        first = ~F.col("fence") & (F.col(f"heads{start}") == 0)
+        of |= {f"all_heads{start}": F.max(f"heads{start}"), f"lead{start}": F.count_if(first), f"lead_chars{start}": F.sum(F.when(first, F.length("line")))}
+    before, whole = earlier(["doc_id"]), Window.partitionBy("doc_id")
+    chosen = lambda name: F.when(F.col("start") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    blocks = totals(lines, ["doc_id"], **of).withColumn("start", F.coalesce(F.sum("all_fences").over(before), F.lit(0)) % 2)
+    blocks = blocks.withColumn("earlier_heads", F.coalesce(F.sum(chosen("all_heads")).over(before), F.lit(0)))
+    lead = lambda name: F.sum(F.when(F.col("earlier_heads") == 0, chosen(name))).over(whole)
+    blocks = blocks.withColumn("preamble", ((lead("lead") > 1) | (F.coalesce(lead("lead_chars"), F.lit(0)) > 0)).cast("int"))
+    lines = carried(lines, ["doc_id"], blocks.select("doc_id", "_block", "start", "earlier_heads", "preamble")).where("not fence")
+    lines = lines.withColumns({c: F.coalesce(c, F.lit(n)) for c, n in (("start", 0), ("earlier_heads", 0), ("preamble", 1))})
+    heading = F.col("mark") & ((F.col("start") + F.col("fences")) % 2 == 0)
+    lines = lines.withColumn("level", F.when(heading, F.length(F.regexp_extract("line", r"^\s*(#{1,6})\s", 1)))).withColumn("section", F.col("earlier_heads") + chosen("heads"))
+    joined = lambda order, text, has: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(has, F.struct(order, text)))), lambda x: x[text]), "\n")
+    title = F.max(F.when(F.col("level").isNotNull(), F.col("line")))
+    plain = F.col("level").isNull()
+    keys = ["doc_id", "file_title", "section", "preamble"]
+    parts = lines.groupBy(*keys, "_block").agg(F.max("level").alias("level"), title.alias("title"), F.count_if(plain).alias("n"), joined("line_no", "line", plain).alias("part"))
+    sections = parts.groupBy(*keys).agg(F.coalesce(F.max("level"), F.lit(0)).alias("level"), F.coalesce(F.max("title"), F.lit("")).alias("title"), joined("_block", "part", F.col("n") > 0).alias("body"))
+    pos = (F.col("section") - 1 + F.col("preamble")).cast("int")
+    return sections.where("title <> '' or body <> ''").select("doc_id", "file_title", pos.alias("pos"), "level", "title", "body")
 
 
 def parent_titles(sections: DataFrame) -> DataFrame:
-    """Adds parent_title: the nearest earlier heading of a smaller level still in scope, else the file title."""
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    live = []
-    for k in range(5, 0, -1):
-        at = F.max(F.when(F.col("level") == k, F.col("pos"))).over(before)
-        shallower = F.max(F.when((F.col("level") >= 1) & (F.col("level") < k), F.col("pos"))).over(before)
-        title = F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(before)
-        live.append(F.when((F.col("level") > k) & at.isNotNull() & (shallower.isNull() | (shallower < at)), title))
-    return sections.withColumn("parent_title", F.coalesce(*live, F.col("file_title")))
+    """Adds parent_title: the nearest earlier heading of a smaller level, else the file title.
+
+    The last heading of each level is kept within a block of sections and carried over blocks."""
+    rows = blocked(sections, "pos")
+    mine = {f"_last{k}": F.max(F.when(F.col("level") == k, F.struct("pos", "title"))) for k in range(1, 6)}
+    blocks = totals(rows, ["doc_id"], **mine)
+    blocks = blocks.select("doc_id", "_block", *[F.max(c).over(earlier(["doc_id"])).alias(f"{c}_before") for c in mine])
+    rows = carried(rows.withColumns({c: last.over(within(["doc_id"], "pos", -1)) for c, last in mine.items()}), ["doc_id"], blocks)
+    above = F.greatest(*[F.when(F.col("level") > k, F.coalesce(f"_last{k}", f"_last{k}_before")) for k in range(1, 6)])
+    return rows.select(*sections.columns, F.coalesce(above["title"], F.col("file_title")).alias("parent_title"))
 
 
 def split_text(text: str, limit: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -73,65 +96,74 @@ def split_text(text: str, limit: int, separators: tuple[str, ...] = SEPARATORS)
     return [p for p in (x.strip() for x in out) if p]
 
 
-def split_long(sections: list[dict], most: int) -> list[dict]:
-    """Sections whose title (cut to 50), blank line and body exceed ``most`` are replaced by their pieces, with ``part``."""
-    out = []
-    for s in sections:
-        title = s["title"][:TITLE_CHARS]
-        room = most - len(title) - 2
-        if len(s["body"]) <= room or room <= 0:
-            out.append(s)
-            continue
-        pieces = split_text(s["body"], room)
-        if len(pieces) < 2:
-            out.append(s)
-        else:
-            out += [s | {"title": f"{title}-{i}", "body": p, "part": i} for i, p in enumerate(pieces, 1)]
-    return out
+def split_long(sections: DataFrame, most: int, linearize: bool = False) -> DataFrame:
+    """Sections whose title (cut to 50), blank line and body exceed ``most`` are replaced by their pieces, with ``part``; ``linearize`` turns tables to sentences before.
 
+    Each section is cut for itself; only texts that are too long, or hold tables, leave the JVM."""
+    from .tables import linearized
 
-def merge_short(sections: list[dict], least: int) -> list[dict]:
-    """While the parent is the same and the current body is below ``least``, the next body is appended; the title becomes the parent's."""
-    out: list[dict] = []
-    for s in sections:
-        if out and out[-1]["parent_title"] == s["parent_title"] and len(out[-1]["body"]) < least:
-            out[-1] = out[-1] | {"body": f"{out[-1]['body'].rstrip()}\n\n{s['body'].lstrip()}", "title": s["parent_title"], "part": 0}
-        else:
-            out.append(dict(s))
-    return out
+    head = F.substring("title", 1, TITLE_CHARS)
+    room = most - F.length(head) - 2
 
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, rooms: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else split_text(t, r) for t, r in zip(texts, rooms, strict=True)], dtype=object)
 
-def size_sections(sections: DataFrame, most: int = MAX_CHARS, least: int = MIN_CHARS, linearize: bool = False) -> DataFrame:
-    """Long split, then short merge, of sections (doc_id, file_title, pos, title, body, parent_title); adds part and renews pos.
+    rows = sections.withColumn("body", linearized(F.col("body"))) if linearize else sections
+    long = (F.length("body") > room) & (room > 0)
+    rows = rows.withColumn("_pieces", F.when(long, cut(F.when(long, F.col("body")), room)))
+    whole = F.coalesce(F.size("_pieces"), F.lit(0)) < 2
+    rows = rows.select("*", F.posexplode(F.when(whole, F.array("body")).otherwise(F.col("_pieces"))).alias("_piece", "_text"))
+    number = F.when(~whole, F.col("_piece") + 1)
+    return rows.withColumns({"part": number, "title": F.when(whole, F.col("title")).otherwise(F.concat(head, F.lit("-"), number.cast("string"))), "body": F.col("_text")}).drop("_pieces", "_text")
 
-    A document's sections travel as one array in one row."""
-    if not (most > least > 0):
-        raise ValueError("limits must be positive and the largest above the least")
-    from .tables import linearize_tables
 
-    item = F.struct("pos", "title", "body", "parent_title", F.lit(None).cast("int").alias("part"))
-    docs = sections.groupBy("doc_id", "file_title").agg(F.array_sort(F.collect_list(item)).alias("s"))
+def merge_short(sections: DataFrame, least: int) -> DataFrame:
+    """While the parent is the same and the current body is below ``least``, the next body is appended; the title becomes the parent's, part 0. Renews pos.
+
+    Sections (doc_id, file_title, pos, _piece, title, body, parent_title, part) are folded as one array a document; those done are
+    kept in runs of ``RUN``, so that a step does not copy all of them."""
+    kept = ("title", "body", "parent_title", "part")
+    kind = "struct<title:string,body:string,parent_title:string,part:int>"
+    docs = sections.groupBy("doc_id", "file_title").agg(F.array_sort(F.collect_list(F.struct("pos", "_piece", *kept))).alias("s"))
 
-    def run(batches):
-        for pdf in batches:
-            done = []
-            for rows in pdf["s"]:
-                items = [dict(r) for r in rows]
-                if linearize:
-                    items = [r | {"body": linearize_tables(r["body"])} for r in items]
-                items = merge_short(split_long(items, most), least)
-                done.append([{"pos": i, "title": r["title"], "body": r["body"], "parent_title": r["parent_title"], "part": None if r.get("part") is None or pd.isna(r["part"]) else int(r["part"])} for i, r in enumerate(items)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "file_title": pdf["file_title"], "s": done})
+    def step(state, x):
+        last = state["last"]
+        joins = last.isNotNull() & last["parent_title"].eqNullSafe(x["parent_title"]) & (F.length(last["body"]) < least)
+        body = F.concat(F.regexp_replace(last["body"], r"(?U)\s+\z", ""), F.lit("\n\n"), F.regexp_replace(x["body"], r"(?U)\A\s+", ""))
+        merged = F.struct(x["parent_title"].alias("title"), body.alias("body"), x["parent_title"].alias("parent_title"), F.lit(0).alias("part"))
+        closes = last.isNotNull() & ~joins
+        full = closes & (F.size(state["run"]) >= RUN)
+        done = F.when(full, F.concat(state["done"], F.array(state["run"]))).otherwise(state["done"])
+        run = F.when(full, F.array(last)).when(closes, F.concat(state["run"], F.array(last))).otherwise(state["run"])
+        return F.struct(done.alias("done"), run.alias("run"), F.when(joins, merged).otherwise(F.struct(*[x[c].alias(c) for c in kept])).alias("last"))
 
-    sized = docs.mapInPandas(run, f"doc_id long, file_title string, s {SECTIONS}")
-    return sized.select("doc_id", "file_title", F.inline("s"))
+    start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("done"), F.array().cast(f"array<{kind}>").alias("run"), F.lit(None).cast(kind).alias("last"))
+    end = lambda state: F.concat(F.flatten(state["done"]), state["run"], F.array(state["last"]))
+    folded = docs.select("doc_id", "file_title", F.posexplode(F.aggregate("s", start, step, end)).alias("pos", "x"))
+    return folded.select("doc_id", "file_title", "pos", *[f"x.{c}" for c in kept])
+
+
+def size_sections(sections: DataFrame, most: int = MAX_CHARS, least: int = MIN_CHARS, linearize: bool = False) -> DataFrame:
+    """Long split, then short merge, of sections (doc_id, file_title, pos, title, body, parent_title); adds part and renews pos."""
+    if not (most > least > 0):
+        raise ValueError("limits must be positive and the largest above the least")
+    return merge_short(split_long(sections, most, linearize), least)
 
 
 def number_parts(sections: DataFrame) -> DataFrame:
-    """Sections with ``part`` are renumbered from 1 per parent title, in document order, and their titles get the number."""
-    by = Window.partitionBy("doc_id", "parent_title", F.col("part").isNull()).orderBy("pos")
-    number = F.when(F.col("part").isNotNull(), F.row_number().over(by))
-    return sections.withColumn("part", number).withColumn("title", F.when(F.col("part").isNotNull(), F.concat("title", F.lit("-"), F.col("part").cast("string"))).otherwise(F.col("title")))
+    """Sections with ``part`` are renumbered from 1 per parent title, in document order, and their titles get the number.
+
+    Blocks of sections count for themselves; what earlier blocks hold of a parent is added."""
+    keys = ["doc_id", "parent_title"]
+    rows = blocked(sections, "pos")
+    some = F.col("part").isNotNull()
+    blocks = totals(rows, keys, _n=F.count_if(some))
+    blocks = blocks.select(*keys, "_block", F.sum("_n").over(earlier(keys)).alias("_before"))
+    rows = carried(rows.withColumn("_own", F.count_if(some).over(within(keys, "pos"))), keys, blocks)
+    rows = rows.withColumn("part", F.when(some, F.col("_own") + F.coalesce("_before", F.lit(0))).cast("int"))
+    titled = F.when(some, F.concat("title", F.lit("-"), F.col("part").cast("string"))).otherwise(F.col("title"))
+    return rows.withColumn("title", titled).select(*sections.columns)
 
 
 def assemble_chunks(sections: DataFrame) -> DataFrame:

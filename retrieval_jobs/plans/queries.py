@@ -70,8 +70,9 @@ w AS (SELECT doc_id, g::INTEGER AS pos, CASE WHEN n > 1 THEN parent_title || '-'
 
 @query("t4_merge_short_w1_number_parts", f"{MERGED} SELECT doc_id, pos, title, parent_title, md5(body) AS body_md5, part FROM w")
 def t4(spark, d):
-    sized = chunking.size_sections(chunking.parent_titles(chunking.split_headings(V.markdown(spark, d))), 1 << 30, 500)
-    return chunking.number_parts(sized).select("doc_id", "pos", "title", "parent_title", digest("body"), "part")
+    sections = chunking.parent_titles(chunking.split_headings(V.markdown(spark, d)))
+    merged = chunking.merge_short(sections.withColumns({"_piece": F.lit(0), "part": F.lit(None).cast("int")}), 500)
+    return chunking.number_parts(merged).select("doc_id", "pos", "title", "parent_title", digest("body"), "part")
 
 
 @query("p9_assemble_chunks", f"{MERGED} SELECT doc_id, pos, title, md5(title || chr(10) || chr(10) || body) AS content_md5 FROM w")

@@ -208,3 +208,27 @@ def test_partition_count_does_not_matter(spark, sf_dir):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
 
     assert run(1) == run(16)
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    """Documents scanned in blocks of three rows give what one block gives; null ids and repeated headings included."""
+    from retrieval_jobs.operators import segments
+
+    md = "\n".join(["", "pre"][i % 2] if i < 4 else ("```" if i % 13 == 0 else "#" * (1 + i * 7 % 6) + f" h{i % 4}" if i % 3 == 0 else f" l{i} " * (i % 5)) for i in range(120))
+    docs = spark.createDataFrame([(1, "A", md), (2, "B", "# x\n" * 9 + "y"), (3, "C", "\n# x"), (4, "D", "a\n\n\nb\n\n"), (5, "E", "```\n# x\n```\n## y\n" * 5), (6, "F", "")], "doc_id long, file_title string, md string")
+
+    def run():
+        sections = chunking.parent_titles(chunking.split_headings(docs))
+        return [sorted(map(str, df.collect())) for df in (sections, chunking.number_parts(chunking.size_sections(sections, 60, 20)))]
+
+    whole = run()
+    monkeypatch.setattr(segments.blocked, "__defaults__", (3,))
+    assert run() == whole and len(whole[0]) > 30
+    assert chunking.split_headings(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() > 0
+
+
+def test_alignment_of_several_names(spark):
+    """The names of a question in order: lists grow, nothing is listed twice, options stay beside later confirmed names."""
+    rows = [(1, 2, "x", "c", 0.65), (1, 2, "x", "a", 0.66), (1, 0, "a", "a", 0.9), (1, 0, "a", "b", 0.8), (1, 1, "y", "b", 0.7), (1, 1, "y", "d", 0.71), (1, 1, "y", "a", 0.9), (1, 1, "y", "e", 0.7), (1, 3, "d", "d", 0.95), (1, 4, "z", None, None)]
+    got = items.align_items(spark.createDataFrame(rows, "query_id long, ext_pos int, extracted_name string, item_name string, score double")).collect()
+    assert [(r.confirmed, r.options) for r in got] == [(["a", "d"], ["d", "b", "c"])]

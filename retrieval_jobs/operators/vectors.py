@@ -19,6 +19,8 @@ DIGITS = 6
 BROADCAST_QUESTIONS = 8192
 #: Vectors of a block (2 and 8 MB of 1,024 double-precision dimensions).
 QUESTION_BLOCK, CHUNK_BLOCK = 256, 1024
+#: Postings for each wanted hit that bound a question's least score in sparse search; the level of weights that are not above zero.
+SEEDS, LOWEST = 16, -5000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -113,13 +115,65 @@ def dense_topk(queries: DataFrame, table: DataFrame, k: int = 5, item: str | Non
     return top_per(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
+def impact_blocks(table: DataFrame, keys: list[str]) -> DataFrame:
+    """(token, keys, level, chunk_id, weight): the postings of weight maps; a token's weights of one power of two are one block, so that none is much below the block's largest."""
+    rows = table.select("chunk_id", *keys, F.explode("sparse").alias("token", "weight")).withColumn("weight", F.col("weight").cast("double"))
+    level = F.when(F.col("weight") > 0, F.floor(F.log2("weight")).cast("int"))
+    return rows.withColumn("level", F.coalesce(level, F.lit(LOWEST)))
+
+
+def weighted_tokens(queries: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, keys, token, q_weight): the words of each question and item, weights of repeated ones added."""
+    rows = queries.select("query_id", *keys, F.explode("q_sparse").alias("token", "w"))
+    return rows.groupBy("query_id", *keys, "token").agg(F.sum(F.col("w").cast("double")).alias("q_weight"))
+
+
+def exact_products(pairs: DataFrame, asked: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, keys, chunk_id, score): the inner product of both weight maps, in the row, of pairs (query_id, keys, chunk_id)."""
+    maps = asked.groupBy("query_id", *keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "q_weight"))).alias("_q"))
+    product = F.map_zip_with("_q", "sparse", lambda _, a, b: a * b.cast("double"))
+    score = F.aggregate(F.map_values(product), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    rows = pairs.join(maps, ["query_id", *keys]).join(table.select("chunk_id", *keys, "sparse"), ["chunk_id", *keys])
+    return rows.select("query_id", *keys, "chunk_id", score.alias("score"))
+
+
+def needed_blocks(asked: DataFrame, postings: DataFrame, table: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(query_id, keys, token, q_weight, level, least, slack): the blocks without which no chunk can be among a question's best ``k``.
+
+    The blocks with the largest products, some ``SEEDS * k`` postings, name chunks whose exact scores bound the k-th best from below
+    (``least``). With blocks in ascending order of the most that they add, those together below it are left out; ``slack`` is what they
+    may still add to a chunk: for each token its largest block. A question with fewer than k such chunks needs all blocks."""
+    ask = ["query_id", *keys]
+    sizes = postings.groupBy("token", *keys, "level").agg(F.max("weight").alias("most"), F.min("weight").alias("fewest"), F.count("*").alias("n"))
+    most = F.greatest(F.lit(0.0), F.col("q_weight") * F.col("most"), F.col("q_weight") * F.col("fewest"))
+    units = asked.join(sizes, ["token", *keys]).select(*ask, "token", "q_weight", "level", "n", most.alias("most"))
+    falling = Window.partitionBy(*ask).orderBy(F.desc("most"), "n", "token", "level")
+    seeds = units.withColumn("_before", F.sum("n").over(falling.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("_before", F.lit(0)) < SEEDS * k)
+    near = seeds.join(postings, ["token", *keys, "level"]).groupBy(*ask, "chunk_id").agg(F.sum(F.col("q_weight") * F.col("weight")).alias("part"))
+    near = top_per(near, ask, [F.desc("part"), F.col("chunk_id")], SEEDS * k)
+    scored = top_per(exact_products(near.select(*ask, "chunk_id"), asked, table, keys), ask, [F.desc("score")], k)
+    least = scored.where(F.col("rank") == k).select(*ask, (F.col("score") - 2 * 10.0**-DIGITS - F.abs("score") * 1e-12).alias("least"))
+    added = F.col("most") - F.coalesce(F.lag("most").over(Window.partitionBy(*ask, "token").orderBy("most", "level")), F.lit(0.0))
+    rising = Window.partitionBy(*ask).orderBy("most", "token", "level").rowsBetween(Window.unboundedPreceding, 0)
+    units = units.withColumn("_added", added).withColumn("_bound", F.sum("_added").over(rising)).join(least, ask, "left")
+    out = F.col("least").isNotNull() & (F.col("_bound") < F.col("least"))
+    units = units.withColumn("slack", F.coalesce(F.max(F.when(out, F.col("_bound"))).over(Window.partitionBy(*ask)), F.lit(0.0)))
+    return units.where(~out).select(*ask, "token", "q_weight", "level", "least", "slack")
+
+
 def sparse_topk(queries: DataFrame, table: DataFrame, k: int = 5, item: str | None = None) -> DataFrame:
-    """Inner product of weight maps: both sides explode and join on the token (and item); sums are pre-aggregated."""
+    """Inner product of weight maps, exact; (chunk_id, item) is the key of the table. Chunks without a common token are no hits.
+
+    Only the blocks of postings that may lift a chunk among the best k are joined (``needed_blocks``); the sums over them plus what the
+    others may add single out the chunks whose maps are multiplied. Common words, whose small weights can't decide, join nothing."""
     keys = [item] if item else []
-    left = queries.select("query_id", *keys, F.explode("q_sparse").alias("token", "q_weight"))
-    right = table.select("chunk_id", *keys, F.explode("sparse").alias("token", "weight"))
-    product = F.col("q_weight").cast("double") * F.col("weight").cast("double")
-    scored = left.join(right, ["token", *keys]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(product), DIGITS).alias("score"))
+    asked, postings = weighted_tokens(queries, keys), impact_blocks(table, keys)
+    needed = needed_blocks(asked, postings, table, k, keys)
+    part = F.sum(F.col("q_weight") * F.col("weight"))
+    found = needed.join(postings, ["token", *keys, "level"]).groupBy("query_id", *keys, "chunk_id").agg(part.alias("part"), F.first("least").alias("least"), F.first("slack").alias("slack"))
+    found = found.where(F.col("least").isNull() | (F.col("part") + F.col("slack") >= F.col("least")))
+    scored = exact_products(found.select("query_id", *keys, "chunk_id"), asked, table, keys)
+    scored = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
     return top_per(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 

@@ -232,3 +232,27 @@ def test_alignment_of_several_names(spark):
     rows = [(1, 2, "x", "c", 0.65), (1, 2, "x", "a", 0.66), (1, 0, "a", "a", 0.9), (1, 0, "a", "b", 0.8), (1, 1, "y", "b", 0.7), (1, 1, "y", "d", 0.71), (1, 1, "y", "a", 0.9), (1, 1, "y", "e", 0.7), (1, 3, "d", "d", 0.95), (1, 4, "z", None, None)]
     got = items.align_items(spark.createDataFrame(rows, "query_id long, ext_pos int, extracted_name string, item_name string, score double")).collect()
     assert [(r.confirmed, r.options) for r in got] == [(["a", "d"], ["d", "b", "c"])]
+
+
+def test_sparse_search_against_all_products(spark):
+    """Pruned postings give the best of all inner products, with common words, weights below zero, ties and questions of several items."""
+    import random
+
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(4)]
+    chunk = lambda: {w: round(r.choice([-1, 1, 1, 1]) * r.random() ** 4 * 8, 3) for w in common + [f"w{r.randint(0, 60)}" for _ in range(6)]}
+    rows = [(i, f"I{i % 2}", chunk()) for i in range(400)] + [(900, "I0", {}), (901, "I0", None), (902, None, {"c0": 9.0}), (903, "I0", {"c0": 0.0})]
+    rows += [(904 + i, "I1", rows[1][2]) for i in range(8)]
+    asks = [(q, f"I{(q + j) % 2}", chunk()) for q in range(30) for j in range(1 + q % 3 // 2)] + [(77, "I0", {"none": 1.0}), (78, "I1", {"w5": 1.0}), (79, "I1", rows[1][2])]
+    t = spark.createDataFrame(rows, "chunk_id long, item_name string, sparse map<string,double>")
+    q = spark.createDataFrame(asks, "query_id long, item_name string, q_sparse map<string,double>")
+    for item in ("item_name", None):
+        want: dict = {}
+        for i, own, words in asks if item else {a[0]: a for a in asks}.values():
+            for c, other, weights in rows:
+                if weights and set(weights) & set(words) and (not item or own == other):
+                    want.setdefault(i, []).append((-round(sum(w * weights.get(x, 0) for x, w in words.items()), 6), c))
+        best = {(i, n, c, -s) for i, hits in want.items() for n, (s, c) in enumerate(sorted(hits)[:5], 1)}
+        asked = q if item else spark.createDataFrame(list({a[0]: a for a in asks}.values()), q.schema)
+        got = {(x.query_id, x.rank, x.chunk_id, x.score) for x in vectors.sparse_topk(asked, t, item=item).collect()}
+        assert got == best and len(best) > 100

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrieval_jobs.functions.text import normalize_newlines
+from retrieval_jobs.operators import segments
 from retrieval_jobs.operators.segments import blocked, carried, earlier, totals, within
 
 MAX_CHARS, MIN_CHARS, TITLE_CHARS = 2000, 500, 50
@@ -24,35 +25,47 @@ def split_headings(documents: DataFrame) -> DataFrame:
     """(doc_id, file_title, pos, level, title, body) of documents (doc_id, file_title, md).
 
     Headings have level 1 to 6 outside fences; fence lines vanish; the preamble stays unless empty; an empty document has no section.
-    A document's lines are scanned in blocks: each block counts its headings for a start outside and inside a fence, and the scan
-    over block totals says which holds. Body lines are joined in their block before they move to their section."""
+    A document's lines are cut to blocks, each scanned in its row: it counts its headings for a start outside and inside a fence, and the
+    scan over block totals says which holds. Body lines are joined in their block before they move to their section."""
     md = normalize_newlines(F.coalesce("md", F.lit("")))
-    lines = blocked(documents.select("doc_id", "file_title", F.posexplode(F.split(md, "\n")).alias("line_no", "line")), "line_no").repartition("doc_id", "_block")
-    upto = within(["doc_id"], "line_no")
-    lines = lines.withColumn("fence", F.col("line").rlike(r"^\s*(```|~~~)"))
-    lines = lines.withColumn("fences", F.sum(F.col("fence").cast("int")).over(upto)).withColumn("mark", ~F.col("fence") & F.col("line").rlike(r"^\s*#{1,6}\s+.+"))
-    for start in (0, 1):
-        lines = lines.withColumn(f"heads{start}", F.sum((F.col("mark") & (F.col("fences") % 2 == start)).cast("int")).over(upto))
-    of = {"all_fences": F.max("fences")}
+    docs = documents.select("doc_id", "file_title", F.explode(F.array(F.split(md, "\n"))).alias("lines"))
+    ranges = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / segments.ROWS).cast("int")), lambda b: F.struct(b.alias("_block"), F.slice("lines", b * segments.ROWS + 1, segments.ROWS).alias("lines")))
+    blocks = docs.select("doc_id", "file_title", F.inline(ranges))
+    level = lambda x: F.when(x.rlike(r"^\s*(```|~~~)"), 0).when(x.rlike(r"^\s*#{1,6}\s+.+"), F.length(F.regexp_extract(x, r"^\s*(#{1,6})\s", 1)))
+    blocks = blocks.withColumn("lines", F.transform("lines", lambda x, i: F.struct((i + 1).alias("at"), level(x).alias("level"), x.alias("line"))))
+
+    def step(state, x):
+        head = F.array(F.struct(x["at"].alias("at"), x["level"].alias("level"), x["line"].alias("line"), (state["fences"] % 2).alias("inside")))
+        return F.struct((state["fences"] + x["level"].eqNullSafe(0).cast("int")).alias("fences"), F.when(x["level"] > 0, F.concat(state["heads"], head)).otherwise(state["heads"]).alias("heads"))
+
+    zero = F.struct(F.lit(0).alias("fences"), F.array().cast("array<struct<at:int,level:int,line:string,inside:int>>").alias("heads"))
+    blocks = blocks.withColumn("scan", F.aggregate("lines", zero, step))
+    heads = lambda start: F.filter("scan.heads", lambda h: h["inside"] == start)
+    body = lambda first, end: F.transform(F.filter(F.slice("lines", first, end - first), lambda x: ~x["level"].eqNullSafe(0)), lambda x: x["line"])
+    of = [F.col("scan.fences").alias("fences")]
     for start in (0, 1):
-        first = ~F.col("fence") & (F.col(f"heads{start}") == 0)
-        of |= {f"all_heads{start}": F.max(f"heads{start}"), f"lead{start}": F.count_if(first), f"lead_chars{start}": F.sum(F.when(first, F.length("line")))}
+        lead = body(F.lit(1), F.coalesce(F.get(heads(start), 0)["at"], F.size("lines") + 1))
+        of += [F.size(heads(start)).alias(f"heads{start}"), F.size(lead).alias(f"lead{start}"), F.length(F.array_join(lead, "")).alias(f"chars{start}")]
     before, whole = earlier(["doc_id"]), Window.partitionBy("doc_id")
     chosen = lambda name: F.when(F.col("start") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
-    blocks = totals(lines, ["doc_id"], **of).withColumn("start", F.coalesce(F.sum("all_fences").over(before), F.lit(0)) % 2)
-    blocks = blocks.withColumn("earlier_heads", F.coalesce(F.sum(chosen("all_heads")).over(before), F.lit(0)))
+    sums = blocks.select("doc_id", "_block", *of).withColumn("start", (F.coalesce(F.sum("fences").over(before), F.lit(0)) % 2).cast("int"))
+    sums = sums.withColumn("earlier_heads", F.coalesce(F.sum(chosen("heads")).over(before), F.lit(0)))
     lead = lambda name: F.sum(F.when(F.col("earlier_heads") == 0, chosen(name))).over(whole)
-    blocks = blocks.withColumn("preamble", ((lead("lead") > 1) | (F.coalesce(lead("lead_chars"), F.lit(0)) > 0)).cast("int"))
-    lines = carried(lines, ["doc_id"], blocks.select("doc_id", "_block", "start", "earlier_heads", "preamble")).where("not fence")
-    lines = lines.withColumns({c: F.coalesce(c, F.lit(n)) for c, n in (("start", 0), ("earlier_heads", 0), ("preamble", 1))})
-    heading = F.col("mark") & ((F.col("start") + F.col("fences")) % 2 == 0)
-    lines = lines.withColumn("level", F.when(heading, F.length(F.regexp_extract("line", r"^\s*(#{1,6})\s", 1)))).withColumn("section", F.col("earlier_heads") + chosen("heads"))
-    joined = lambda order, text, has: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(has, F.struct(order, text)))), lambda x: x[text]), "\n")
-    title = F.max(F.when(F.col("level").isNotNull(), F.col("line")))
-    plain = F.col("level").isNull()
+    sums = sums.withColumn("preamble", ((lead("lead") > 1) | (lead("chars") > 0)).cast("int"))
+    rows = carried(blocks, ["doc_id"], sums.select("doc_id", "_block", "start", "earlier_heads", "preamble"))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(n)) for c, n in (("start", 0), ("earlier_heads", 0), ("preamble", 1))})
+    rows = rows.select("doc_id", "file_title", "_block", "preamble", "earlier_heads", "lines", F.explode(F.array(heads(F.col("start")))).alias("heads"))
+
+    def section(j):
+        own, following = F.get("heads", j - 1), F.get("heads", j)
+        text = body(F.coalesce(own["at"], F.lit(0)) + 1, F.coalesce(following["at"], F.size("lines") + 1))
+        return F.struct(j.alias("no"), own["level"].alias("level"), own["line"].alias("title"), text.alias("text"))
+
+    parts = rows.select("doc_id", "file_title", "_block", "preamble", "earlier_heads", F.inline(F.transform(F.sequence(F.lit(0), F.size("heads")), section)))
+    parts = parts.select("doc_id", "file_title", "preamble", (F.col("earlier_heads") + F.col("no")).alias("section"), "_block", "level", "title", F.when(F.size("text") > 0, F.array_join("text", "\n")).alias("part"))
+    text = F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("_block", "part")))), lambda x: x["part"])
     keys = ["doc_id", "file_title", "section", "preamble"]
-    parts = lines.groupBy(*keys, "_block").agg(F.max("level").alias("level"), title.alias("title"), F.count_if(plain).alias("n"), joined("line_no", "line", plain).alias("part"))
-    sections = parts.groupBy(*keys).agg(F.coalesce(F.max("level"), F.lit(0)).alias("level"), F.coalesce(F.max("title"), F.lit("")).alias("title"), joined("_block", "part", F.col("n") > 0).alias("body"))
+    sections = parts.groupBy(*keys).agg(F.coalesce(F.max("level"), F.lit(0)).alias("level"), F.coalesce(F.max("title"), F.lit("")).alias("title"), F.array_join(text, "\n").alias("body"))
     pos = (F.col("section") - 1 + F.col("preamble")).cast("int")
     return sections.where("title <> '' or body <> ''").select("doc_id", "file_title", pos.alias("pos"), "level", "title", "body")
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 ROWS = 4096
 
 
-def blocked(rows: DataFrame, order: str, size: int = ROWS) -> DataFrame:
+def blocked(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with _block, the number of the block of their order."""
-    return rows.withColumn("_block", F.floor(F.col(order) / size))
+    return rows.withColumn("_block", F.floor(F.col(order) / ROWS))
 
 
 def within(keys: list[str], order: str, last: int = 0) -> Window:

@@ -140,8 +140,8 @@ def exact_products(pairs: DataFrame, asked: DataFrame, table: DataFrame, keys: l
 def needed_blocks(asked: DataFrame, postings: DataFrame, table: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """(query_id, keys, token, q_weight, level, least, slack): the blocks without which no chunk can be among a question's best ``k``.
 
-    The blocks with the largest products, some ``SEEDS * k`` postings, name chunks whose exact scores bound the k-th best from below
-    (``least``). With blocks in ascending order of the most that they add, those together below it are left out; ``slack`` is what they
+    The blocks with the largest products, some ``SEEDS * k`` postings, name ``2 * k`` chunks whose exact scores bound the k-th best from
+    below (``least``). With blocks in ascending order of the most that they add, those together below it are left out; ``slack`` is what they
     may still add to a chunk: for each token its largest block. A question with fewer than k such chunks needs all blocks."""
     ask = ["query_id", *keys]
     sizes = postings.groupBy("token", *keys, "level").agg(F.max("weight").alias("most"), F.min("weight").alias("fewest"), F.count("*").alias("n"))
@@ -150,7 +150,7 @@ def needed_blocks(asked: DataFrame, postings: DataFrame, table: DataFrame, k: in
     falling = Window.partitionBy(*ask).orderBy(F.desc("most"), "n", "token", "level")
     seeds = units.withColumn("_before", F.sum("n").over(falling.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("_before", F.lit(0)) < SEEDS * k)
     near = seeds.join(postings, ["token", *keys, "level"]).groupBy(*ask, "chunk_id").agg(F.sum(F.col("q_weight") * F.col("weight")).alias("part"))
-    near = top_per(near, ask, [F.desc("part"), F.col("chunk_id")], SEEDS * k)
+    near = top_per(near, ask, [F.desc("part"), F.col("chunk_id")], 2 * k)
     scored = top_per(exact_products(near.select(*ask, "chunk_id"), asked, table, keys), ask, [F.desc("score")], k)
     least = scored.where(F.col("rank") == k).select(*ask, (F.col("score") - 2 * 10.0**-DIGITS - F.abs("score") * 1e-12).alias("least"))
     added = F.col("most") - F.coalesce(F.lag("most").over(Window.partitionBy(*ask, "token").orderBy("most", "level")), F.lit(0.0))

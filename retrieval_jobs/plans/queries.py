@@ -101,7 +101,7 @@ def t56(spark, d):
 
 
 def _vectors(spark, d):
-    table = V.chunk_vectors(spark, d)
+    table = V.stored(V.chunk_vectors(spark, d))
     return V.questions(table), table
 
 
@@ -157,9 +157,8 @@ gl AS (SELECT * FROM (SELECT query_id, nw.item_name, chunk_id, sum(weight) AS sc
   FROM nw JOIN mn ON mn.item_name = nw.item_name AND mn.name = nw.name GROUP BY query_id, nw.item_name, chunk_id) WHERE rank <= 100)"""
 
 
-def _graph_leg(spark, d):
+def _graph_leg(spark, d, t):
     """Sources and languages of a label's documents as its graph; a question asks for its own document's source."""
-    _, t = _vectors(spark, d)
     rows = t.select("item_name", "chunk_id").join(V.read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "lang"), "chunk_id")
     names = rows.select("item_name", "chunk_id", F.explode(F.array("source", "lang")).alias("name")).where("name is not null")
     edges = rows.where("source is not null and lang is not null").select("item_name", F.col("source").alias("head"), F.lit("HAS_PART").alias("type"), F.col("lang").alias("tail")).distinct()
@@ -169,7 +168,7 @@ def _graph_leg(spark, d):
 
 @query("graph_leg", f"WITH {V.VECTORS}, {DOC_GRAPH} SELECT query_id, rank, item_name, chunk_id, score, hits FROM gl")
 def graph_leg(spark, d):
-    return _graph_leg(spark, d)
+    return _graph_leg(spark, d, V.chunk_vectors(spark, d))
 
 
 FUSED = f"""WITH {V.VECTORS}, {DOC_GRAPH}, g0 AS (SELECT query_id, chunk_id::BIGINT AS chunk_id, rank FROM gl),
@@ -183,7 +182,7 @@ def _fused(spark, d):
     docs = V.read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     dense = vectors.dense_topk(q, t)
     hyde = vectors.hybrid_fuse(dense, vectors.sparse_topk(q, t, item="item_name"))
-    graph = _graph_leg(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("long"))
+    graph = _graph_leg(spark, d, t).withColumn("chunk_id", F.col("chunk_id").cast("long"))
     legs = {name: vectors.backfill_chunks(hits.select("query_id", "chunk_id", "rank"), docs, ["content"]) for name, hits in (("vector", dense), ("hyde", hyde), ("graph", graph))}
     return fusion.rrf(fusion.union_legs(legs)), docs
 

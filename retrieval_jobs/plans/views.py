@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def work_dir(spark: SparkSession) -> str:
     return _OWN_DIRS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-work-"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a table of the shared folder and read back: computed once where a query uses it several times."""
+    path = f"{work_dir(df.sparkSession)}/stored_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with heading and fence marks put on their lines by line number; line ends are CRLF in every third."""
     def mark(x, i):

@@ -222,7 +222,7 @@ def test_blocks_change_nothing(spark, monkeypatch):
         return [sorted(map(str, df.collect())) for df in (sections, chunking.number_parts(chunking.size_sections(sections, 60, 20)))]
 
     whole = run()
-    monkeypatch.setattr(segments.blocked, "__defaults__", (3,))
+    monkeypatch.setattr(segments, "ROWS", 3)
     assert run() == whole and len(whole[0]) > 30
     assert chunking.split_headings(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() > 0
 

@@ -68,9 +68,9 @@ def counts(text: str):
     return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.size(F.filter(words, lambda x: x == w)).cast("double"))))
 
 
-def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, sparse) of all documents; counts are aggregated, not looped over."""
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+def word_rows(documents: DataFrame) -> DataFrame:
+    """(chunk_id, sparse) of documents; counts are aggregated, not looped over."""
+    rows = documents.select(F.col("doc_id").alias("chunk_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
     rows = rows.groupBy("chunk_id", "w").agg(F.count("*").cast("double").alias("c"))
     return rows.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("sparse"))
 
@@ -78,7 +78,8 @@ def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, item_name, dense, sparse): vectors with their label as item and the words of the document of the same id."""
     vec = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("item_name"), F.col("embedding").alias("dense"))
-    return vec.join(word_rows(spark, sf_dir), "chunk_id")
+    docs = read(spark, sf_dir, "documents")
+    return vec.join(word_rows(docs.join(vec, docs.doc_id == vec.chunk_id, "left_semi")), "chunk_id")
 
 
 def questions(table: DataFrame) -> DataFrame:

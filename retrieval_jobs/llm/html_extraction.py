@@ -1,12 +1,11 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page is cut into text blocks. A logistic model gives each block a cost of being content and of being
-boilerplate; these are its terminal capacities. Its features are the block's text and links, what the
-nearest telling ancestor (tag, class or id) says, and the hashed tags and class words of its path; all
-weights are learned, from blocks that the sample's semantic elements label. Each sample page is learned
-a second time without its structure, so that the text features stand on their own on pages that
-tell nothing. Neighbouring blocks are tied by smoothness edges, the stronger the nearer they lie in the
-element tree. The minimum cut separates content from boilerplate.
+A page is cut into text blocks. Two logistic models give each block its cost of being content and of being boilerplate, which are its
+terminal capacities: one of its text (length, links, punctuation, kind of element), learned without any structure, and one of the names
+on its path (region elements, roles, class and id words). The labels of both are what the semantic elements of the sample's pages say;
+names are also learned from ``REGIONS``, labelled examples of regions that a sample need not hold. Neighbouring blocks are tied by
+smoothness edges by their distance in the element tree; how much each distance ties is learned from how often such neighbours of the
+sample agree. The minimum cut separates content from boilerplate.
 """
 
 from __future__ import annotations
@@ -14,8 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
-import zlib
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,59 +33,96 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = set("html body div section article main nav header footer aside form ul ol li dl dt dd table thead tbody tfoot tr td th blockquote figure figcaption details summary fieldset center address dialog menu".split())
 BREAKS = CONTAINERS | set("head p h1 h2 h3 h4 h5 h6 pre hr".split())  # end a hidden element that has no end tag
-BOILER_TAGS = set("nav footer aside form menu dialog fieldset".split())
-CONTENT_TAGS = set("article main".split())
-BOILER_WORDS = set("nav navbar navigation menu header footer sidebar aside ad ads advert advertisement banner cookie cookies consent gdpr notice alert promo promotion sponsor sponsored share sharing social related recommended recommendations comment comments reply replies discussion disqus form search login signin signup subscribe newsletter breadcrumb breadcrumbs pagination pager widget popup modal overlay copyright legal toolbar topbar masthead tags meta skip".split())
-CONTENT_WORDS = set("article content main post entry story body text prose".split())
+REGION_TAGS = set("article main nav header footer aside form menu dialog fieldset".split())
+# Labelled examples for the path model, names of regions in the singular.
+REGIONS = {
+    1: "article main post entry story content prose text body".split(),
+    0: "nav navbar navigation menu header footer sidebar aside ad advert advertisement banner cookie consent gdpr notice alert promo promotion sponsor sponsored share sharing social related~ recommended~ popular~ sponsored~ related recommended recommendation comment reply replie discussion disqus form fieldset dialog search login signin signup subscribe newsletter breadcrumb pagination pager widget popup modal overlay copyright legal toolbar topbar masthead tag meta skip".split(),
+}
+GENERIC = set("list item box wrapper wrap container block area section inner outer left right top bottom link button btn bar group panel content body text title label row col column unit slot this us me main form".split())
 MODIFIERS = set("has with no is js without".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "dialog": -1, "alert": -1, "main": 1, "article": 1}
+ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "search", "form": "form", "dialog": "dialog", "alert": "alert", "main": "main", "article": "article"}
+SITE = set("site page global top blog main masthead".split())  # whose header is the page's
 
-NEXT, NEAR, DECAY = 0.1, 1.5, 0.25  # smoothness of neighbours, and in addition by the steps between their containers
-PATH = 128  # buckets of the path's tags and class words
-TEXT_FEATURES = 11
+LABEL = {name: label for label, names in REGIONS.items() for name in names}
+NEXT, NEAR, DECAY = 0.1, 1.5, 0.25  # smoothness of neighbours, and in addition by the steps between their containers, before learning
+PSEUDO = 50  # pairs that these count for
+FAR = 6  # steps from here on are one distance
+TEXT_LIMIT = 4.0  # most that the text says for or against a block
+NAMES, NAME_PAGES, SMALL = 1000, 3, 1.0  # names learned at most, pages that must hold one, weights dropped
+TEXT_FEATURES, KIND = 12, slice(8, 12)  # of which these are the element's kind, and whether the page has paragraphs
 
 
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
     path: tuple[int, ...] = ()  # numbers of the containers, outermost first
-    words: tuple[str, ...] = ()  # their tags and class words
-    evidence: int = 0  # of the nearest telling ancestor
-    semantic: bool = False  # inside an article or main element
+    names: tuple[str, ...] = ()  # region names on the path
     linked: int = 0
     tag: str = ""
     text: str = ""
 
 
-def telling(tag: str, attributes: str) -> int:
-    """-1 boilerplate, 1 content, 0 silent: what an element's tag, class, id and role say."""
+@dataclass
+class Model:
+    text: np.ndarray  # weights of the text features
+    outside: float  # of a block without a telling name, on a page with named content
+    names: dict[str, float]
+    ties: list[float]  # capacity between neighbours by steps, 0 to FAR
+
+
+def name_of(word: str) -> list[str]:
+    """The region that a class or id word names: its last noun, behind words such as "list" or "box" the one before them.
+
+    ``share-buttons`` and ``shareBox`` name ``share``, ``share-prices`` names ``price``; what stands first is given as a modifier too."""
+    pieces = [p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower()) if p]
+    if not pieces or pieces[0] in MODIFIERS:
+        return []
+    singular = [p[:-1] if p.endswith("s") and not p.endswith("ss") and len(p) > 2 else p for p in pieces]
+    last = len(singular) - 1
+    while last and (singular[last] in GENERIC or pieces[last] in GENERIC):
+        last -= 1
+    name = singular[last] if singular[last] in LABEL or singular[-1] not in LABEL else singular[-1]
+    if len(singular) > 1 and all(p in GENERIC for p in singular):
+        name = "".join(singular) if "".join(singular) in LABEL else name
+    if name == "header" and len(singular) > 1 and singular[0] not in SITE | {"header"}:
+        return []
+    return [name, singular[0] + "~"] if len(singular) > 1 and singular[0] != name else [name]
+
+
+def region_names(tag: str, attributes: str, inside: bool) -> tuple[str, ...]:
+    """Names that one element gives its blocks; a header inside content is the content's own and gives none."""
     if tag in ("html", "body"):
-        return 0
-    for name, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'").lower()
-        if name.lower() == "role" and value in ROLES:
-            return ROLES[value]
-    if tag in BOILER_TAGS:
-        return -1
-    good = tag in CONTENT_TAGS
-    bad = False
+        return ()
+    found = [tag] if tag in REGION_TAGS else []
     for name, value in ATTRIBUTE.findall(attributes):
-        for word in value.strip("\"'").split():
-            pieces = [p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower()) if p]
-            if not pieces or pieces[0] in MODIFIERS:
-                continue
-            bad |= any(p.rstrip("0123456789") in BOILER_WORDS for p in pieces)
-            good |= pieces[-1].rstrip("0123456789") in CONTENT_WORDS and not any(p in BOILER_WORDS for p in pieces)
-    if tag == "header":
-        return -2  # a page's header; inside an article it is the article's own
-    return -1 if bad and tag not in CONTENT_TAGS else 1 if good else 0
-
-
-def path_words(tag: str, attributes: str) -> tuple[str, ...]:
-    """The tag, and the words of class and id, of one element."""
-    values = [v.strip("\"'").lower() for name, v in ATTRIBUTE.findall(attributes) if name.lower() != "role"]
-    return (tag, *("." + w for v in values for w in re.split(r"[^a-z0-9]+", v) if w))
+        value = value.strip("\"'")
+        if name.lower() == "role":
+            found += [ROLES[value.lower()]] if value.lower() in ROLES else []
+        else:
+            found += [x for w in value.split() for x in name_of(w)]
+    return tuple(x for x in found if not (inside and x == "header"))
+
+
+def wrapping_forms(tokens: list[re.Match]) -> set[int]:
+    """Forms that wrap a page rather than ask for something: they hold a region of the page, or more than half of its text."""
+    out, opened, total = set(), None, 0
+    sizes: dict[int, int] = {}
+    at = 0
+    for i, m in enumerate(tokens):
+        size = len("".join(m.string[at : m.start()].split()))
+        at, total = m.end(), total + size
+        if opened is not None:
+            sizes[opened] += size
+        tag = (m[4] or "").lower()
+        if tag == "form":
+            opened = None if m[3] else i
+            if opened is not None:
+                sizes[opened] = 0
+        elif opened is not None and tag in ("article", "main", "nav", "footer", "h1") and not m[3]:
+            out.add(opened)
+    return out | {i for i, size in sizes.items() if 2 * size > total}
 
 
 def hidden_spans(tokens: list[re.Match]) -> dict[int, int]:
@@ -117,7 +152,7 @@ def hidden_spans(tokens: list[re.Match]) -> dict[int, int]:
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, tuple, tuple, int, bool]] = [("", (), (), 0, False)]  # tag, path, words, evidence in force, in an article
+    stack: list[tuple[str, tuple, tuple]] = [("", (), ())]  # tag, path, names
     number, link, current = 0, 0, None
     tag_of_block, at = "", 0
 
@@ -128,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if not text.strip():
                 return
-            current = Block(path=stack[-1][1], words=stack[-1][2], evidence=stack[-1][3], semantic=stack[-1][4], tag=tag_of_block)
+            current = Block(path=stack[-1][1], names=stack[-1][2], tag=tag_of_block)
             out.append(current)
         current.parts.append(text)
         if link:
@@ -136,6 +171,7 @@ def blocks_of(page: str) -> list[Block]:
 
     tokens = list(TOKEN.finditer(page))
     spans = hidden_spans(tokens) if any((m[4] or "").lower() in HIDDEN for m in tokens) else {}
+    wraps = wrapping_forms(tokens) if any((m[4] or "").lower() == "form" for m in tokens) else set()
     past, hush = -1, False  # last token of a hidden element; whether one without an end tag is open
     for i, m in enumerate(tokens):
         if i <= past:
@@ -175,11 +211,10 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 if tag in ("li", "tr", "td", "th", "dt", "dd") and stack[-1][0] == tag:
                     stack.pop()
-                (_, path, words, before, semantic), says = stack[-1], telling(tag, m[5] or "")
-                if says == -2:
-                    says = 0 if before == 1 else -1
+                _, path, names = stack[-1]
                 number += 1
-                stack.append((tag, (*path, number), words + path_words(tag, m[5] or ""), says or before, semantic or tag in CONTENT_TAGS))
+                more = () if i in wraps else region_names(tag, m[5] or "", any(LABEL.get(x) == 1 for x in names))
+                stack.append((tag, (*path, number), names + more))
         elif m[3]:
             tag_of_block = ""
     put("" if hush else page[at:])
@@ -191,58 +226,128 @@ def blocks_of(page: str) -> list[Block]:
     return kept
 
 
-def features(blocks: list[Block], structure: bool = True) -> np.ndarray:
-    """One row a block: text features, evidence and outside-of-content flags, hashed path; without ``structure`` only the text."""
-    out = np.zeros((len(blocks), TEXT_FEATURES + 3 + PATH))
-    told = structure and any(b.evidence > 0 for b in blocks)
+def features(blocks: list[Block]) -> np.ndarray:
+    """Text features, one row a block."""
+    out = np.zeros((len(blocks), TEXT_FEATURES))
+    paragraphs = float(any(b.tag == "p" for b in blocks))
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
-        out[i, :TEXT_FEATURES] = [
+        out[i] = [
             1.0, math.log1p(words), min(1.0, b.linked / max(1, len(b.text))), sum(map(b.text.count, ".,!?;")) / words, float(b.text[-1] in ".!?\"'"),
-            float(b.tag == "p"), float(b.tag == "li"), float(len(b.tag) == 2 and b.tag[0] == "h"), min(12.0, len(b.text) / words), float(i == 0), float(i == len(blocks) - 1),
+            min(12.0, len(b.text) / words), float(i == 0), float(i == len(blocks) - 1),
+            float(b.tag == "p"), float(b.tag == "li"), float(len(b.tag) == 2 and b.tag[0] == "h"), paragraphs,
         ]
-        if structure:
-            out[i, TEXT_FEATURES : TEXT_FEATURES + 3] = b.evidence < 0, b.evidence > 0, told and b.evidence == 0
-            for w in set(b.words):
-                out[i, TEXT_FEATURES + 3 + zlib.crc32(w.encode()) % PATH] = 1.0
     return out
 
 
-#: Where learning starts and what it is drawn to: longer, less linked, punctuated text is content, and elements are what they say.
-DEFAULT = np.concatenate([[-2.5, 1.0, -4.0, 1.5, 0.8, 0.5, -0.8, 0.2, 0.0, -0.2, -0.5], [-6.0, 3.0, -1.5], np.zeros(PATH)])
-DRAW = 3e-3  # how much so
+#: Where learning starts and what it is drawn to: longer, less linked, punctuated text is content.
+TEXT_PRIOR = np.array([-2.5, 1.0, -4.0, 1.5, 0.8, 0.0, -0.2, -0.5, 0.5, -0.8, 0.2, 0.0])
+DRAW_TEXT, DRAW_NAMES = 1e-3, 1e-5  # how much so
 
 
 def labels_of(blocks: list[Block]) -> list[int]:
-    """1 content, 0 boilerplate, -1 unknown, by semantic elements: what an article or main holds, but for telling boilerplate in it."""
-    semantic = any(b.semantic for b in blocks)
-    return [0 if b.evidence < 0 else 1 if b.semantic else 0 if semantic else -1 for b in blocks]
-
-
-def fit(pages: list[str], steps: int = 12) -> np.ndarray:
-    """Logistic weights; the blocks that semantic elements label are the rows, each once with and once without its structure."""
-    xs, ys = [], []
-    for page in pages:
-        blocks = blocks_of(page or "")
-        y = np.array(labels_of(blocks))
-        known = y >= 0
-        if known.any():
-            xs += [features(blocks)[known], features(blocks, structure=False)[known]]
-            ys += [y[known], y[known]]
-    y = np.concatenate(ys).astype(float) if ys else np.zeros(0)
-    if len(y) < 20 or y.min() == y.max():
-        return DEFAULT
-    x = np.concatenate(xs)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w = DEFAULT.copy()
-    for _ in range(steps):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = (weight * (p - y)) @ x / len(y) + DRAW * (w - DEFAULT)
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + DRAW * np.eye(len(w))
-        w -= np.linalg.solve(curve, slope)
+    """1 content, 0 boilerplate, -1 unknown: content is what an article or main element holds, but for other regions' elements in it;
+    what a class there calls boilerplate stays unknown."""
+    semantic = any("article" in b.names or "main" in b.names for b in blocks)
+    out = []
+    for b in blocks:
+        against = [x for x in b.names if LABEL.get(x) == 0]
+        held = "article" in b.names or "main" in b.names
+        out.append(-1 if not semantic else 0 if not held or any(x in REGION_TAGS for x in against) else -1 if against else 1)
+    return out
+
+
+def outside_of(sums: list[float], told: list[bool]) -> list[bool]:
+    """Which blocks bear no telling name although the page has named content."""
+    named = any(s > 0 for s in sums)
+    return [named and not t for t in told]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: np.ndarray, start: np.ndarray, draw: float, steps: int = 25) -> np.ndarray:
+    """Newton steps from ``start``, drawn to it; ``weight`` sums to 1."""
+    w = start.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
+        slope = (weight * (p - y)) @ x + draw * (w - start)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + draw * np.eye(len(w))
+        move = np.linalg.solve(curve, slope)
+        w -= move * min(1.0, 4 / max(1e-9, np.abs(move).max()))
     return w
 
 
+def balanced(y: np.ndarray) -> np.ndarray:
+    share = y.mean()
+    return np.full(len(y), 1 / len(y)) if share in (0.0, 1.0) else np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+
+
+def text_gain(blocks: list[Block], weights: np.ndarray) -> np.ndarray:
+    return np.clip(features(blocks) @ weights, -TEXT_LIMIT, TEXT_LIMIT)
+
+
+def example_paths() -> list[tuple[tuple[str, ...], int]]:
+    """Names on a path with the label of what lies there: each region of ``REGIONS`` alone, and boilerplate within or around content."""
+    out = [((c,), 1) for c in REGIONS[1]] + [(("",), 0)]
+    for r in REGIONS[0]:
+        out += [((r,), 0), (("", r), 0), *(((c, r), 0) for c in REGIONS[1])]
+    return out
+
+
+def fit(pages: list[str]) -> Model:
+    """Text weights, name weights and ties; the blocks that semantic elements label are the rows."""
+    parsed = [(b, np.array(labels_of(b))) for b in (blocks_of(p or "") for p in pages) if b]
+    known = [(b, y) for b, y in parsed if (y >= 0).any()]
+    y = np.concatenate([y[y >= 0] for _, y in known]).astype(float) if known else np.zeros(0)
+    enough = len(y) >= 20 and y.min() < y.max()
+    text = TEXT_PRIOR
+    if enough:
+        x = np.concatenate([features(b)[y >= 0] for b, y in known])
+        plain = x.copy()
+        plain[:, KIND] = 0.0  # each block also without its element's kind, so that the text itself is learned
+        x, twice = np.concatenate([x, plain]), np.concatenate([y, y])
+        text = logistic(x, twice, balanced(twice), np.zeros(len(twice)), TEXT_PRIOR, DRAW_TEXT)
+
+    # the names, beside what the text says; examples come with texts for, without opinion and against
+    held = Counter(x for b, _ in parsed for x in {x for block in b for x in block.names})
+    frequent = sorted((x for x, n in held.items() if n >= NAME_PAGES and x not in LABEL), key=lambda x: (-held[x], x))[: NAMES - len(LABEL)]
+    column = {x: k for k, x in enumerate(["", *LABEL, *frequent])}
+    rows: Counter = Counter()
+    for names, label in example_paths():
+        for offset in (-TEXT_LIMIT, 0.0, TEXT_LIMIT):
+            rows[(frozenset(names), label, offset, True)] += 1
+    for b, labels in known if enough else ():
+        sums = [0.0 if any(LABEL.get(x) == 0 for x in block.names) else float(any(LABEL.get(x) == 1 for x in block.names)) for block in b]
+        bare = outside_of(sums, [any(x in LABEL for x in block.names) for block in b])
+        for block, label, gain, out in zip(b, labels, text_gain(b, text), bare, strict=True):
+            if label >= 0:
+                rows[(frozenset(x for x in (*block.names, *([""] if out else [])) if x in column), int(label), round(float(gain), 1), False)] += 1
+    kinds = sorted(rows, key=lambda r: (sorted(r[0]), *r[1:]))
+    x = np.zeros((len(kinds), len(column)))
+    for i, (names, *_rest) in enumerate(kinds):
+        x[i, [column[n] for n in names]] = 1.0
+    label, offset, example = (np.array([r[k] for r in kinds], float) for k in (1, 2, 3))
+    count = np.array([rows[r] for r in kinds], float)
+    weight = np.zeros(len(kinds))
+    for part in (0, 1):
+        for side in (0, 1):
+            chosen = (example == part) & (label == side)
+            if chosen.any():
+                weight[chosen] = count[chosen] / count[chosen].sum()
+    w = logistic(x, label, weight / weight.sum(), offset, np.zeros(len(column)), DRAW_NAMES)
+    names = {n: float(w[k]) for n, k in column.items() if n and abs(w[k]) >= SMALL}
+
+    same, other = np.zeros(FAR + 1), np.zeros(FAR + 1)
+    for b, labels in known:
+        for i in range(len(b) - 1):
+            if labels[i] >= 0 and labels[i + 1] >= 0:
+                (same if labels[i] == labels[i + 1] else other)[min(FAR, steps_between(b[i].path, b[i + 1].path))] += 1
+    ties = []
+    for steps in range(FAR + 1):
+        before, pairs = NEXT + NEAR * DECAY**steps, same[steps] + other[steps]
+        learned = min(NEXT + NEAR, max(0.0, math.log((same[steps] + 1) / (other[steps] + 1))))
+        ties.append((PSEUDO * before + pairs * learned) / (PSEUDO + pairs))
+    return Model(text, float(w[0]), names, ties)
+
+
 def steps_between(a: tuple[int, ...], b: tuple[int, ...]) -> int:
     """Steps from one container to another in the element tree."""
     common = 0
@@ -302,19 +407,28 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
             return [c != -2 for c in came]
 
 
-def terms(blocks: list[Block], weights: np.ndarray):
-    """Log-odds of content of each block, and the smoothness edges."""
-    gain = np.clip(features(blocks) @ weights, -12, 12).tolist()
-    edges = [(i, i + 1, NEXT + NEAR * DECAY ** steps_between(blocks[i].path, blocks[i + 1].path)) for i in range(len(blocks) - 1)]
+def terms(blocks: list[Block], model: Model):
+    """Log-odds of content of each block, and the smoothness edges.
+
+    Of the names on a path the strongest for and the strongest against count."""
+    told = [[model.names[x] for x in b.names if x in model.names] for b in blocks]
+    sums = [max([0.0, *t]) + min([0.0, *t]) for t in told]
+    bare = outside_of(sums, [bool(t) for t in told])
+    gain = [float(g) + s + (model.outside if o else 0.0) for g, s, o in zip(text_gain(blocks, model.text), sums, bare, strict=True)]
+    edges = [(i, i + 1, model.ties[min(FAR, steps_between(blocks[i].path, blocks[i + 1].path))]) for i in range(len(blocks) - 1)]
     last: dict[tuple, int] = {}
     for i, b in enumerate(blocks):  # nearest earlier block of the container, when others lie between
         if b.path in last and last[b.path] < i - 1:
-            edges.append((last[b.path], i, NEAR))
+            edges.append((last[b.path], i, model.ties[0]))
         last[b.path] = i
     return gain, edges
 
 
-def extract(page: str, weights: np.ndarray) -> str:
+#: Without pages to learn from.
+DEFAULT = fit([])
+
+
+def extract(page: str, weights: Model) -> str:
     """Main text of one page."""
     blocks = blocks_of(page)
     if not blocks:
@@ -322,13 +436,24 @@ def extract(page: str, weights: np.ndarray) -> str:
     return " ".join(b.text for b, inside in zip(blocks, min_cut(*terms(blocks, weights)), strict=True) if inside)
 
 
-def train(pages: DataFrame, sample_rows: int = 400) -> np.ndarray:
-    """Fit on at most ``sample_rows`` pages; the labels come from the pages' own semantic elements."""
+def train(pages: DataFrame, sample_rows: int = 400) -> Model:
+    """Fit on at most ``sample_rows`` pages, in a task of its own; the labels come from the pages' own semantic elements."""
     rows = bounded_sample(pages.where("page_id is not null and html is not null").select("page_id", F.col("html").cast("string")), "page_id", sample_rows)
-    return fit(rows.orderBy("page_id", "html").toArrow().column("html").to_pylist())
+
+    def run(batches):
+        pairs = sorted((k, h) for b in batches for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        if pairs:
+            m = fit([h for _, h in pairs])
+            yield pa.RecordBatch.from_arrays([pa.array([m.text.tolist()]), pa.array([m.outside]), pa.array([list(m.names)]), pa.array([list(m.names.values())]), pa.array([m.ties])], names=["text", "outside", "names", "weights", "ties"])
+
+    found = rows.coalesce(1).mapInArrow(run, "text array<double>, outside double, names array<string>, weights array<double>, ties array<double>").collect()
+    if not found:
+        return DEFAULT
+    m = found[0]
+    return Model(np.array(m["text"]), m["outside"], dict(zip(m["names"], m["weights"], strict=True)), list(m["ties"]))
 
 
-def extract_pages(pages: DataFrame, weights: np.ndarray) -> DataFrame:
+def extract_pages(pages: DataFrame, weights: Model) -> DataFrame:
     """page_id, url, text, n_chars of every row; null or empty html gives an empty text.
 
     Whole pages are read; every row gives a row, so that null and repeated page_ids stay and equal rows get equal results; of minimum

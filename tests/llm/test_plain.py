@@ -206,6 +206,50 @@ def test_pages_that_tell_nothing(spark, sf_dir):
     assert html_extraction.extract("<article><p>Long text, really good.</p>< 3 left over here", weights).endswith("< 3 left over here")
 
 
+A = "The first paragraph has words, and a few more of them, so it is prose."
+B = "The second paragraph has words too, and it goes on for a while, as prose does."
+C = "I liked this very much, thank you, and I will read the next one as well, of course."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><p>{A}</p></article><section class="comments"><article class="user_comment"><p>{C}</p><p>{C}</p></article></section>', A),
+        (f'<article><p>{A}</p></article><section id="comments"><article><p>{C}</p></article></section>', A),
+        (f'<div><p>{A}</p><p>{B}</p></div><section class="comments"><article><p>{C}</p></article></section>', f"{A} {B}"),
+        (f"<article><p>{A}</p></article><aside><article><p>{C}</p></article></aside>", A),
+        (f'<article><p>{A}</p><section id="share-prices"><p>{B}</p></section></article>', f"{A} {B}"),
+        (f'<article><p>{A}</p><blockquote class="ad-lib">{B}</blockquote></article>', f"{A} {B}"),
+        (f"<article><p>{A}</p><ul><li><a href=/m>Milk</a></li><li>Eggs</li></ul></article>", f"{A} Milk Eggs"),
+        (f"<body><form method=post><nav><a href=/>Home</a></nav><div><p>{A}</p><p>{B}</p></div><footer>(c) us</footer></form>", f"{A} {B}"),
+        (f"<body><form><table><tr><td><p>{A}</p><p>{B}</p></td></tr></table></form>", f"{A} {B}"),
+        (f'<article><header><h1>Its title</h1></header><p>{A}</p><div class="ad">{C}</div><div class="related-posts"><p>{C}</p></div></article>', f"Its title {A}"),
+        (f'<div id="content"><h1>Head</h1><p>{A}</p></div><div id="sidebar-left"><p>{C}</p></div><div class="site-footer">{C}</div><div class="cookie-notice">{C}</div>', f"Head {A}"),
+        (f'<main><article><p>{A}</p></article><form class="newsletter"><p>Write down your e-mail, please, and we will send you news.</p></form></main>', A),
+        (f'<div class="post"><div class="post-header"><h1>Head</h1></div><div class="comment-list"><p>{C}</p></div><p>{B}</p></div>', f"Head {B}"),
+        (f'<div class="postBody hasSidebar"><p>{A}</p></div><div class="shareButtons">{C}</div><div role="complementary">{C}</div>', A),
+    ],
+)
+def test_regions_within_regions(page, want):
+    """Comments, asides and forms hold articles and the other way round; words that only begin like a region's name tell nothing."""
+    assert html_extraction.extract(page, html_extraction.DEFAULT) == want
+
+
+def test_the_cut_lowers_the_error_on_pages_of_one_element(spark, sf_dir):
+    """Learned on half of the pages; in the other half every element becomes a plain division."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").collect()]
+    model = html_extraction.fit(pages[::2])
+    alone = joint = 0
+    for page in pages[1::2]:
+        want = html_extraction.labels_of(html_extraction.blocks_of(page))
+        bare = re.sub(r"<(/?)(article|nav|footer|p|h1|li|ul)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", page))
+        blocks = html_extraction.blocks_of(bare)
+        gain, edges = html_extraction.terms(blocks, model)
+        alone += sum((g > 0) != bool(w) for g, w in zip(gain, want, strict=True))
+        joint += sum(c != bool(w) for c, w in zip(html_extraction.min_cut(gain, edges), want, strict=True))
+    assert joint < alone
+
+
 def test_html_repeated_and_null_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>One sentence, of some words, is here.</p>", "x")] * 2 + [(None, None, None, "x")], "page_id long, url string, html string, text string")
     rows = html_extraction.extract_pages(pages, html_extraction.DEFAULT).collect()

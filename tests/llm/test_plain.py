@@ -271,6 +271,13 @@ def test_settled_needs_a_shared_folder(spark):
     assert spark.read.schema("id long").parquet(path).count() == 0 and spark.conf.get("spark.checkpoint.dir") == before
 
 
+def test_a_discarded_table_is_not_read_as_empty(spark):
+    table = common.settled(spark.range(7))
+    common.discard(table)
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        table.agg(F.sum("id")).collect()
+
+
 # the pipeline's stages
 
 

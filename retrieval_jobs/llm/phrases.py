@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, discard, has_bits, mix, packed_bits, settled, span_hashes, text_blocks, unpacked_bits, words_of
+from .common import bitmap, discard, has_bits, mix, packed_bits, settled, span_hashes, text_blocks, together, unpacked_bits, words_of
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 SHARDS = 3
@@ -150,7 +150,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     shard = F.pmod(F.xxhash64("lang", "text"), F.lit(shards))
     parts = [settled(docs.where(shard == s)) for s in range(shards)]
     counts: list[DataFrame] = []  # of the last circle of steps
-    found: list[DataFrame] = []  # what reached the threshold in each step
+    found: DataFrame | None = None  # what reached the threshold in all steps
     bits = [np.zeros(FILTER_BITS // 8, np.uint8)]  # of what may be part of a longer phrase: all of it, then by step of the last circle
     step = 0
     while step < shards or any(b.any() for b in bits[1:]):
@@ -159,13 +159,15 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
         told.destroy()
         discard(*counts[:-shards])
         counts = counts[-shards:]
-        found.append(settled(_reached(counts, found, min_count)))
-        new = bitmap(found[-1].where(F.col("h").bitwiseAND(F.lit(int(_LENGTHS))) < longest), FILTER_BITS)
+        reached = settled(_reached(counts, found, min_count))
+        found = together(found, reached) if found else reached
+        new = bitmap(reached.where(F.col("h").bitwiseAND(F.lit(int(_LENGTHS))) < longest), FILTER_BITS)
         bits = [bits[0] | new, *[*bits[1:], new][-shards:]]
         step += 1
-    told = spark.sparkContext.broadcast(packed_bits(bitmap(_union(found), FILTER_BITS)))
-    exact = settled(_by_words(_union(parts), told, longest).where((F.col("n") >= min_count) | (F.col("phrase") == "")))
-    discard(*counts, *found, *parts)
+    told = spark.sparkContext.broadcast(packed_bits(bitmap(found, FILTER_BITS)))
+    exact = settled(_by_words(together(*parts), told, longest).where((F.col("n") >= min_count) | (F.col("phrase") == "")))
+    told.destroy()
+    discard(*counts, found, *parts)
     return exact
 
 
@@ -173,17 +175,16 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, tables)
 
 
-def _reached(counts: list[DataFrame], before: list[DataFrame], min_count: int) -> DataFrame:
+def _reached(counts: list[DataFrame], before: DataFrame | None, min_count: int) -> DataFrame:
     """(h): what reaches the threshold in the counts of a circle and hasn't before.
 
-    A sum reaches it only if one of its parts reaches its share of it: only such phrases are summed up, where the counts lie."""
+    A sum reaches it only if one of its parts reaches its share of it: only such phrases are summed up, where the counts lie. Those of before
+    go last: what is joined to each of the counts is worked out by each of these joins."""
     share = -(-min_count // len(counts))
-    likely = _union([c.where(F.col("n") >= share).select("h") for c in counts])
-    if before:
-        likely = likely.join(_union(before), "h", "left_anti")
-    likely = likely.distinct()
+    likely = _union([c.where(F.col("n") >= share).select("h") for c in counts]).distinct()
     parts = _union([c.join(likely.hint("shuffle_hash"), "h", "left_semi") for c in counts])
-    return parts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h")
+    sums = parts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h")
+    return sums.join(before, "h", "left_anti") if before else sums
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS) -> DataFrame:

@@ -176,3 +176,17 @@ def test_frequencies_of_all_lengths(spark):
     for least in (5, 40):
         got = {(r.lang, r.phrase): r.n for r in phrases.frequent_phrases(docs, least).collect()}
         assert got == {k: n for k, n in want.items() if n >= least or k[1] == ""}
+
+
+def test_plans_of_phrases_do_not_grow_with_the_steps(spark, monkeypatch):
+    """The driver holds the plans of every step: each scans its three counts, what is likely in them for each, and all that was found before at once."""
+    sizes, kept = [], phrases.settled
+
+    def settled(df, by=None):
+        sizes.append((by, len(df._jdf.queryExecution().executedPlan().collectLeaves().mkString("\n").split("FileScan parquet")) - 1))
+        return kept(df, by)
+
+    monkeypatch.setattr(phrases, "settled", settled)
+    phrases.frequent_phrases(repeated(spark, 70).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")), 40)
+    assert sum(by == "h" for by, _ in sizes) > 4
+    assert max(n for _, n in sizes) <= 13

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix, one_per_id, settled, span_hashes, text_blocks
+from .common import all_span_hashes, discard, mix, one_per_id, prefix_sums, settled, span_hashes, text_blocks
 
 WINDOW, CORE = 100, 24
 SPAN = WINDOW - CORE + 1  # places of the anchor in a window
@@ -29,32 +29,31 @@ COPIES = 4096  # later occurrences of blocks under one anchor that one collectio
 COLLECTION = 20_000  # blocks that one sort takes, whole anchors at a time
 
 
-def anchored_blocks(buf: np.ndarray, offsets: np.ndarray):
-    """Runs of windows with one anchor: document, first window, windows, anchor (all places in ``buf``)."""
-    none = (np.zeros(0, np.int64),) * 4
-    if len(buf) < WINDOW:
-        return none
-    places = np.arange(len(buf) - CORE + 1)
-    low = span_hashes(buf, places, places + CORE, lower=False) & np.uint64(0xFFFFFFFF00000000)
-    low |= places.astype(np.uint64)  # equal hashes: the leftmost place
+def anchored_blocks(sums: np.ndarray, offsets: np.ndarray):
+    """Runs of windows with one anchor: document, first window, windows, anchor (all places in the text), by the ``prefix_sums`` of the text."""
+    begin, end = offsets[:-1], offsets[1:] - (WINDOW - 1)  # the first window of a document, and after its last
+    begin, end = begin[end > begin], end[end > begin]
+    if not len(begin):
+        return (np.zeros(0, np.int64),) * 4
+    low = all_span_hashes(sums, CORE)
+    low &= np.uint64(0xFFFFFFFF00000000)
+    low |= np.arange(len(low), dtype=np.uint64)  # equal hashes: the leftmost place
     width = 1
     while width * 2 <= SPAN:
         low = np.minimum(low[: len(low) - width], low[width:])
         width *= 2
     low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
-    anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    start = np.arange(len(anchor))
-    doc = np.searchsorted(offsets, start, "right") - 1
-    inside = start + WINDOW <= offsets[doc + 1]
-    new = np.ones(len(start), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-    new &= inside
-    first = np.flatnonzero(new)
-    if not len(first):
-        return none
-    # windows in the run: valid windows up to the next run
-    count = np.add.reduceat(inside.astype(np.int64), first)
-    return doc[first], first, count, anchor[first]
+    new = np.ones(len(low), bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[begin] = True
+    step = np.zeros(len(low) + 1, np.int8)
+    step[begin] = 1
+    step[end] -= 1  # the windows from here on cross documents
+    first = np.flatnonzero(new & np.cumsum(step[:-1], dtype=np.int8).view(bool))
+    doc = np.searchsorted(offsets, first, "right") - 1
+    # windows in the run: up to the next run, or the last of the document
+    count = np.minimum(np.r_[first[1:], len(low)], offsets[doc + 1] - (WINDOW - 1)) - first
+    return doc, first, count, (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -78,11 +77,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, buf, offsets in text_blocks(batch):
-                doc, first, count, anchor = anchored_blocks(buf, offsets)
+                sums = prefix_sums(buf, lower=False)
+                doc, first, count, anchor = anchored_blocks(sums, offsets)
                 if not len(doc):
                     continue
-                key = span_hashes(buf, anchor, anchor + CORE, lower=False)
-                block = span_hashes(buf, first, first + count + WINDOW - 1, lower=False)
+                key = span_hashes(buf, anchor, anchor + CORE, sums=sums)
+                block = span_hashes(buf, first, first + count + WINDOW - 1, sums=sums)
                 cols = [key.view(np.int64), block.view(np.int64), ids[lo + doc], first - offsets[doc], count, anchor - first]
                 for a in range(0, len(doc), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000]) for c in cols], names=["key", "block", "doc_id", "start", "n", "at"])
@@ -228,7 +228,7 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, at: np.ndarray, data: l
     rank = np.empty(m, np.int64)
     rank[by] = np.cumsum(np.r_[0, (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1])])
     order, common = np.arange(m), np.zeros(m, np.int16)
-    late = np.zeros((m, columns + 1), bool)
+    late = np.zeros((columns + 1, m), bool)
     for c in range(columns - 1, -1, -1):
         bwt = symbols[c][order]
         move = np.argsort(bwt, kind="stable")
@@ -241,8 +241,8 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, at: np.ndarray, data: l
             runs = np.flatnonzero(fresh < WINDOW)
             r = rank[order]
             best = np.repeat(np.minimum.reduceat(r, runs), np.diff(np.r_[runs, m]))
-            late[order, c] = r > best
-    edge = np.diff(late.astype(np.int8), axis=1, prepend=0)
+            late[c][order] = r > best
+    edge = np.diff(np.ascontiguousarray(late.T).view(np.int8), axis=1, prepend=0)
     r0, c0 = np.nonzero(edge == 1)
     _, c1 = np.nonzero(edge == -1)
     return doc[r0], place[r0] + c0 - left, place[r0] + c1 - left + WINDOW - 1

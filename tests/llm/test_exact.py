@@ -54,6 +54,22 @@ def test_suffix_dedup(spark, monkeypatch, hot, copies):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == want
 
 
+def test_anchors_from_one_pass_of_sums():
+    """Blocks, anchors and the hashes of both come from prefix sums taken once; each window lies in one block, at the anchor of least hash."""
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        offsets = np.r_[0, np.cumsum(rng.integers(0, 260, rng.integers(0, 6)))].astype(np.int64)
+        buf = rng.integers(97, 99, offsets[-1]).astype(np.uint8)
+        sums = suffix_dedup.prefix_sums(buf, lower=False)
+        spans = [int(suffix_dedup.span_hashes(buf, np.array([p]), np.array([p + 24]), lower=False)[0]) for p in range(len(buf) - 23)]
+        want = [(d, w, min(range(w, w + 77), key=lambda p: (spans[p] >> 32, p))) for d in range(len(offsets) - 1) for w in range(offsets[d], offsets[d + 1] - 99)]
+        blocks = list(zip(*(x.tolist() for x in suffix_dedup.anchored_blocks(sums, offsets)), strict=True))
+        assert [(d, w, a) for d, first, n, a in blocks for w in range(first, first + n)] == want
+        assert all(a[0] != b[0] or a[3] != b[3] for a, b in zip(blocks, blocks[1:], strict=False))
+        at = np.array([a for *_, a in blocks], np.int64)
+        assert suffix_dedup.span_hashes(buf, at, at + 24, sums=sums).tolist() == [spans[a] for a in at]
+
+
 def test_suffix_dedup_empty_and_repeated(spark):
     docs = documents(spark, ["x " * 100])
     assert suffix_dedup.remove_repeats(docs.where("false")).count() == 0

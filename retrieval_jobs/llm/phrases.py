@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, discard, has_bits, mix, packed_bits, settled, span_hashes, text_blocks, together, unpacked_bits, words_of
+from .common import bitmap, discard, has_bits, mix, packed_bits, partitions, settled, span_hashes, text_blocks, together, unpacked_bits, words_of
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 SHARDS = 3
@@ -159,7 +159,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
         told.destroy()
         discard(*counts[:-shards])
         counts = counts[-shards:]
-        reached = settled(_reached(counts, found, min_count))
+        reached = settled(_reached(counts, found, min_count), fixed=True)
         found = together(found, reached) if found else reached
         new = bitmap(reached.where(F.col("h").bitwiseAND(F.lit(int(_LENGTHS))) < longest), FILTER_BITS)
         bits = [bits[0] | new, *[*bits[1:], new][-shards:]]
@@ -184,7 +184,8 @@ def _reached(counts: list[DataFrame], before: DataFrame | None, min_count: int)
     likely = _union([c.where(F.col("n") >= share).select("h") for c in counts]).distinct()
     parts = _union([c.join(likely.hint("shuffle_hash"), "h", "left_semi") for c in counts])
     sums = parts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h")
-    return sums.join(before, "h", "left_anti") if before else sums
+    new = sums.join(before, "h", "left_anti") if before else sums
+    return new.coalesce(-(-partitions(new.sparkSession) // 8))  # few rows are left
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS) -> DataFrame:

@@ -12,7 +12,6 @@ that reached the threshold by their words, so that two phrases of one hash are t
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, discard, has_bits, mix, packed_bits, partitions, settled, span_hashes, text_blocks, together, unpacked_bits, words_of
+from .common import Circle, bitmap, discard, has_bits, mix, packed_bits, partitions, settled, span_hashes, text_blocks, together, unpacked_bits, words_of
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 SHARDS = 3
@@ -150,6 +149,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     shard = F.pmod(F.xxhash64("lang", "text"), F.lit(shards))
     parts = [settled(docs.where(shard == s)) for s in range(shards)]
     counts: list[DataFrame] = []  # of the last circle of steps
+    circle = Circle(spark, "h long, n long", "h")  # they together
     found: DataFrame | None = None  # what reached the threshold in all steps
     bits = [np.zeros(FILTER_BITS // 8, np.uint8)]  # of what may be part of a longer phrase: all of it, then by step of the last circle
     step = 0
@@ -157,9 +157,11 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
         told = spark.sparkContext.broadcast(packed_bits(bits[0], np.bitwise_or.reduce(bits[1:]) if step else bits[0]))
         counts.append(settled(_scan(parts[step % shards], told, step < shards, longest), by="h"))
         told.destroy()
+        circle.leave(step - shards)
+        circle.add(counts[-1], step)
         discard(*counts[:-shards])
         counts = counts[-shards:]
-        reached = settled(_reached(counts, found, min_count), fixed=True)
+        reached = settled(_reached(circle.rows(), len(counts), found, min_count), fixed=True)
         found = together(found, reached) if found else reached
         new = bitmap(reached.where(F.col("h").bitwiseAND(F.lit(int(_LENGTHS))) < longest), FILTER_BITS)
         bits = [bits[0] | new, *[*bits[1:], new][-shards:]]
@@ -167,25 +169,19 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     told = spark.sparkContext.broadcast(packed_bits(bitmap(found, FILTER_BITS)))
     exact = settled(_by_words(together(*parts), told, longest).where((F.col("n") >= min_count) | (F.col("phrase") == "")))
     told.destroy()
+    circle.drop()
     discard(*counts, found, *parts)
     return exact
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, tables)
+def _reached(counts: DataFrame, steps: int, before: DataFrame | None, min_count: int) -> DataFrame:
+    """(h): what reaches the threshold in the counts of a circle of ``steps`` and hasn't before.
 
-
-def _reached(counts: list[DataFrame], before: DataFrame | None, min_count: int) -> DataFrame:
-    """(h): what reaches the threshold in the counts of a circle and hasn't before.
-
-    A sum reaches it only if one of its parts reaches its share of it: only such phrases are summed up, where the counts lie. Those of before
-    go last: what is joined to each of the counts is worked out by each of these joins."""
-    share = -(-min_count // len(counts))
-    likely = _union([c.where(F.col("n") >= share).select("h") for c in counts]).distinct()
-    parts = _union([c.join(likely.hint("shuffle_hash"), "h", "left_semi") for c in counts])
-    sums = parts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h")
+    A sum reaches it only if one of its parts reaches its share of it: only such phrases are summed up, where the counts lie, without an exchange."""
+    likely = counts.where(F.col("n") >= -(-min_count // steps)).select("h").distinct()
+    sums = counts.join(likely.hint("shuffle_hash"), "h", "left_semi").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h")
     new = sums.join(before, "h", "left_anti") if before else sums
-    return new.coalesce(-(-partitions(new.sparkSession) // 8))  # few rows are left
+    return new.coalesce(-(-partitions(new.sparkSession) // 3))  # few rows are left
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS) -> DataFrame:

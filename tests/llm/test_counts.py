@@ -4,12 +4,13 @@ import collections
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from retrieval_jobs.llm import divergence, phrases, queries, token_counts
+from retrieval_jobs.llm import common, divergence, phrases, queries, token_counts
 from tests.test_oracles import rows
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -192,3 +193,33 @@ def test_plans_of_phrases_do_not_grow_with_the_steps(spark, monkeypatch):
     assert sum(by == "h" for by, _, _ in sizes) == sum(fixed for _, fixed, _ in sizes) > 4
     assert max(n for _, _, n in sizes) <= 13
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_a_step_sums_its_counts_where_they_lie(spark):
+    """No count of a circle goes through an exchange, and only the newest parts are read; bitmaps come to the driver in one job."""
+    circle = common.Circle(spark, "h long, n long", "h")
+    tables = [common.settled(spark.createDataFrame(rows, "h long, n long").repartition(4, "h"), by="h") for rows in ([(1, 9), (2, 9), (3, 1)], [(1, 3), (3, 4), (4, 2)], [(1, 1), (3, 2), (4, 9)])]
+    for k, t in enumerate(tables):
+        circle.add(t, k)
+    circle.add(common.settled(spark.createDataFrame([], "h long, n long"), by="h"), 3)
+    new = phrases._reached(circle.rows(), 3, None, 7)
+    spark.conf.set(common.ADAPTIVE, "false")
+    try:
+        plan = phrases._reached(circle.rows(), 3, None, 7)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(common.ADAPTIVE)
+    assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+    assert {r.h for r in new.collect()} == {1, 2, 3, 4}
+    circle.leave(0)
+    assert {r.h for r in phrases._reached(circle.rows(), 2, spark.createDataFrame([(4,)], "h long"), 6).collect()} == {3}
+    circle.drop()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("bits of many partitions", "")
+    try:
+        bits = common.bitmap(spark.range(0, 1 << 20, 40_000).select("id"), 1 << 20)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bits of many partitions")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setJobGroup("others", "")
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == list(range(0, 1 << 20, 40_000))
+    assert len(jobs) <= 2

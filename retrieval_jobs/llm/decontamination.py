@@ -27,6 +27,8 @@ EXACT_TOKENS, EXACT_BYTES = 3, 12
 PLAIN, OPENED, EXACT = 1, 2, 4  # kinds of windows, as bits: openers literal, openers as names, raw tokens
 #: Benchmark windows up to this many (16 MB of hashes) are sent to the tasks; more are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Text bytes that one pass holds at a time: some ten arrays of 8 bytes a text byte stand beside each other.
+BLOCK = 256 << 10
 
 # Units that may follow a number.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches l ml liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent $ usd eur dollars dollar euros euro cents kwh w kw v a hz km/h mph c f degrees".split()
@@ -189,7 +191,7 @@ def template_windows(df: DataFrame, key: str, wanted=None, exact: list[int] | No
     def run(batches):
         for batch in batches:
             keys = batch.column(0)
-            for lo, _, buf, offsets in text_blocks(batch):
+            for lo, _, buf, offsets in text_blocks(batch, max_bytes=BLOCK):
                 if len(buf) == 0 or not (found := of_block(buf, offsets)):
                     continue
                 owner, pos, win, slots, kind, size = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -252,6 +254,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct()
+    """``docs`` without the documents that hold a benchmark item; rows with a null doc_id stay.
+
+    Those documents are found first: the few ids can then be sent to the texts, which need no shuffle beside the search."""
+    bad = settled(contaminated(docs, benchmark, **options).select("doc_id").distinct())
     return docs.join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")

@@ -214,3 +214,13 @@ def test_blocks_are_whole_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(["a", None, "bb" * 10, ""])], names=["text"])
     runs = list(text_blocks(batch, max_bytes=3))
     assert [(lo, hi) for lo, hi, _, _ in runs][0][0] == 0 and sum(hi - lo for lo, hi, _, _ in runs) == 4
+
+
+def test_texts_are_not_shuffled_to_drop_contaminated_ones(spark):
+    """The search for items ends before its few ids meet the texts: no text waits in a shuffle beside it."""
+    item = "How many apples does the farmer sell on the market in one long week"
+    docs = documents(spark, [f"Before it. {item}. After it.", "nothing of that kind is said in these few words", None])
+    out = decontamination.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "MapInArrow" not in plan and "BroadcastHashJoin" in plan
+    assert [r.doc_id for r in out.collect()] == [1, 2]

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, dealt, discard, mix, one_per_id, settled, shingle_sets, text_blocks
 
 WORDS = 5
+#: Text bytes that one pass holds at a time: some ten arrays of 8 bytes a text byte stand beside each other.
+BLOCK = 256 << 10
 #: A shingle that so many sets of one task's share hold is reported as widespread; the order of shingles needs no exact count.
 WIDESPREAD_IN_TASK, WIDESPREAD = 2, 16
 #: Widespread shingles that the order knows (8 bytes each, so 1.6 MB are broadcast); others count as rare, which costs time, not links.
@@ -61,7 +63,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(v), np.int32)), zero, pa.array(c.astype(np.int64)), pa.array(v.view(np.int64)), zero, pa.nulls(len(v), pa.binary())], names=["kind", "doc_id", "n", "h1", "h2", "bits"])
 
         for batch in batches:
-            for lo, hi, buf, offsets in text_blocks(batch):
+            for lo, hi, buf, offsets in text_blocks(batch, max_bytes=BLOCK):
                 values, at = shingle_sets(buf, offsets, WORDS)
                 h1, h2 = set_hashes(values, at)
                 n = np.diff(at)
@@ -96,7 +98,7 @@ def prefixes(docs: DataFrame, widespread: np.ndarray, sets: np.ndarray) -> DataF
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, offsets in text_blocks(batch):
+            for lo, hi, buf, offsets in text_blocks(batch, max_bytes=BLOCK):
                 values, at = shingle_sets(buf, offsets, WORDS)
                 h1, h2 = set_hashes(values, at)
                 fresh = np.zeros(hi - lo, bool)
@@ -199,7 +201,7 @@ def with_sets(rows: DataFrame, row_of, schema: pa.Schema) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             asked = batch.column(2)
-            for lo, hi, buf, offsets in text_blocks(batch):
+            for lo, hi, buf, offsets in text_blocks(batch, max_bytes=BLOCK):
                 values, at = shingle_sets(buf, offsets, WORDS)
                 out, held = [], 0
                 for i in range(hi - lo):

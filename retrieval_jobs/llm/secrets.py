@@ -98,7 +98,9 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
         ("word word, ", "words", " word", "web", 0), ('token = "', "example", '"', "tests/test_auth.py", 0), ('api_key: "', "xxxx", '"', "docs/example.md", 0), ("integrity=sha512-", "base64", "\n", "lock", 0),
         ("word ", "hex40", " word", "web", 0), ("| ", "digits16", " | word", "web", 0), ("build ", "hex12d", "\n", "ci", 0), ("word. ", "mixed20w", " word", "web", 0), ("tel ", "phone", " ", "web", 0),
     ]
-    shape = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "t int, before string, kind string, after string, path string, label int")
+    names = ("t", "before", "kind", "after", "path", "label")
+    # literals of the plan: rows of a Python list would start Python workers of another kind on every executor, which stay
+    shape = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, (i, *t), strict=True)]) for i, t in enumerate(templates)])))
     r = spark.range(rows).withColumn("t", (F.col("id") % len(templates)).cast("int")).withColumn("h", F.sha2(F.concat(F.lit("finding"), F.col("id")).cast("binary"), 256))
     r = r.withColumn("h2", F.translate(F.base64(F.unhex("h")), "+/=", "xY0"))
     r = r.withColumn("d", F.translate("h", "abcdef", "123456")).join(F.broadcast(shape), "t")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,43 +136,38 @@ def block_bytes(docs: DataFrame, asks: DataFrame) -> DataFrame:
         for batch in batches:
             ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             for lo, hi, buf, offsets in text_blocks(batch):
-                out, held = [], 0
-                data = buf.tobytes()
-                for i in range(lo, hi):
-                    base = int(offsets[i - lo])
-                    fields = column[i].values
-                    for key, part, start, n, at, hot in zip(*(fields.field(k).to_pylist() for k in range(6)), strict=True):
-                        if not hot:
-                            out.append((1, key, part, 0, ids[i], start, n, at, data[base + start : base + start + n + WINDOW - 1]))
-                            continue
-                        # windows whose anchor lies STEP * q to STEP * q + STEP - 1 bytes inside them
-                        for q in range(-(-SPAN // STEP)):
-                            s = max(start, start + at - STEP * q - STEP + 1)
-                            e = min(start + n - 1, start + at - STEP * q)
-                            if s <= e:
-                                core = start + at - STEP * q
-                                out.append((2, core, 0, q, ids[i], s, e - s + 1, core - s, data[base + s : base + e + WINDOW]))
-                    if len(out) >= 20_000:
-                        yield pieces_batch(out)
-                        out = []
-                if out:
-                    yield pieces_batch(out)
+                own = column.slice(lo, hi - lo)
+                row = np.repeat(np.arange(hi - lo), pc.list_value_length(own).to_numpy())
+                key, part, start, n, at, hot = (c.to_numpy(zero_copy_only=False) for c in own.flatten().flatten())
+                base, doc, data = offsets[row], ids[lo + row], buf.tobytes()
+                one = np.flatnonzero(~hot)
+                yield from piece_batches(data, base[one], 1, key[one], part[one], 0, doc[one], start[one], n[one], at[one])
+                if not hot.any():
+                    continue
+                sums = prefix_sums(buf, lower=False)
+                # windows whose anchor lies STEP * q to STEP * q + STEP - 1 bytes inside them
+                for q in range(-(-SPAN // STEP)):
+                    core = start + at - STEP * q
+                    s, e = np.maximum(start, core - STEP + 1), np.minimum(start + n - 1, core)
+                    two = np.flatnonzero(hot & (s <= e))
+                    b, s, e, core = base[two], s[two], e[two], core[two]
+                    # keys are hashes of the common strings, told apart by q
+                    common = mix(span_hashes(buf, b + core, b + core + WINDOW - STEP + 1, sums=sums) + np.uint64(q)).view(np.int64)
+                    block = span_hashes(buf, b + s, b + e + WINDOW, sums=sums).view(np.int64)
+                    yield from piece_batches(data, b, 2, common, 0, block, doc[two], s, e - s + 1, core - s)
 
     return docs.join(asked, "doc_id").select("doc_id", "text", "asks").mapInArrow(run, PIECES)
 
 
-def pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
-    level, key, part, block, doc, start, n, at, data = zip(*rows, strict=True)
-    level, key, block, at = np.array(level, np.int32), np.array(key, np.int64), np.array(block, np.int64), np.array(at, np.int64)
-    size = np.array([len(x) for x in data])
-    ends = np.cumsum(size)
-    buf = np.frombuffer(b"".join(data), np.uint8)
-    two = level == 2
-    if two.any():  # keys are hashes of the common strings, told apart by q
-        b0 = (ends - size)[two] + at[two]
-        key[two] = mix(span_hashes(buf, b0, b0 + WINDOW - STEP + 1, lower=False) + block[two].astype(np.uint64)).view(np.int64)
-        block[two] = span_hashes(buf, (ends - size)[two], ends[two], lower=False).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(level), pa.array(key), pa.array(part, pa.int64()), pa.array(block), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(at), pa.array(data, pa.binary())], names=["level", "key", "part", "block", "doc_id", "start", "n", "at", "bytes"])
+def piece_batches(data: bytes, base: np.ndarray, level: int, key, part, block, doc, start, n, at):
+    """Rows of ``PIECES``, some at a time; ``base`` is where their documents begin in ``data``."""
+    begin = base + start
+    columns = [np.broadcast_to(np.asarray(c, np.int64), len(base)) for c in (key, part, block, doc, start, n, at)]
+    for a in range(0, len(base), 20_000):
+        cut = [pa.array(c[a : a + 20_000]) for c in columns]
+        ends = begin[a : a + 20_000] + n[a : a + 20_000] + (WINDOW - 1)
+        pieces = [data[x:y] for x, y in zip(begin[a : a + 20_000].tolist(), ends.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), level, np.int32)), *cut, pa.array(pieces, pa.binary())], names=["level", "key", "part", "block", "doc_id", "start", "n", "at", "bytes"])
 
 
 def single_windows(pieces: DataFrame) -> DataFrame:
@@ -209,39 +205,49 @@ def range_minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
-def repeated_windows(doc: np.ndarray, start: np.ndarray, at: np.ndarray, data: list[bytes]):
-    """Ranges (doc, start, end) of windows of the blocks that occur in an earlier block.
+def repeated_windows(doc: np.ndarray, start: np.ndarray, at: np.ndarray, data: list[bytes], anchor: np.ndarray):
+    """Ranges (doc, start, end) of windows of the blocks that occur in an earlier block of their anchor (numbered in order from 0).
 
     Blocks are aligned at their anchors, so equal windows start in the same column; the columns are
-    inserted from the last to the first."""
+    inserted from the last to the first. An anchor keeps its places in the order, so that a column moves
+    and compares only suffixes of one anchor."""
     m, left = len(doc), int(at.max())
-    size = np.array([len(x) for x in data])
-    columns = left + int((size - at).max())
-    pad = 256
-    symbols = np.full((columns, m), pad, np.uint16)
-    row = np.repeat(np.arange(m), size)
-    col = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(left - at, size)
-    symbols[col, row] = np.frombuffer(b"".join(data), np.uint8)
+    size = np.fromiter(map(len, data), np.int64, m)
+    columns, lead, pad = left + int((size - at).max()), left - at, 256
+    text = b"".join([x.rjust(n).ljust(columns) for x, n in zip(data, (lead + size).tolist(), strict=True)])
+    symbols = np.ascontiguousarray(np.frombuffer(text, np.uint8).reshape(m, columns).T).astype(np.int32)
+    column = np.arange(columns)[:, None]
+    symbols[(column < lead) | (column >= lead + size)] = pad
+    symbols += (anchor * (2 * pad)).astype(np.int32)
     place = start + at
     # a first occurrence may be here once for each part of its anchor: equal places have equal ranks
     by = np.lexsort((place, doc))
     rank = np.empty(m, np.int64)
     rank[by] = np.cumsum(np.r_[0, (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1])])
     order, common = np.arange(m), np.zeros(m, np.int16)
-    late = np.zeros((columns + 1, m), bool)
+    late = np.zeros((columns - WINDOW + 2, m), bool)
     for c in range(columns - 1, -1, -1):
-        bwt = symbols[c][order]
-        move = np.argsort(bwt, kind="stable")
-        sym, fresh = bwt[move], np.zeros(m, np.int16)
-        same = np.flatnonzero((sym[1:] == sym[:-1]) & (sym[1:] != pad)) + 1
-        if len(same):
-            fresh[same] = np.minimum(range_minima(common, move[same - 1] + 1, move[same]), WINDOW - 1) + 1
-        order, common = order[move], fresh
-        if c <= columns - WINDOW and (fresh >= WINDOW).any():
-            runs = np.flatnonzero(fresh < WINDOW)
-            r = rank[order]
-            best = np.repeat(np.minimum.reduceat(r, runs), np.diff(np.r_[runs, m]))
-            late[c][order] = r > best
+        sym, fresh = symbols[c][order], np.zeros(m, np.int16)
+        if (sym[1:] < sym[:-1]).any():
+            move = np.argsort(sym, kind="stable")
+            sym, order = sym[move], order[move]
+            same = (sym[1:] == sym[:-1]) & (sym[1:] & pad == 0)
+            near = common[move[1:]]
+            far = np.flatnonzero(same & (move[1:] != move[:-1] + 1))  # no neighbours before
+            near[far] = range_minima(common, move[far] + 1, move[far + 1])
+        else:
+            same, near = (sym[1:] == sym[:-1]) & (sym[1:] & pad == 0), common[1:]
+        np.multiply(np.minimum(near, WINDOW - 1) + 1, same, out=fresh[1:])
+        common = fresh
+        if c <= columns - WINDOW:
+            again = fresh >= WINDOW
+            at_run = again.copy()
+            at_run[:-1] |= again[1:]
+            runs = np.flatnonzero(at_run)
+            if len(runs):
+                first, who = np.flatnonzero(~again[runs]), order[runs]
+                r = rank[who]
+                late[c][who] = r > np.repeat(np.minimum.reduceat(r, first), np.diff(np.r_[first, len(r)]))
     edge = np.diff(np.ascontiguousarray(late.T).view(np.int8), axis=1, prepend=0)
     r0, c0 = np.nonzero(edge == 1)
     _, c1 = np.nonzero(edge == -1)
@@ -255,7 +261,8 @@ def sorted_collections(pieces: DataFrame) -> DataFrame:
         if len(keys) < 2:
             return None
         doc, start, at = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        d, s, e = merged(*repeated_windows(doc, start, at, [x for r in rows for x in r[3]]))
+        anchor = np.cumsum(np.r_[0, keys[1:] != keys[:-1]])
+        d, s, e = merged(*repeated_windows(doc, start, at, [x for r in rows for x in r[3]], anchor))
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "start", "end"])
 
     def run(batches):

@@ -70,6 +70,33 @@ def test_anchors_from_one_pass_of_sums():
         assert suffix_dedup.span_hashes(buf, at, at + 24, sums=sums).tolist() == [spans[a] for a in at]
 
 
+def test_suffixes_are_compared_inside_their_anchor(monkeypatch):
+    """Ranges are those of brute force, with NUL bytes and uneven ends; no comparison reaches over more suffixes than an anchor has."""
+    rng, reach, minima = np.random.default_rng(5), [0], suffix_dedup.range_minima
+
+    def watched(values, a, b):
+        reach.append(int((b - a).max(initial=0)) + 1)
+        return minima(values, a, b)
+
+    monkeypatch.setattr(suffix_dedup, "range_minima", watched)
+    blocks, want = [], set()
+    for anchor in range(200):
+        base, seen = rng.choice(np.array([0, 97, 98], np.uint8), 176), {}
+        for _ in range(rng.integers(1, 9)):
+            text = base.copy()
+            text[rng.integers(0, 176, rng.integers(0, 3))] = 99
+            lo, hi = np.sort(rng.integers(0, 77, 2))  # first and last window
+            blocks.append((len(blocks), int(rng.integers(0, 1000)), int(76 - lo), text[lo : hi + 100].tobytes(), anchor))
+            doc, start, _, data, _ = blocks[-1]
+            for w in range(hi - lo + 1):
+                if seen.setdefault(data[w : w + 100], doc) != doc:
+                    want.add((doc, start + w))
+    doc, start, at, data, anchor = zip(*blocks, strict=True)
+    found = suffix_dedup.repeated_windows(np.array(doc), np.array(start), np.array(at), list(data), np.array(anchor))
+    assert {(d, w) for d, s, e in zip(*(x.tolist() for x in found), strict=True) for w in range(s, e - 99)} == want
+    assert 1 < max(reach) < 8
+
+
 def test_suffix_dedup_empty_and_repeated(spark):
     docs = documents(spark, ["x " * 100])
     assert suffix_dedup.remove_repeats(docs.where("false")).count() == 0

@@ -10,11 +10,14 @@ token. A prefix ends after a code point of the text in NFC, which the vocabulary
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +39,9 @@ SLICE = 1 << 20
 #: A white-space chunk; the four separators below are white space to Python, but not to the vocabulary.
 _CHUNK = re.compile("[\\S\x1c-\x1f]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
-# The vocabulary's pattern of pieces, here for ASCII text.
+# The vocabulary's pattern of pieces, here for lower-case ASCII and Latin-1 text, which is in NFC and which ``str.lower`` lower-cases as the library does.
 _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+_LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 _LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 _NEVER = 1 << 60
 _PAIR = 1 << 24
@@ -51,16 +55,19 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Remembered(dict):
-    """Answers of ``ask``, kept up to a bound and then forgotten together."""
+    """Answers of ``ask``, kept up to a bound: when half of it is full, those not asked for since the last such time are forgotten."""
 
     def __init__(self, ask, longest: int | None = None):
         super().__init__()
-        self.ask, self.longest = ask, longest
+        self.ask, self.longest, self.older = ask, longest, {}
 
     def __missing__(self, key):
-        value = self.ask(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.ask(key)
         if self.longest is None or len(key) <= self.longest:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -95,7 +102,8 @@ class PrefixCounter:
             self.made.setdefault(vocab[left + right], (rank, a, b))
         special = [t["content"] for t in spec["added_tokens"] if t["content"]]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.marks = sorted({s[:2] for s in special})
+        self.mark = re.compile("|".join(sorted({re.escape(s[:2]) for s in special}))) if special else None
+        self.trie = self._trie()
         self.right_edge, self.left_edge = _Remembered(lambda t: self._edge(t, 1)), _Remembered(lambda t: self._edge(t, 0))
         self.apart = _Remembered(self._apart)
         self.whole = _Remembered(self._whole)
@@ -105,6 +113,15 @@ class PrefixCounter:
 
     # tokens
 
+    def _trie(self) -> dict:
+        """``tokens`` by bytes: a node has (nodes by next byte, open token, closed token)."""
+        root: dict = {}
+        nodes = {b"": root}
+        for body in sorted(self.tokens, key=len):
+            nodes[body] = {}
+            nodes[body[:-1]][body[-1]] = (nodes[body], *self.tokens[body])
+        return root
+
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at an edge of ``token`` while it is built, each with the rank that ends it."""
         out, ends = [], _NEVER
@@ -160,24 +177,22 @@ class PrefixCounter:
         n = len(piece)
         if n > REMEMBERED_CHARS:
             return self._last(piece)
-        get, apart, whole = self.tokens.get, self.apart, self.whole
+        root, apart, whole = self.trie, self.apart, self.whole
         last, count = [-1] * (n + 1), [0] * (n + 1)
         last[0] = 0
         for s in range(n):
-            before, e = last[s] * _PAIR, s
-            while e < n:
-                e += 1
-                found = get(piece[s:e])
+            before, e, nodes = last[s] * _PAIR, s, root
+            for byte in piece[s:]:
+                found = nodes.get(byte)
                 if found is None:
                     break
+                nodes, t, c = found
+                e += 1
                 if e == n:
-                    t = found[1]
-                    if t >= 0 and (s == 0 or apart[before + t]) and whole[t]:
+                    if c >= 0 and (s == 0 or apart[before + c]) and whole[c]:
                         return count[s] + 1
-                elif last[e] < 0:
-                    t = found[0]
-                    if t >= 0 and (s == 0 or apart[before + t]) and whole[t]:
-                        last[e], count[e] = t, count[s] + 1
+                elif t >= 0 and last[e] < 0 and (s == 0 or apart[before + t]) and whole[t]:
+                    last[e], count[e] = t, count[s] + 1
         return 0
 
     def _last(self, piece: bytes) -> int:
@@ -213,6 +228,9 @@ class PrefixCounter:
         if normal.isascii():
             for m in _ASCII_PIECE.finditer(normal):
                 yield m.start(), m.group()
+        elif max(normal) <= "\xff":
+            for m in _LATIN_PIECE.finditer(normal):
+                yield m.start(), m.group()
         elif len(normal) <= RUN:
             for _, (a, b) in self.cut(normal):
                 yield a, normal[a:b]
@@ -221,13 +239,15 @@ class PrefixCounter:
                 yield m.start(), m.group()
 
     def _chunk_total(self, chunk: str) -> int:
-        if any(m in chunk for m in self.marks):
+        if self.mark and self.mark.search(chunk):
             return sum(1 if i % 2 else self.chunks[s] for i, s in enumerate(self.special.split(chunk)) if s) if self.special.search(chunk) else self._plain_total(chunk)
         return self._plain_total(chunk)
 
     def _plain_total(self, chunk: str) -> int:
         if chunk.isascii():
             return sum(map(self.ends.__getitem__, map(str.encode, _ASCII_PIECE.findall(chunk.lower()))))
+        if max(chunk) <= "\xff":
+            return sum(map(self.ends.__getitem__, map(str.encode, _LATIN_PIECE.findall(chunk.lower()))))
         return sum(self.ends[piece.encode()] for _, piece in self._cut(self.normal(chunk)))
 
     def _plain_prefixes(self, chunk: str) -> Iterator[int]:
@@ -281,15 +301,15 @@ class PrefixCounter:
         return "".join(p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(parts))
 
     @staticmethod
-    def slices(text: str) -> Iterator[tuple[int, str]]:
-        """(start, part) of runs of about ``SLICE`` code points that end at white space."""
+    def slices(text: str, size: int = SLICE) -> Iterator[tuple[int, str]]:
+        """(start, part) of runs of about ``size`` code points that end at white space."""
         lo = 0
         while lo < len(text):
-            hi = lo + SLICE
+            hi = lo + size
             if hi < len(text):
                 hi = max(text.rfind(" ", lo, hi), text.rfind("\n", lo, hi)) + 1
                 if hi <= lo:
-                    m = re.compile("[ \n]").search(text, lo + SLICE)
+                    m = re.compile("[ \n]").search(text, lo + size)
                     hi = m.end() if m else len(text)
             yield lo, text[lo:hi]
             lo = hi
@@ -298,26 +318,28 @@ class PrefixCounter:
         """Tokens of a whole text."""
         ask, n = self.chunks.__getitem__, 0
         for _, part in self.slices(text) if len(text) > SLICE else ((0, text),):
-            odd = any(c in part for c in _SEPARATORS)
-            n += sum(map(ask, _CHUNK.findall(part) if odd else part.split()))
+            n += sum(map(ask, self._chunks_of(part)))
         return n
 
+    @staticmethod
+    def _chunks_of(part: str) -> list[str]:
+        return _CHUNK.findall(part) if any(c in part for c in _SEPARATORS) else part.split()
+
     def within(self, text: str, limit: int) -> int:
         """Code points of the longest prefix (in NFC) that has at most ``limit`` tokens."""
         text, used, fits = self.nfc(text), 0, 0
-        for lo, part in self.slices(text):
-            for m in _CHUNK.finditer(part):
-                n = self.chunks[m.group()]
-                if used + 1 > limit:
-                    return lo + m.start()
-                if used + n > limit:
-                    best = lo + m.start()
-                    for k, here in enumerate(self.chunk_prefixes(m.group())):
-                        if used + here <= limit:
-                            best = lo + m.start() + k + 1
-                    return best
-                used += n
-            fits = lo + len(part)
+        for lo, part in self.slices(text, RUN):
+            before = list(accumulate(map(self.chunks.__getitem__, self._chunks_of(part)), initial=used))
+            if before[-1] > limit:
+                k = max(0, bisect_right(before, limit) - 1)  # the chunk that passes the limit
+                m = next(islice(_CHUNK.finditer(part), k, None))
+                best = lo + m.start()
+                if before[k] < limit:
+                    for i, here in enumerate(self.chunk_prefixes(m.group())):
+                        if before[k] + here <= limit:
+                            best = lo + m.start() + i + 1
+                return best
+            used, fits = before[-1], lo + len(part)
         return fits
 
     def prefixes(self, text: str) -> Iterator[int]:
@@ -334,6 +356,12 @@ class PrefixCounter:
             yield from (used for _ in range(len(part) - at))
 
 
+@functools.lru_cache(maxsize=1)
+def worker_counter(path: str, query: str) -> PrefixCounter:
+    """The counter of this worker, with the words it met in earlier tasks of the query; another query starts anew, also if the file has changed."""
+    return PrefixCounter(path)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, keep: list[str] | None = None, names: tuple[str, ...] = ("n_bytes", "n_tokens", "over_limit", "cut")) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all but text, unless named) with n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) and cut.
 
@@ -343,9 +371,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, keep: lis
     kinds = (T.LongType(), T.LongType(), T.BooleanType(), T.LongType())
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     schema = result_schema(kept, list(zip(names, kinds, strict=True)))
+    query = uuid.uuid4().hex
 
     def run(batches):
-        counter = PrefixCounter(vocabulary)
+        counter = worker_counter(vocabulary, query)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             sizes, totals, cuts = [], [], []
@@ -369,9 +398,10 @@ def prefix_table(docs: DataFrame, vocabulary: str, key: str = "doc_id", run: int
     ``counts[i]`` is the number of tokens of the prefix of ``first + i + 1`` code points (of the text in NFC). Empty and null texts have no rows. Rows that share a
     key can't be told apart by the look-ups below; number them first."""
     schema = T.StructType([docs.schema[key], T.StructField("first", T.LongType()), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    query = uuid.uuid4().hex
 
     def rows(batches):
-        counter = PrefixCounter(vocabulary)
+        counter = worker_counter(vocabulary, query)
         for batch in batches:
             for i in range(batch.num_rows):
                 own, first, counts = batch.column(0).slice(i, 1), 0, []

@@ -51,6 +51,33 @@ def test_long_words(counter, library):
         assert counter.total(text) == library([text])[0]
 
 
+def test_latin_words_need_no_library(counter, library, monkeypatch):
+    """All of Latin-1 in random order: the pieces and counts of the library, which is not asked."""
+    rng = random.Random(5)
+    latin = [chr(c) for c in range(1, 256)]
+    texts = ["".join(rng.choices(latin, k=40)) for _ in range(300)] + ["".join(rng.choices("ÀÉßªº²¼µ×'sa1ré", k=30)) for _ in range(300)]
+    want = library(texts)
+    monkeypatch.setattr(counter, "cut", None)
+    monkeypatch.setattr(counter, "normal", None)
+    assert [counter.total(t) for t in texts] == want
+
+
+def test_words_asked_again_are_remembered(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 40)
+    asked = []
+    kept = token_counts._Remembered(lambda w: asked.append(w) or 0)
+    for i in range(500):
+        assert kept["often"] == kept[f"once {i}"] == 0
+        assert len(kept) + len(kept.older) <= 40
+    assert asked.count("often") == 1
+
+
+def test_a_worker_keeps_its_counter_for_a_query():
+    first = token_counts.worker_counter(PATH, "one")
+    assert token_counts.worker_counter(PATH, "one") is first
+    assert token_counts.worker_counter(PATH, "two") is not first
+
+
 def test_whole_texts_as_the_library(spark, sf_dir, library):
     got = queries.op11_token_counts(spark, sf_dir).toPandas().set_index("doc_id")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().set_index("doc_id")

@@ -256,3 +256,15 @@ def test_sparse_search_against_all_products(spark):
         asked = q if item else spark.createDataFrame(list({a[0]: a for a in asks}.values()), q.schema)
         got = {(x.query_id, x.rank, x.chunk_id, x.score) for x in vectors.sparse_topk(asked, t, item=item).collect()}
         assert got == best and len(best) > 100
+
+
+def test_scores_are_shown_as_printf_shows_them(spark, duck):
+    """Scores of six digits halfway between two of four: the exact binary value decides."""
+    rows = spark.range(5, 100000, 10).select((F.col("id") * 10 / 1000000.0).alias("s"))
+    told = T.format_doc(F.lit(1), *[F.lit(None).cast("string")] * 4, F.col("s"), F.lit("x"))
+    got = {r.s: r.told for r in rows.select("s", told.alias("told")).collect()}
+    want = duck.sql("SELECT s, '[1] [score=' || printf('%.4f', s) || ']' || chr(10) || 'x' AS told FROM (SELECT i * 10 / 1000000.0::DOUBLE AS s FROM range(5, 100000, 10) t(i))").df()
+    assert len(got) == 10000 and got[0.01635].startswith("[1] [score=0.0163]")
+    assert got == dict(zip(want.s, want.told, strict=True))
+    nothing = spark.range(1).select(T.format_doc(F.lit(1), *[F.lit(None).cast("string")] * 4, F.lit(None).cast("double"), F.lit("x")).alias("told"))
+    assert nothing.first().told == "[1]\nx"

@@ -66,7 +66,7 @@ def test_an_entity_asked_for_often_is_looked_for_once(spark, ranked):
     assert sorted((r.query_id, r.seed_no, r.name) for r in got) == [(q, n + 1, f"node {n:03d}") for q in range(50) for n in range(3)]
 
 
-@pytest.mark.parametrize("name", ["j5_lookup_chunks", "j4_one_hop_a7_dedupe_triples", "a8_node_weights"])
+@pytest.mark.parametrize("name", ["j5_lookup_chunks", "j4_one_hop_a7_dedupe_triples", "a8_node_weights", "t13_triples_to_text"])
 def test_graph_queries_about_a_common_node(spark, tmp_path, ranked, name):
     """Three names of one brand, 30 questions for them, 500 order lines each: no question is ranked against all lines."""
     part = spark.range(0, 1800, 20).select(F.col("id").alias("p_partkey"), F.concat(F.lit("n"), (F.col("id") / 20 % 3).cast("int").cast("string"), F.lit(" x")).alias("p_name"), F.lit("B").alias("p_brand"))

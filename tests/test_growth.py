@@ -1,23 +1,25 @@
 """What searches shuffle grows with their tables, not with questions times rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from retrieval_jobs.operators import graph_search
+from retrieval_jobs.operators import graph_search, vectors
 from retrieval_jobs.plans import queries
 
 
 @pytest.fixture
 def ranked(monkeypatch):
-    """The numbers of rows that windows of ``graph_search`` rank within questions."""
-    counts, plain = [], graph_search.top_per
+    """The numbers of rows that windows of the searches rank within questions."""
+    counts, plain = [], vectors.top_per
 
     def counted(df, keys, *rest):
         if "query_id" in keys:
             counts.append(df.count())
         return plain(df, keys, *rest)
 
-    monkeypatch.setattr(graph_search, "top_per", counted)
+    for module in (graph_search, vectors):
+        monkeypatch.setattr(module, "top_per", counted)
     return counts
 
 
@@ -75,3 +77,17 @@ def test_graph_queries_about_a_common_node(spark, tmp_path, ranked, name):
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() > 1000
     assert max(ranked) <= 3 * 3 * 100 + 90 * 3
+
+
+@pytest.mark.parametrize("name", ["p10_decide_route"])
+def test_matches_make_no_row_for_a_pair(spark, tmp_path, ranked, name):
+    """2,000 vectors of one label, of which 100 ask: with rows for pairs, 199,900 would be ranked."""
+    cells = np.random.default_rng(5).normal(size=(2000, 8)).round(3).astype("float32")
+    cells[20:29] = cells[20]  # a question with more equals than it may name
+    spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(cells)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() > 50
+    assert max(ranked) <= 100 * 20
+    got = [(r.query_id, r.entity_name, r.score) for r in queries._matches(spark, str(tmp_path)).collect()]
+    unit = cells.astype(float) / np.sqrt((cells.astype(float) ** 2).sum(1))[:, None]
+    want = [(q, c, -s) for q in range(0, 2000, 20) for s, c in sorted((-round(x, 6), str(i)) for i, x in enumerate(unit @ unit[q]) if i != q)[:5]]
+    assert sorted(got) == sorted(want)

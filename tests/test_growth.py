@@ -79,7 +79,7 @@ def test_graph_queries_about_a_common_node(spark, tmp_path, ranked, name):
     assert max(ranked) <= 3 * 3 * 100 + 90 * 3
 
 
-@pytest.mark.parametrize("name", ["p10_decide_route", "a6_item_entity_pairs", "a11_filter_confirmed"])
+@pytest.mark.parametrize("name", ["p10_decide_route", "a6_item_entity_pairs", "a11_filter_confirmed", "a5_best_per_item"])
 def test_matches_make_no_row_for_a_pair(spark, tmp_path, ranked, name):
     """2,000 vectors of one label, of which 100 ask: with rows for pairs, 199,900 would be ranked."""
     cells = np.random.default_rng(5).normal(size=(2000, 8)).round(3).astype("float32")

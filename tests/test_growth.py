@@ -1,6 +1,9 @@
 """What searches shuffle grows with their tables, not with questions times rows."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +94,30 @@ def test_matches_make_no_row_for_a_pair(spark, tmp_path, ranked, name):
     unit = cells.astype(float) / np.sqrt((cells.astype(float) ** 2).sum(1))[:, None]
     want = [(q, c, -s) for q in range(0, 2000, 20) for s, c in sorted((-round(x, 6), str(i)) for i, x in enumerate(unit @ unit[q]) if i != q)[:5]]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("item", [None, "item_name"])
+def test_sparse_search_makes_no_row_for_a_posting(spark, ranked, item):
+    """40 questions and 4,000 chunks that all have the same word; the first chunks of the best win."""
+    chunks = spark.range(4000).select(F.col("id").alias("chunk_id"), F.lit("X").alias("item_name"), F.create_map(F.lit("common"), F.when(F.col("id") < 3990, 1.0).otherwise(2.0)).alias("sparse"))
+    asks = spark.range(40).select(F.col("id").alias("query_id"), F.lit("X").alias("item_name"), F.create_map(F.lit("common"), F.lit(1.0), F.lit("rare"), F.lit(9.0)).alias("q_sparse"))
+    got = [(r.query_id, r["rank"], r.chunk_id, r.score) for r in vectors.sparse_topk(asks, chunks, 12, item).collect()]
+    assert max(ranked) <= 40 * 12 * 2 * 8
+    assert sorted(got) == [(q, n + 1, c, s) for q in range(40) for n, (c, s) in enumerate([(i, 2.0) for i in range(3990, 4000)] + [(0, 1.0), (1, 1.0)])]
+
+
+@pytest.mark.parametrize(("heavy", "at_once"), [(0, 3), (2, 7), (512, 1 << 20)])
+def test_products_of_blocks(monkeypatch, heavy, at_once):
+    monkeypatch.setattr(vectors, "HEAVY", heavy)
+    monkeypatch.setattr(vectors, "AT_ONCE", at_once)
+    r = random.Random(7)
+    for least in (-2, 1):
+        maps = [[{f"w{w}": float(r.randint(least, 3)) for w in r.sample(range(30), r.randint(1, 9))} for _ in range(n)] for n in (6, 15)]
+        blocks = []
+        for part in maps:
+            words = sorted({w for m in part for w in m})
+            entries = [(words.index(w), x) for m in part for w, x in m.items()]
+            starts = np.cumsum([0, *map(len, part)])
+            blocks.append([pa.array(starts, pa.int32()), pa.array(words), pa.array([e[0] for e in entries], pa.int32()), pa.array([e[1] for e in entries])])
+        want = [[sum(x * c[w] for w, x in q.items() if w in c) if set(q) & set(c) else -np.inf for c in maps[1]] for q in maps[0]]
+        assert (vectors._sparse_scores(*blocks) == np.array(want)).all()

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from retrieval_jobs.operators import graph_search, vectors
+from retrieval_jobs.operators import fusion, graph_search, vectors
 from retrieval_jobs.plans import queries
 
 
@@ -121,3 +121,17 @@ def test_products_of_blocks(monkeypatch, heavy, at_once):
             blocks.append([pa.array(starts, pa.int32()), pa.array(words), pa.array([e[0] for e in entries], pa.int32()), pa.array([e[1] for e in entries])])
         want = [[sum(x * c[w] for w, x in q.items() if w in c) if set(q) & set(c) else -np.inf for c in maps[1]] for q in maps[0]]
         assert (vectors._sparse_scores(*blocks) == np.array(want)).all()
+
+
+@pytest.mark.parametrize("name", ["c1_union_legs_a9_rrf"])
+def test_texts_are_not_fused(spark, sf_dir, monkeypatch, name):
+    """The legs are told whether a chunk has a text; the text itself would be shuffled for each leg."""
+    seen, plain = [], fusion.union_legs
+
+    def watched(legs):
+        seen.extend(legs.values())
+        return plain(legs)
+
+    monkeypatch.setattr(fusion, "union_legs", watched)
+    queries.QUERIES[name](spark, sf_dir)
+    assert len(seen) == 3 and all({r.content for r in leg.select("content").distinct().collect()} == {""} for leg in seen)

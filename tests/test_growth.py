@@ -123,7 +123,7 @@ def test_products_of_blocks(monkeypatch, heavy, at_once):
         assert (vectors._sparse_scores(*blocks) == np.array(want)).all()
 
 
-@pytest.mark.parametrize("name", ["c1_union_legs_a9_rrf", "w2_cliff_cut", "answer_context"])
+@pytest.mark.parametrize("name", ["c1_union_legs_a9_rrf", "w2_cliff_cut", "answer_context", "k1_rerank_u2_score_pairs"])
 def test_texts_are_not_fused(spark, sf_dir, monkeypatch, name):
     """The legs are told whether a chunk has a text; the text itself would be shuffled for each leg."""
     seen, plain = [], fusion.union_legs
